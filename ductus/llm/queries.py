@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from ductus.llm import quality
+from ductus.llm import mixing, quality, sharding
 
 QUERIES = {
     "op3_host_quality": quality.op3_host_quality,
+    "op5_stratified_shards": sharding.op5_stratified_shards,
+    "op6_hash_threshold_mix": mixing.op6_hash_threshold_mix,
 }
 
 ORACLES = {
     "op3_host_quality": quality.ORACLE,
+    "op6_hash_threshold_mix": mixing.ORACLE,
 }
