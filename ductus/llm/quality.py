@@ -98,10 +98,10 @@ def host_verdicts(judged: DataFrame, max_rate: float = 0.5) -> DataFrame:
         (F.sum("failed") / F.sum("n")).alias("m"),
         F.round(F.sum(F.col("n") * rate * rate) / F.sum("n") - F.pow(F.sum("failed") / F.sum("n"), 2), 12).alias("v"),
     )
-    strength = F.when(F.col("v") > 0, F.greatest(F.lit(1.0), F.least(F.lit(10000.0), F.col("m") * (1 - F.col("m")) / F.col("v") - 1))).otherwise(10000.0)
-    prior = moments.select((F.col("m") * strength).alias("a"), ((1 - F.col("m")) * strength).alias("b"))
-    hosts = hosts.join(F.broadcast(prior))  # one row, as it is a global aggregate
-    shrunk = (F.col("failed") + F.col("a")) / (F.col("n") + F.col("a") + F.col("b"))
+    m, v = moments.first()  # two numbers; null for an empty table
+    strength = max(1.0, min(10000.0, m * (1 - m) / v - 1)) if m is not None and v > 0 else 10000.0
+    a, b = (m or 0.0) * strength, (1 - (m or 0.0)) * strength
+    shrunk = (F.col("failed") + a) / (F.col("n") + a + b)
     return hosts.withColumn("rate", shrunk).withColumn("bad", shrunk > max_rate)
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ductus.llm import mixing, quality, sharding
+from ductus.llm import mixing, quality, sharding, simhash
 
 QUERIES = {
+    "op2_simhash_anchors": simhash.op2_simhash_anchors,
     "op3_host_quality": quality.op3_host_quality,
     "op5_stratified_shards": sharding.op5_stratified_shards,
     "op6_hash_threshold_mix": mixing.op6_hash_threshold_mix,
