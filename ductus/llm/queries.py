@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from ductus.llm import mixing, quality, sharding, simhash
+from ductus.llm import html_text, media, mixing, packing, quality, sharding, simhash
 
 QUERIES = {
+    "op1_block_text": html_text.op1_block_text,
     "op2_simhash_anchors": simhash.op2_simhash_anchors,
     "op3_host_quality": quality.op3_host_quality,
     "op5_stratified_shards": sharding.op5_stratified_shards,
     "op6_hash_threshold_mix": mixing.op6_hash_threshold_mix,
+    "op7_vector_best_fit": packing.op7_vector_best_fit,
+    "op8_transport_streams": media.op8_transport_streams,
 }
 
 ORACLES = {
