@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ductus.llm import html_text, media, mixing, packing, quality, sharding, simhash
+from ductus.llm import html_text, media, mixing, packing, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_block_text": html_text.op1_block_text,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_hash_threshold_mix": mixing.op6_hash_threshold_mix,
     "op7_vector_best_fit": packing.op7_vector_best_fit,
     "op8_transport_streams": media.op8_transport_streams,
+    "op10_pattern_grammar": toxicity.op10_pattern_grammar,
 }
 
 ORACLES = {
