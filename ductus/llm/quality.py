@@ -105,29 +105,30 @@ def host_verdicts(judged: DataFrame, max_rate: float = 0.5) -> DataFrame:
     return hosts.withColumn("rate", shrunk).withColumn("bad", shrunk > max_rate)
 
 
-def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.5) -> DataFrame:
-    """Counts, base_failed, rule_failed, the host's shrunk rate and verdict, and kept, a row per document."""
-    judged = stored(failures(base_counts(df, id_col, text_col, host_col)))
-    hosts = stored(host_verdicts(judged, max_rate).select("host", F.col("rate").alias("host_rate"), F.col("bad").alias("host_bad")))
+def _with_verdicts(judged: DataFrame, hosts: DataFrame) -> DataFrame:
+    """judged with host_rate, host_bad and kept, from a stored table of verdicts."""
     few = hosts.limit(MAX_BROADCAST_HOSTS + 1).count() <= MAX_BROADCAST_HOSTS
-    h = hosts.select(F.col("host").alias("__host"), "host_rate", "host_bad")
+    h = hosts.select(F.col("host").alias("__host"), F.col("rate").alias("host_rate"), F.col("bad").alias("host_bad"))
     out = judged.join(F.broadcast(h) if few else h, F.col("host").eqNullSafe(F.col("__host"))).drop("__host")
     return out.withColumn("kept", ~F.col("base_failed") & ~(F.col("host_bad") & F.col("rule_failed")))
 
 
+def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.5) -> DataFrame:
+    """Counts, base_failed, rule_failed, the host's shrunk rate and verdict, and kept, a row per document."""
+    judged = stored(failures(base_counts(df, id_col, text_col, host_col)))
+    return _with_verdicts(judged, stored(host_verdicts(judged, max_rate)))
+
+
 def op3_host_quality(spark, sf_dir: str) -> DataFrame:
     out = quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 9).alias("host_rate"))
 
 
 def filter_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.5) -> DataFrame:
-    """The documents that are kept, with all their columns. Rows equal in id, text and host share a verdict."""
-    key = F.struct(F.col(id_col).alias("i"), F.xxhash64(text_or_empty(text_col)).alias("t"), F.length(text_or_empty(text_col)).alias("l"), F.col(host_col).cast("string").alias("h"))
-    judged = quality(df.withColumn("__key", key), "__key", text_col, host_col, max_rate)
-    kept = judged.filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    out = df.withColumn("__k", F.struct(F.col(id_col).alias("i"), F.xxhash64(text_or_empty(text_col)).alias("t"), F.length(text_or_empty(text_col)).alias("l"), F.col(host_col).cast("string").alias("h")))
-    on = [F.col(f"__k.{x}").eqNullSafe(F.col(f"__kept.{x}")) for x in "itlh"]
-    return out.join(kept, on, "left_semi").drop("__k")
+    """The documents that are kept, with all their columns. Texts are counted twice and never shuffled."""
+    hosts = stored(host_verdicts(failures(base_counts(df, id_col, text_col, host_col)), max_rate))
+    rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("__row"), F.col(text_col).alias("__t"), F.col(host_col).alias("__h"))
+    return _with_verdicts(failures(base_counts(rows, "__row", "__t", "__h")), hosts).filter("kept").select("doc_id.*")
 
 
 ORACLE = """
