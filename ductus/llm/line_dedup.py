@@ -96,6 +96,10 @@ def _rewritten(texts: pd.Series, places: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else without(t.encode(), [] if p is None else list(p)).decode() for t, p in zip(texts, places)])
 
 
+#: Not to be copied into the filter above it, which would run it twice.
+_once = _rewritten.asNondeterministic()
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """df with shorter texts, and without the documents of which nothing is left; chars_col is kept in step if df has it."""
     last = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
@@ -106,7 +110,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     later = found.join(shared, ["h1", "h2"]).filter("i > first").groupBy("i", "t").agg(F.collect_set("place").alias("places"))
     later = later.select(F.col("i").alias("__i"), F.col("t").alias("__t"), F.col("places").alias("__places"))
     text = F.col(text_col).cast("string")
-    out = df.join(later, (last == F.col("__i")) & (text_hash == F.col("__t")), "left").withColumn("__new", _rewritten(text, F.col("__places")))
+    out = df.join(later, (last == F.col("__i")) & (text_hash == F.col("__t")), "left").withColumn("__new", _once(text, F.col("__places")))
     had, has = F.coalesce(text.rlike(WORD), F.lit(False)), F.coalesce(F.col("__new").rlike(WORD), F.lit(False))
     out = out.filter(has | ~had)
     columns = [F.col("__new").alias(c) if c == text_col else F.length("__new").cast(df.schema[c].dataType).alias(c) if c == chars_col else F.col(c) for c in df.columns]

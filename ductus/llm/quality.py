@@ -60,15 +60,15 @@ def base_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     )
     lines = F.filter(F.split(text, "\n"), lambda x: F.ltrim(x, F.lit(" \t\x0b\f\r")) != "")
     rows = rows.withColumn("__lines", lines)
-    return rows.select(
-        "doc_id",
-        "host",
-        "n_words",
+    counts = F.struct(
+        F.col("n_words"),
         F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
         F.when(text.rlike(SYMBOL), F.regexp_count(text, F.lit(SYMBOL))).otherwise(0).cast("long").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
     )
+    # One row each: a generator keeps filters above from being pushed down, which would copy these expressions.
+    return rows.select("doc_id", "host", F.explode(F.array(counts)).alias("c")).select("doc_id", "host", "c.*")
 
 
 def failures(counts: DataFrame, min_words: int = 50) -> DataFrame:
