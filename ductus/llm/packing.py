@@ -13,8 +13,11 @@ length is cut into full pieces and a rest.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +28,23 @@ from ductus.llm.common import stored, text_or_empty
 
 #: Pieces that a task packs together.
 BLOCK = 16_384
-#: Words whose ids a task remembers.
-REMEMBERED = 400_000
+#: Words, and pre-tokens, whose ids a worker process remembers from task to task.
+REMEMBERED = 500_000
+
+
+#: Of words in Latin-1, after lower-casing: what the vocabulary's pre-tokenizer makes of them. Such words are
+#: in normal form already; their letters are a-z and those below, their numbers 0-9 and the five others.
+PIECE = re.compile("[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\x09-\x0d\x20\x85\xa0a-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+")
+#: Words left to the tokenizer: characters beyond Latin-1, and what may be one of its special tokens.
+OTHER = re.compile("[^\x00-\xff]|<\\|")
 
 
 class WordIds:
     """Ids of texts as little-endian 32-bit numbers, from the ids of their ASCII-space-separated words.
 
-    No token spans white space in this vocabulary, so a text's ids are those of its words one after another.
+    No token spans white space in this vocabulary, so a text's ids are those of its words one after another; and
+    a word's are those of its pre-tokens. New pre-tokens are encoded many at a time: each ends with the only one
+    of its tokens that is marked as a word's end.
     """
 
     def __init__(self, path: str):
@@ -40,25 +52,62 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(words)
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        self.pieces: dict[str, bytes] = {}
+
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of new words; they are remembered while there is room, so the frequent ones, met first, are."""
+        new = list(words)
+        texts = [w.decode() for w in new]
+        cut = [None if OTHER.search(t) else PIECE.findall(t.lower()) for t in texts]
+        pieces = self.encode_pieces([p for p in {p for c in cut if c for p in c} if p not in self.pieces])
+        if len(self.pieces) < REMEMBERED:
+            self.pieces.update(pieces)
+            pieces = self.pieces
+        else:
+            pieces = ChainMap(pieces, self.pieces)
+        out = {w: pieces[c[0]] if len(c) == 1 else b"".join([pieces[p] for p in c]) for w, c in zip(new, cut) if c is not None}
+        rest = [(w, t) for w, t, c in zip(new, texts, cut) if c is None]
+        for (w, _), e in zip(rest, self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False)):
+            out[w] = np.array(e.ids, "<u4").tobytes()
+        if len(self.known) < REMEMBERED:
+            self.known.update(out)
+        return out
+
+    def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        for i in range(0, len(pieces), 2_000):
+            part = pieces[i : i + 2_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            at = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(at) != len(part):
+                raise ValueError("the vocabulary doesn't mark the ends of words as expected")
+            data = ids.tobytes()
+            out.update(zip(part, map(lambda a, b: data[a:b], [0, *at[:-1]], at)))
+        return out
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of some texts; what is new in them is learned at once."""
+        get = self.known.get
+        words = [t.split() for t in texts]
+        ids = [list(map(get, ws)) for ws in words]
+        open_ = [k for k, found in enumerate(ids) if None in found]
+        if open_:
+            extra = self.learn({w for k in open_ for w, i in zip(words[k], ids[k]) if i is None})
+            for k in open_:
+                ids[k] = [extra[w] if i is None else i for w, i in zip(words[k], ids[k])]
+        return list(map(b"".join, ids))
 
     def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self.learn(set(words))
-            return b"".join(map(self.known.__getitem__, words))
+        return self.encode_all([text])[0]
+
+
+@cache
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -71,14 +120,14 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(path)
+        ids = word_ids(path)
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
-            for low in range(0, len(texts), 256):
-                part = texts.slice(low, 256)
+            for low in range(0, len(texts), 64):
+                part = ids.encode_all(texts.slice(low, 64).to_pylist())
                 row, piece, start, length, crc, data = [], [], [], [], [], []
-                for i, text in enumerate(part):
-                    found = ids.encode(text.as_py()) + end
+                for i, found in enumerate(part):
+                    found += end
                     for k, at in enumerate(range(0, len(found), 4 * capacity)):
                         cut = found[at : at + 4 * capacity]
                         row.append(low + i)
