@@ -127,8 +127,8 @@ def score(df: DataFrame, model: DataFrame, order: int, key: list[str], text: str
     """
     places = windows(df.select(*key, text), order, text, bos, eos)
     known = score_windows(places.filter("window IS NOT NULL").select("window").distinct(), model, order)
-    counted = places.groupBy(*key, "window").agg(F.count(F.lit(1)).alias("k"))
-    return counted.join(known, "window", "left").groupBy(*key).agg(F.coalesce(F.sum(F.col("k") * F.col("logprob")), F.lit(0.0)).alias("score"))
+    counted = places.groupBy(*key, "window").agg(F.count(F.lit(1)).alias("__k"))
+    return counted.join(known, "window", "left").groupBy(*key).agg(F.coalesce(F.sum(F.col("__k") * F.col("logprob")), F.lit(0.0)).alias("score"))
 
 
 def perplexity(log10_score: Column, text: Column) -> Column:
