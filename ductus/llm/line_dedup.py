@@ -2,7 +2,7 @@
 
 A line is what a text's line breaks give, cut further after sentence ends and after MAX_LINE_WORDS words, so a
 passage of over 50 words that starts at a line or sentence has three lines at least, even if it is one line of
-the file. Every three consecutive lines are hashed (128 bits; a text with fewer lines is one window); windows
+the file. Every three consecutive lines are hashed (96 bits; a text with fewer lines is one window); windows
 that occur in several documents are found with one aggregation, and every occurrence but that in the document
 with the smallest id is later. Occurrences after the first inside one document are later too. The lines under
 later windows are merged and removed; what remains keeps its order and its white space. Every removed line
@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -88,7 +89,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = pa.py_buffer(b"".join(hashes))
             both = pa.Array.from_buffers(pa.int64(), 2 * len(hashes), [None, h]).to_numpy()
             take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(place, pa.int32()), pa.array(both[0::2]), pa.array(both[1::2])], names)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(place, pa.int32()), pa.array(both[0::2]), pa.array(both[1::2].astype(np.int32))], names)
 
 
 @F.pandas_udf(T.StringType())
@@ -100,18 +101,28 @@ def _rewritten(texts: pd.Series, places: pd.Series) -> pd.Series:
 _once = _rewritten.asNondeterministic()
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """df with shorter texts, and without the documents of which nothing is left; chars_col is kept in step if df has it."""
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", keep_empty: bool = False) -> DataFrame:
+    """df with shorter texts, and (but for keep_empty) without the documents of which nothing is left.
+
+    chars_col is kept in step if df has it.
+    """
     last = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
     text_hash = F.xxhash64(text_or_empty(text_col))
     rows = df.select(last.alias("i"), text_hash.alias("t"), text_or_empty(text_col).alias("text"))
-    found = rows.mapInArrow(_windows, "i long, t long, place int, h1 long, h2 long")
+    found = rows.mapInArrow(_windows, "i long, t long, place int, h1 long, h2 int")
     shared = found.groupBy("h1", "h2").agg(F.min("i").alias("first"), F.max("i").alias("last")).filter("first < last").drop("last")
     later = found.join(shared, ["h1", "h2"]).filter("i > first").groupBy("i", "t").agg(F.collect_set("place").alias("places"))
     later = later.select(F.col("i").alias("__i"), F.col("t").alias("__t"), F.col("places").alias("__places"))
     text = F.col(text_col).cast("string")
     out = df.join(later, (last == F.col("__i")) & (text_hash == F.col("__t")), "left").withColumn("__new", _once(text, F.col("__places")))
     had, has = F.coalesce(text.rlike(WORD), F.lit(False)), F.coalesce(F.col("__new").rlike(WORD), F.lit(False))
-    out = out.filter(has | ~had)
+    out = out if keep_empty else out.filter(has | ~had)
     columns = [F.col("__new").alias(c) if c == text_col else F.length("__new").cast(df.schema[c].dataType).alias(c) if c == chars_col else F.col(c) for c in df.columns]
     return out.select(*columns)
+
+
+def op9_line_windows(spark, sf_dir: str) -> DataFrame:
+    """doc_id, text (what remains of it), n_chars of that, n_removed: characters that went. A row per document."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.length("text").cast("long").alias("n_before"), F.length("text").cast("long").alias("n_chars"))
+    out = remove_repeats(docs, keep_empty=True)
+    return out.select("doc_id", "text", "n_chars", (F.col("n_before") - F.col("n_chars")).alias("n_removed"))

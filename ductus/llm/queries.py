@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ductus.llm import html_text, katz, media, mixing, packing, quality, sharding, simhash, toxicity
+from ductus.llm import html_text, katz, line_dedup, media, mixing, packing, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_block_text": html_text.op1_block_text,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_hash_threshold_mix": mixing.op6_hash_threshold_mix,
     "op7_vector_best_fit": packing.op7_vector_best_fit,
     "op8_transport_streams": media.op8_transport_streams,
+    "op9_line_windows": line_dedup.op9_line_windows,
     "op10_pattern_grammar": toxicity.op10_pattern_grammar,
 }
 
