@@ -76,3 +76,13 @@ def test_one_of_each_group_stays_with_odd_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = Counter((r.doc_id, r.text) for r in simhash.one_of_each(df).collect())
     assert got == Counter({(3, text): 1, (None, "other words here"): 1, (7, ""): 1, (7, "x y z"): 1})
+
+
+def test_every_document_in_the_query(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    want = brute_lines([(r.doc_id, r.text) for r in docs])
+    rows = line_dedup.op9_line_windows(spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs)
+    assert Counter((r.doc_id, tuple(r.text.encode().split())) for r in rows if r.text.strip()) == Counter({k: n for k, n in want.items() if k[1]})
+    before = {r.doc_id: len(r.text) for r in docs}
+    assert all(r.n_chars == len(r.text) and r.n_removed == before[r.doc_id] - r.n_chars for r in rows)
