@@ -38,32 +38,39 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ductus.llm.common import stored, text_or_empty
+from ductus.llm.common import release, stored, text_or_empty
 
 K = 5
 LARGE = 0.999
 HOT = 512
 #: Tokens that a task turns into packed arrays at a time.
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 1_500_000
 #: Bytes of text a bucket gets.
 BUCKET_BYTES = 16_000_000
 
 hash64 = xxhash.xxh3_64_intdigest
 #: No word has a space.
 START, END = hash64(b" <s>"), hash64(b" </s>")
-#: Per document: seen bigrams with count 1 to K, those above K, the logs of their counts, the logs of its words'
-#: counts as contexts, unigram logs of unseen bigrams, the base score, known tokens.
-ABOVE, LOGS, CONTEXTS, UNSEEN, BASE, KNOWN = range(K, K + 6)
-STATS = K + 6
+#: Per document: seen bigrams with count 1 to K, those above K, the score's terms that don't wait for the
+#: discounts (logs of counts above K, less those of its words as contexts, unigram logs of unseen bigrams), the
+#: base score, known tokens.
+ABOVE, TERMS, BASE, KNOWN = range(K, K + 4)
+STATS = K + 4
 
 
 def pack(*arrays) -> bytes:
-    small = [a if a.dtype.kind == "f" or a.dtype == np.uint64 else a.astype(np.min_scalar_type(int(a.max()) if a.size else 0)) for a in arrays]
+    """Arrays as compressed bytes: whole numbers in few bytes, hashes as the byte planes of their differences."""
+    small = []
+    for a in arrays:
+        if a.dtype == np.uint64:
+            small.append(np.diff(a, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.copy())
+        else:
+            small.append(a if a.dtype.kind == "f" else a.astype(np.min_scalar_type(int(a.max()) if a.size else 0)))
     return zstandard.compress(pickle.dumps(small, 5), 1)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
-    return pickle.loads(zstandard.decompress(data))
+    return [np.cumsum(a.T.copy().view(np.uint64).ravel(), dtype=np.uint64) if a.ndim == 2 else a for a in pickle.loads(zstandard.decompress(data))]
 
 
 def discounts(of: list[int]) -> np.ndarray:
@@ -125,7 +132,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_TOKENS) -> Ite
         u = np.empty_like(w)
         u[1:] = w[:-1]
         u[np.cumsum(sizes) - sizes] = START
-        return Chunk(pa.concat_arrays(ids), np.array(held, bool), sizes, w, u, np.repeat(np.arange(len(sizes)), sizes))
+        return Chunk(pa.concat_arrays(ids), np.array(held, bool), sizes, w, u, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes))
 
     for batch in batches:
         texts = batch.column(1).cast(pa.binary())
@@ -180,9 +187,10 @@ def _contribution(known: Unigrams, docs: np.ndarray, tf: np.ndarray, pair: np.nd
         add(r - 1, tf * (pair == r))
     above = pair > K
     add(ABOVE, tf * above)
-    add(LOGS, np.where(above, tf * np.log10(np.maximum(pair, 1)), 0.0))
-    add(CONTEXTS, np.where(~is_end & (word > 0), tf * np.log10(np.maximum(word, 1)), 0.0))
-    add(UNSEEN, np.where(pair == 0, tf * np.log10(known.probability(word)), 0.0))
+    terms = np.where(above, np.log10(np.maximum(pair, 1)), 0.0)
+    terms -= np.where(~is_end & (word > 0), np.log10(np.maximum(word, 1)), 0.0)
+    terms += np.where(pair == 0, np.log10(known.probability(word)), 0.0)
+    add(TERMS, tf * terms)
     add(BASE, tf * np.log10((word + 1) / (known.tokens + known.types + 1)))
     add(KNOWN, tf * (word > 0))
     return out
@@ -190,7 +198,7 @@ def _contribution(known: Unigrams, docs: np.ndarray, tf: np.ndarray, pair: np.nd
 
 def _sparse(stats: np.ndarray) -> bytes:
     at = np.flatnonzero(stats.any(axis=1))
-    return pack(at, *stats[at].T)
+    return pack(at, *(stats[at, k] if k in (TERMS, BASE) else stats[at, k].astype(np.int64) for k in range(STATS)))
 
 
 def _deal(known: Unigrams, buckets: int):
@@ -209,16 +217,18 @@ def _deal(known: Unigrams, buckets: int):
             header = pickle.dumps((c.ids.to_pylist(), c.held, c.sizes, stats), 5)
             rows = [(name % buckets, name, 0, zstandard.compress(header, 1))]
             words, contexts, docs, hot = c.words[~here], c.contexts[~here], c.docs[~here], w[~here] >= 0
-            bucket = np.where(hot, (words ^ (contexts * np.uint64(0x9E3779B97F4A7C15))) % np.uint64(buckets), words % np.uint64(buckets)).astype(np.int64)
+            bucket = np.where(hot, (words ^ (contexts * np.uint64(0x9E3779B97F4A7C15))) % np.uint64(buckets), words % np.uint64(buckets)).astype(np.int32)
             order = np.lexsort((contexts, words, bucket))
             words, contexts, docs, bucket = words[order], contexts[order], docs[order], bucket[order]
+            held = c.held
+            del c, w, u, count, here, hot, order  # the largest arrays of the task
             if len(words):
                 new_pair = np.r_[True, (words[1:] != words[:-1]) | (contexts[1:] != contexts[:-1]) | (bucket[1:] != bucket[:-1])]
                 new = new_pair | np.r_[True, docs[1:] != docs[:-1]]
                 at = np.flatnonzero(new)
                 tf = np.diff(np.r_[at, len(words)])
                 words, contexts, docs, bucket, new_pair = words[at], contexts[at], docs[at], bucket[at], new_pair[at]
-                training = np.where(c.held[docs], 0, tf)
+                training = np.where(held[docs], 0, tf)
                 edges = np.searchsorted(bucket, np.arange(buckets + 1))
                 for b in range(buckets):
                     s = slice(edges[b], edges[b + 1])
@@ -344,7 +354,7 @@ def _back_off(rate: np.ndarray):
                 i = np.minimum(np.searchsorted(names, u), len(names) - 1)
                 x = np.where(names[i] == u, tf * weight[i], 0.0)
                 stats = np.zeros((int(docs.max()) + 1, STATS))
-                stats[:, UNSEEN] = np.bincount(docs, x)
+                stats[:, TERMS] = np.bincount(docs, x)
                 out.append((1, 0, chunk, _sparse(stats)))
             yield from _emit(out)
 
@@ -365,7 +375,7 @@ def _add_up(known: Unigrams, rate: np.ndarray):
                     at, *columns = unpack(r[3])
                     for k, x in enumerate(columns):
                         stats[at, k] += x
-            score = stats[:, :K] @ logs + stats[:, ABOVE] * np.log10(rate[K + 1]) + stats[:, LOGS] - stats[:, CONTEXTS] + stats[:, UNSEEN]
+            score = stats[:, :K] @ logs + stats[:, ABOVE] * np.log10(rate[K + 1]) + stats[:, TERMS]
             score -= np.log10(max(known.documents, 1))
             n = len(sizes)
             if known.tokens == 0:
@@ -410,6 +420,8 @@ def score_corpus(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_c
     known = unigrams(rows, hot)
     dealt = rows.mapInArrow(_deal(known, buckets), "bucket int, chunk long, kind int, data binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     table = stored(dealt.mapInArrow(_meet(known, buckets), "kind int, key int, chunk long, data binary"))
+    del dealt
+    release(df.sparkSession)
     of = np.zeros(K + 1, np.int64)
     for r in table.filter("kind = 4").select("data").collect():  # six numbers a bucket
         of += unpack(r.data)[0].astype(np.int64)
