@@ -1,14 +1,19 @@
 """Removal of repeated passages by overlapping three-line windows.
 
-A line is what a text's line breaks give, cut further after sentence ends and after MAX_LINE_WORDS words, so a
-passage of over 50 words that starts at a line or sentence has three lines at least, even if it is one line of
-the file. Every three consecutive lines are hashed (96 bits; a text with fewer lines is one window); windows
+A line is what a text's line breaks give, cut further at places that the words themselves choose: of every REACH
+words in a row, the one with the least key starts a line, where the key is a hash of the word and the one before,
+a word after a sentence end has a lesser one than others, and the next two words after it or after a line break a
+greater one. Where a passage starts, in which text, and whether it has punctuation doesn't matter: copies are cut
+alike but for the ends (REACH + 2 words before, REACH after), so any 4 * REACH + 3 = 51 words have three whole
+lines in common. Every three consecutive lines are hashed (96 bits; a text with fewer lines is one window); windows
 that occur in several documents are found with one aggregation, and every occurrence but that in the document
 with the smallest id is later. Occurrences after the first inside one document are later too. The lines under
 later windows are merged and removed; what remains keeps its order and its white space. Every removed line
 remains where its window occurs first.
 
-Windows of fewer than MIN_WINDOW_WORDS words are not compared: such lines repeat by chance.
+Three lines of fewer than MIN_WINDOW_WORDS words repeat by chance. Such a window is widened to as many words, once by
+the lines after it and once by those before, so that any three or more repeated lines with as many words go as a
+whole, however short the lines are.
 
 Defined cases: a null text stays null; rows with the same id count as one document, rows with a null id as one
 that comes last, and equal rows keep the same text; a text with nothing left after the removal goes, one that
@@ -17,7 +22,6 @@ had no word before stays; an empty table gives an empty table; other columns pas
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,42 +35,136 @@ from pyspark.sql import types as T
 from ductus.llm.common import WORD, text_or_empty
 
 WINDOW = 3
-MAX_LINE_WORDS = 16
+#: Of so many words in a row, one starts a line; the last ones of a text may be fewer.
+REACH = 12
 MIN_WINDOW_WORDS = 8
-#: Words that don't end a sentence, with the white space after them unless it breaks the line, then one more.
-LINE = re.compile(rb"(?:[^\x20\x09-\x0D]++(?<![.!?])[\x20\x09\x0B-\x0D]++){0,%d}[^\x20\x09-\x0D]++[\x20\x09-\x0D]*" % (MAX_LINE_WORDS - 1))
+_SPACE, _STOP = np.zeros(256, bool), np.zeros(256, bool)
+_SPACE[list(b" \t\n\x0b\f\r")] = True
+_STOP[list(b".!?")] = True
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_K1, _K2, _K3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _K3
+    return x ^ (x >> np.uint64(29))
+
+
+def _cut(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts in one buffer; of each line the text it is of, its first byte, the end of its last word, its words."""
+    data = bytes(8) + b"".join(b"\n" + t for t in texts) + bytes(8)
+    b = np.frombuffer(data, np.uint8)[7:-8]  # with a byte before the first break
+    space = _SPACE[b]
+    space[0] = True
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 8
+    if len(edges) % 2:
+        edges = np.append(edges, len(data) - 8)
+    start, end = edges[0::2], edges[1::2]
+    n = len(start)
+    begins = np.zeros(n + 1, bool)
+    begins[np.searchsorted(start, np.flatnonzero(b[1:] == 10) + 8)] = True
+    begins = begins[:n]
+    if n >= REACH:
+        eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        size = np.minimum(end - start, 8)
+        word = _mix((eight[start] & _MASK[size]) * _K1 + (eight[end - 8] >> (64 - 8 * size).astype(np.uint64)) * _K2 + (end - start).astype(np.uint64))
+        pair = _mix(word[1:] + word[:-1] * _K1)
+        low = np.uint64(0xFFFFFFFF) - np.arange(n, dtype=np.uint64)
+        key = low.copy()
+        stop = _STOP[b[end[:-1] - 8]]
+        near = begins | np.append(False, stop)
+        near[1:] |= near[:-1].copy()
+        near = near[:-1]  # a break or a sentence end one or two words before
+        # Breaks first, then sentence ends, others, and what would leave a scrap of one or two words.
+        band = np.where(stop, np.uint64(1), np.where(near, np.uint64(3), np.uint64(2))) << np.uint64(62)
+        key[1:] |= np.where(begins[1:], np.uint64(0), (pair >> np.uint64(2) | band) & ~np.uint64(0xFFFFFFFF))
+        two = np.minimum(key[:-1], key[1:])
+        four = np.minimum(two[:-2], two[2:])
+        eights = np.minimum(four[:-4], four[4:])
+        least = np.minimum(eights[:-4], four[8:])  # of REACH words
+        begins[(np.uint64(0xFFFFFFFF) - (least & np.uint64(0xFFFFFFFF))).astype(np.int64)] = True
+    first = np.flatnonzero(begins)
+    after = np.append(first[1:], n)[: len(first)]
+    offsets = np.cumsum([9] + [len(t) + 1 for t in texts[:-1]])
+    of = np.searchsorted(offsets, start[first], "right") - 1
+    return data, of, start[first], end[after - 1], after - first
 
 
 def lines(text: bytes) -> list[bytes]:
     """The lines of a text, each with the white space after it."""
-    return LINE.findall(text)
+    data, _, start, _, _ = _cut([text])
+    return [data[a:b] for a, b in zip(start, [*start[1:], len(data) - 8])]
 
 
-def windows(found: list[bytes], size: int = WINDOW, min_words: int = MIN_WINDOW_WORDS) -> list[tuple[int, bytes]]:
+def _chained(d: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of so many lines from each place."""
+    h = _mix(d[at])
+    for k in range(1, size):
+        h = _mix(h * _K1 + d[at + k])
+    return h
+
+
+def _hashed(of: np.ndarray, digests: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places among all lines of the windows that are compared, and their hashes as two integers.
+
+    A wider window is a few: its hash with the place in it, every three lines.
+    """
+    d = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
+    count = np.bincount(of) if len(of) else np.zeros(0, np.int64)
+    place = np.arange(len(of)) - (np.cumsum(count) - count)[of]
+    left = count[of] - place
+    places, hashes = [], []
+    for size in range(1, WINDOW):  # texts with fewer lines
+        at = np.flatnonzero((count[of] == size) & (place == 0))
+        at = at[sum(n[at + k] for k in range(size)) >= MIN_WINDOW_WORDS]
+        places.append(at)
+        hashes.append(_chained(d, at, size))
+    at = np.flatnonzero(left >= WINDOW)
+    words = sum(n[at + k] for k in range(WINDOW))
+    places.append(at[words >= MIN_WINDOW_WORDS])
+    hashes.append(_chained(d, places[-1], WINDOW))
+    short = words < MIN_WINDOW_WORDS
+    on, w_on, back, w_back = at[short], words[short], at[short], words[short]
+    for size in range(WINDOW + 1, MIN_WINDOW_WORDS + 1):
+        there = left[on] >= size
+        on, w_on = on[there], w_on[there] + n[on[there] + size - 1]
+        there = place[back] >= size - WINDOW
+        back, w_back = back[there], w_back[there] + n[back[there] - (size - WINDOW)]
+        at = np.union1d(on[w_on >= MIN_WINDOW_WORDS], back[w_back >= MIN_WINDOW_WORDS] - (size - WINDOW))
+        h = _chained(d, at, size)
+        for k in sorted({*range(0, size - WINDOW, WINDOW), size - WINDOW}):
+            places.append(at + k)
+            hashes.append(_mix(h + np.uint64(k)))
+        on, w_on, back, w_back = on[w_on < MIN_WINDOW_WORDS], w_on[w_on < MIN_WINDOW_WORDS], back[w_back < MIN_WINDOW_WORDS], w_back[w_back < MIN_WINDOW_WORDS]
+    return np.concatenate(places), np.concatenate(hashes)
+
+
+def windows(found: list[bytes]) -> list[tuple[int, bytes]]:
     """(place, hash) of the windows that are compared, by the place of their first line."""
-    digests = [xxhash.xxh3_128_digest(x.rstrip()) for x in found]
-    n = [len(x.split()) for x in found]
-    if len(found) < size:
-        return [(0, xxhash.xxh3_128_digest(b"".join(digests)))] if found and sum(n) >= min_words else []
-    out = []
-    for i in range(len(found) - size + 1):
-        if sum(n[i : i + size]) >= min_words:
-            out.append((i, xxhash.xxh3_128_digest(b"".join(digests[i : i + size]))))
+    at, h = _hashed(np.zeros(len(found), np.int64), [xxhash.xxh3_128_digest(x.rstrip()) for x in found], np.array([len(x.split()) for x in found], np.int64))
+    return [(int(i), x.tobytes()) for i, x in zip(at, h)]
+
+
+def _places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows of the texts that are compared: the text, the place in it, the hash."""
+    data, of, start, end, n = _cut(texts)
+    at, h = _hashed(of, [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(start.tolist(), end.tolist())], n)
+    return of[at], at - np.searchsorted(of, of[at]), h
+
+
+def _again(row: np.ndarray, place: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether a window occurs earlier in its own text."""
+    order = np.lexsort((place, h[:, 1], h[:, 0], row))
+    r, x = row[order], h[order]
+    out = np.zeros(len(row), bool)
+    out[order[1:][(r[1:] == r[:-1]) & (x[1:] == x[:-1]).all(1)]] = True
     return out
 
 
 def without(text: bytes, places: list[int]) -> bytes:
-    """text without the lines under its own repeated windows and under those at the given places."""
+    """text without the lines under the windows at the given places."""
     found = lines(text)
-    seen: set[bytes] = set()
-    later = set(places)
-    for i, h in windows(found):
-        if h in seen:
-            later.add(i)
-        seen.add(h)
-    if not later:
-        return text
-    covered = {k for i in later for k in range(i, i + WINDOW)}
+    covered = {k for i in places for k in range(i, i + WINDOW)}
     left = [x for k, x in enumerate(found) if k not in covered]
     head = text[: len(text) - sum(map(len, found))]
     return (head + b"".join(left)).rstrip() if left and len(found) - 1 in covered else head + b"".join(left)
@@ -78,23 +176,28 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low in range(0, len(batch), 500):
             part = batch.slice(low, 500)
-            row, place, hashes = [], [], []
-            for k, x in enumerate(part.column(2).cast(pa.binary())):
-                first: dict[bytes, int] = {}
-                for i, h in windows(lines(x.as_py())):
-                    first.setdefault(h, i)
-                row += [k] * len(first)
-                place += first.values()
-                hashes += first
-            h = pa.py_buffer(b"".join(hashes))
-            both = pa.Array.from_buffers(pa.int64(), 2 * len(hashes), [None, h]).to_numpy()
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(place, pa.int32()), pa.array(both[0::2]), pa.array(both[1::2].astype(np.int32))], names)
+            row, place, h = _places(part.column(2).cast(pa.binary()).to_pylist())
+            keep = np.flatnonzero(~_again(row, place, h))
+            take = pa.array(row[keep])
+            both = h[keep].view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(place[keep].astype(np.int32)), pa.array(both[:, 0]), pa.array(both[:, 1].astype(np.int32))], names)
 
 
 @F.pandas_udf(T.StringType())
 def _rewritten(texts: pd.Series, places: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else without(t.encode(), [] if p is None else list(p)).decode() for t, p in zip(texts, places)])
+    """The texts without their own repeated windows and without those at the given places."""
+    out = texts.tolist()
+    for low in range(0, len(out), 500):
+        later = {k: list(p) for k, p in enumerate(places.iloc[low : low + 500]) if p is not None}
+        part = [b"" if t is None else t.encode() for t in out[low : low + 500]]
+        row, place, h = _places(part)
+        at = np.flatnonzero(_again(row, place, h))
+        for k, i in zip(row[at].tolist(), place[at].tolist()):
+            later.setdefault(k, []).append(i)
+        for k, found in later.items():
+            if out[low + k] is not None:
+                out[low + k] = without(part[k], found).decode()
+    return pd.Series(out, dtype=object)
 
 
 #: Not to be copied into the filter above it, which would run it twice.

@@ -1,5 +1,6 @@
 """The pipeline's stages, each on what the one before kept, against brute force."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -86,3 +87,30 @@ def test_every_document_in_the_query(spark):
     assert Counter((r.doc_id, tuple(r.text.encode().split())) for r in rows if r.text.strip()) == Counter({k: n for k, n in want.items() if k[1]})
     before = {r.doc_id: len(r.text) for r in docs}
     assert all(r.n_chars == len(r.text) and r.n_removed == before[r.doc_id] - r.n_chars for r in rows)
+
+
+def test_passages_are_cut_alike_wherever_they_start():
+    rnd = random.Random(3)
+    words = lambda n, end: [f"{rnd.choice('abcdefgh')}{rnd.randrange(3000)}{end * (rnd.random() < 0.1)}" for _ in range(n)]
+    for end in ("", "."):
+        for n in (51, 60, 100):
+            for _ in range(100):
+                passage = words(n, end)
+                found = []
+                for _ in range(2):
+                    text = " ".join([*words(rnd.randrange(40), end), *passage, *words(rnd.randrange(40), end)])
+                    found.append({h for _, h in line_dedup.windows(line_dedup.lines(text.encode()))})
+                assert found[0] & found[1]
+
+
+def test_a_passage_in_the_middle_of_sentences_goes(spark):
+    rnd = random.Random(4)
+    words = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    passage = words(51)
+    texts = [" ".join([*words(17 + 5 * d), *passage, *words(23)]) for d in range(6)]
+    got = {r.doc_id: r.text.split() for r in line_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0] == texts[0].split()
+    for d in range(1, 6):
+        own = texts[d].split()
+        assert own[: 17 + 5 * d] + own[-23:] == [w for w in got[d] if w not in passage]
+        assert sum(w in passage for w in got[d]) <= 2 * line_dedup.REACH + 2
