@@ -352,6 +352,15 @@ def perplexity(spark, d):
     return out.select(*KEY, F.when(F.length("text") == 0, "inf").otherwise(F.round(value, 3).cast("string")).alias("perplexity"))
 
 
+@query(f"WITH {_LM} SELECT doc_id, line_no, CASE WHEN length(text) = 0 THEN 'inf'::DOUBLE ELSE -round(score, 6) / length(text) END AS log10_perplexity FROM sc")
+def perplexity_all_lines(spark, d):
+    """Every line, however short; the logarithm, since large powers round differently."""
+    rows = script_lines(spark, d)
+    scored = language_model.score(rows, _small_model(spark, d), 2, KEY).join(rows, KEY)
+    value = F.when(F.length("text") == 0, F.lit(float("inf"))).otherwise(-F.round("score", 6) / F.length("text"))
+    return scored.select(*KEY, value.alias("log10_perplexity"))
+
+
 @query(f"""WITH {SQL}, v AS (SELECT DISTINCT unnest({_CHARS('text')}) AS ch FROM lines WHERE doc_id % 2 = 0), c AS (SELECT unnest({_CHARS('text')}) AS ch FROM lines),
 n AS (SELECT ch, count(*) AS n FROM c WHERE regexp_matches(ch, '\\S') GROUP BY ch)
 SELECT sum(n)::BIGINT AS tokens, sum(CASE WHEN v.ch IS NULL THEN n ELSE 0 END)::BIGINT AS oov, round(sum(CASE WHEN v.ch IS NULL THEN n ELSE 0 END) / sum(n), 9) AS rate FROM n LEFT JOIN v ON n.ch = v.ch""")
