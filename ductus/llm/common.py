@@ -6,7 +6,10 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +61,19 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def by_bytes(column: pa.Array, most: int, rows: int) -> Iterator[tuple[int, int]]:
+    """(first row, number of rows) of slices of a column of texts: at most so many bytes and rows, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    low = total = 0
+    for k, size in enumerate(sizes):
+        if k > low and (total + size > most or k - low >= rows):
+            yield low, k - low
+            low, total = k, 0
+        total += size
+    if len(sizes) > low:
+        yield low, len(sizes) - low
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -5,19 +5,19 @@ words in a row, the one with the least key starts a line, where the key is a has
 a word after a sentence end has a lesser one than others, and the next two words after it or after a line break a
 greater one. Where a passage starts, in which text, and whether it has punctuation doesn't matter: copies are cut
 alike but for the ends (REACH + 2 words before, REACH after), so any 4 * REACH + 3 = 51 words have three whole
-lines in common. Every three consecutive lines are hashed (96 bits; a text with fewer lines is one window); windows
-that occur in several documents are found with one aggregation, and every occurrence but that in the document
-with the smallest id is later. Occurrences after the first inside one document are later too. The lines under
-later windows are merged and removed; what remains keeps its order and its white space. Every removed line
-remains where its window occurs first.
-
-Three lines of fewer than MIN_WINDOW_WORDS words repeat by chance. Such a window is widened to as many words, once by
-the lines after it and once by those before, so that any three or more repeated lines with as many words go as a
-whole, however short the lines are.
-
-Defined cases: a null text stays null; rows with the same id count as one document, rows with a null id as one
-that comes last, and equal rows keep the same text; a text with nothing left after the removal goes, one that
-had no word before stays; an empty table gives an empty table; other columns pass through untouched.
+lines in common. Every three consecutive lines are hashed (96 bits), however short they are; a text with fewer
+lines is one window. Of all occurrences of a window, the one in the first document, and there the first one, stays;
+the others are later. The lines under later windows are merged and removed; what remains keeps its order and its
+white space. Every removed line remains where its window occurs first.
+
+Windows cross the network once. A task settles what it can: of the rows of a chunk that hold a window, all but the
+first are later, whatever other tasks hold, so one row a chunk and window is left to compare, and a window that a
+third of all documents share is no larger a group than there are chunks.
+
+Defined cases: a null text stays null; documents are ordered by id, null ids last, then by a hash of the text, so
+rows that share an id (or have none) but not the text are different documents; rows with equal id and text are one
+document and keep the same text; a text with nothing left after the removal goes, one that had no word before
+stays; an empty table gives an empty table; other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -28,16 +28,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ductus.llm.common import WORD, text_or_empty
+from ductus.llm.common import WORD, by_bytes, text_or_empty
 
 WINDOW = 3
 #: Of so many words in a row, one starts a line; the last ones of a text may be fewer.
 REACH = 12
-MIN_WINDOW_WORDS = 8
+#: Windows that a task compares among themselves before they cross the network.
+CHUNK = 500_000
 _SPACE, _STOP = np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[list(b" \t\n\x0b\f\r")] = True
 _STOP[list(b".!?")] = True
@@ -96,107 +97,99 @@ def lines(text: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip(start, [*start[1:], len(data) - 8])]
 
 
-def _chained(d: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of so many lines from each place."""
-    h = _mix(d[at])
-    for k in range(1, size):
-        h = _mix(h * _K1 + d[at + k])
-    return h
-
-
-def _hashed(of: np.ndarray, digests: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places among all lines of the windows that are compared, and their hashes as two integers.
-
-    A wider window is a few: its hash with the place in it, every three lines.
-    """
+def _windows(of: np.ndarray, digests: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The place among all lines of every window's first line, and two hashes of it; of: the text of each line."""
     d = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
     count = np.bincount(of) if len(of) else np.zeros(0, np.int64)
     place = np.arange(len(of)) - (np.cumsum(count) - count)[of]
-    left = count[of] - place
     places, hashes = [], []
-    for size in range(1, WINDOW):  # texts with fewer lines
-        at = np.flatnonzero((count[of] == size) & (place == 0))
-        at = at[sum(n[at + k] for k in range(size)) >= MIN_WINDOW_WORDS]
+    for size in range(1, WINDOW + 1):
+        at = np.flatnonzero((count[of] == size) & (place == 0) if size < WINDOW else count[of] - place >= WINDOW)
+        h = _mix(d[at] + np.uint64(size))
+        for k in range(1, size):
+            h = _mix(h * _K1 + d[at + k])
         places.append(at)
-        hashes.append(_chained(d, at, size))
-    at = np.flatnonzero(left >= WINDOW)
-    words = sum(n[at + k] for k in range(WINDOW))
-    places.append(at[words >= MIN_WINDOW_WORDS])
-    hashes.append(_chained(d, places[-1], WINDOW))
-    short = words < MIN_WINDOW_WORDS
-    on, w_on, back, w_back = at[short], words[short], at[short], words[short]
-    for size in range(WINDOW + 1, MIN_WINDOW_WORDS + 1):
-        there = left[on] >= size
-        on, w_on = on[there], w_on[there] + n[on[there] + size - 1]
-        there = place[back] >= size - WINDOW
-        back, w_back = back[there], w_back[there] + n[back[there] - (size - WINDOW)]
-        at = np.union1d(on[w_on >= MIN_WINDOW_WORDS], back[w_back >= MIN_WINDOW_WORDS] - (size - WINDOW))
-        h = _chained(d, at, size)
-        for k in sorted({*range(0, size - WINDOW, WINDOW), size - WINDOW}):
-            places.append(at + k)
-            hashes.append(_mix(h + np.uint64(k)))
-        on, w_on, back, w_back = on[w_on < MIN_WINDOW_WORDS], w_on[w_on < MIN_WINDOW_WORDS], back[w_back < MIN_WINDOW_WORDS], w_back[w_back < MIN_WINDOW_WORDS]
-    return np.concatenate(places), np.concatenate(hashes)
-
-
-def windows(found: list[bytes]) -> list[tuple[int, bytes]]:
-    """(place, hash) of the windows that are compared, by the place of their first line."""
-    at, h = _hashed(np.zeros(len(found), np.int64), [xxhash.xxh3_128_digest(x.rstrip()) for x in found], np.array([len(x.split()) for x in found], np.int64))
-    return [(int(i), x.tobytes()) for i, x in zip(at, h)]
-
-
-def _places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all windows of the texts that are compared: the text, the place in it, the hash."""
-    data, of, start, end, n = _cut(texts)
-    at, h = _hashed(of, [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(start.tolist(), end.tolist())], n)
-    return of[at], at - np.searchsorted(of, of[at]), h
-
-
-def _again(row: np.ndarray, place: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Whether a window occurs earlier in its own text."""
-    order = np.lexsort((place, h[:, 1], h[:, 0], row))
-    r, x = row[order], h[order]
-    out = np.zeros(len(row), bool)
-    out[order[1:][(r[1:] == r[:-1]) & (x[1:] == x[:-1]).all(1)]] = True
-    return out
-
-
-def without(text: bytes, places: list[int]) -> bytes:
-    """text without the lines under the windows at the given places."""
-    found = lines(text)
-    covered = {k for i in places for k in range(i, i + WINDOW)}
-    left = [x for k, x in enumerate(found) if k not in covered]
-    head = text[: len(text) - sum(map(len, found))]
-    return (head + b"".join(left)).rstrip() if left and len(found) - 1 in covered else head + b"".join(left)
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first occurrence of every window in each document: id, text_hash, place, h1, h2."""
-    names = ["i", "t", "place", "h1", "h2"]
+        hashes.append(h)
+    h = np.concatenate(hashes)
+    return np.concatenate(places), h[:, 0], h[:, 1].astype(np.uint32)
+
+
+def _places(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of all windows of the texts: the text, the place in it, two hashes."""
+    data, of, start, end, _ = _cut(texts)
+    at, h1, h2 = _windows(of, [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(start.tolist(), end.tolist())])
+    return of[at], at - np.searchsorted(of, of[at]), h1, h2
+
+
+def _settled(ids: np.ndarray, text_hashes: np.ndarray, row: np.ndarray, place: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the windows of some documents: those that are later, and the first one of each kind."""
+    document = np.empty(len(ids), np.int64)
+    by_id = np.lexsort((text_hashes, ids))
+    new = (ids[by_id][1:] != ids[by_id][:-1]) | (text_hashes[by_id][1:] != text_hashes[by_id][:-1])
+    document[by_id] = np.cumsum(np.append(False, new)[: len(ids)])
+    d = document[row]
+    order = np.lexsort((place, d, h2, h1))
+    first = np.append(True, (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1]))[: len(order)]
+    lead = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    again = (d[order] != d[lead]) | (place[order] != place[lead])
+    return order[again], order[first]
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of documents i, t, text: later ones (spread by their place), and the first of each kind in a chunk."""
+    held: list[tuple] = []
+
+    def chunk() -> Iterator[pa.RecordBatch]:
+        starts = np.cumsum([0, *(len(x[0]) for x in held)])
+        ids, text_hashes = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+        row, place, h1, h2 = (np.concatenate([x[k] + (starts[n] if k == 2 else 0) for n, x in enumerate(held)]) for k in range(2, 6))
+        for later, at in zip((True, False), _settled(ids, text_hashes, row, place, h1, h2)):
+            i, t = ids[row[at]], text_hashes[row[at]]
+            key = (t.view(np.uint64) * _K1 + place[at].astype(np.uint64)) if later else h1[at]
+            columns = [np.full(len(at), later), key.view(np.int64), np.zeros(len(at), np.int32) if later else h2[at].view(np.int32), i, t, place[at].astype(np.int32)]
+            for low in range(0, len(at), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[low : low + 50_000]) for c in columns], ["later", "h1", "h2", "i", "t", "place"])
+
+    n = 0
     for batch in batches:
-        for low in range(0, len(batch), 500):
-            part = batch.slice(low, 500)
-            row, place, h = _places(part.column(2).cast(pa.binary()).to_pylist())
-            keep = np.flatnonzero(~_again(row, place, h))
-            take = pa.array(row[keep])
-            both = h[keep].view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(place[keep].astype(np.int32)), pa.array(both[:, 0]), pa.array(both[:, 1].astype(np.int32))], names)
+        texts = batch.column(2)
+        for low, size in by_bytes(texts, 4_000_000, 500):
+            part = batch.slice(low, size)
+            found = _places(part.column(2).cast(pa.large_binary()).to_pylist())
+            held.append((part.column(0).to_numpy(), part.column(1).to_numpy(), *found))
+            n += len(found[0])
+            if n >= CHUNK:
+                yield from chunk()
+                held, n = [], 0
+    if n:
+        yield from chunk()
+
+
+def without(texts: list[bytes], places: list[list[int]]) -> list[bytes]:
+    """The texts without the lines under the windows at the given places of each."""
+    data, of, start, _, _ = _cut(texts)
+    edges = np.searchsorted(of, np.arange(len(texts) + 1))
+    ends = np.cumsum([9, *(len(t) + 1 for t in texts)])[1:] - 1  # of each text in data
+    out = []
+    for k, (text, at) in enumerate(zip(texts, places)):
+        first = start[edges[k] : edges[k + 1]].tolist()
+        gone = np.zeros(len(first) + WINDOW, bool)
+        for i in range(WINDOW):
+            gone[np.asarray(at, np.int64) + i] = True
+        after = [*first[1:], int(ends[k])]
+        left = b"".join([data[a:b] for a, b, g in zip(first, after, gone.tolist()) if not g])
+        head = text[: len(text) - (after[-1] - first[0])] if first else text
+        out.append((head + left).rstrip() if left and gone[len(first) - 1] else head + left)
+    return out
 
 
 @F.pandas_udf(T.StringType())
 def _rewritten(texts: pd.Series, places: pd.Series) -> pd.Series:
-    """The texts without their own repeated windows and without those at the given places."""
     out = texts.tolist()
     for low in range(0, len(out), 500):
-        later = {k: list(p) for k, p in enumerate(places.iloc[low : low + 500]) if p is not None}
-        part = [b"" if t is None else t.encode() for t in out[low : low + 500]]
-        row, place, h = _places(part)
-        at = np.flatnonzero(_again(row, place, h))
-        for k, i in zip(row[at].tolist(), place[at].tolist()):
-            later.setdefault(k, []).append(i)
-        for k, found in later.items():
-            if out[low + k] is not None:
-                out[low + k] = without(part[k], found).decode()
+        rows = [k for k in range(low, min(low + 500, len(out))) if places.iloc[k] is not None and out[k] is not None]
+        for k, text in zip(rows, without([out[k].encode() for k in rows], [places.iloc[k] for k in rows])):
+            out[k] = text.decode()
     return pd.Series(out, dtype=object)
 
 
@@ -212,9 +205,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     last = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
     text_hash = F.xxhash64(text_or_empty(text_col))
     rows = df.select(last.alias("i"), text_hash.alias("t"), text_or_empty(text_col).alias("text"))
-    found = rows.mapInArrow(_windows, "i long, t long, place int, h1 long, h2 int")
-    shared = found.groupBy("h1", "h2").agg(F.min("i").alias("first"), F.max("i").alias("last")).filter("first < last").drop("last")
-    later = found.join(shared, ["h1", "h2"]).filter("i > first").groupBy("i", "t").agg(F.collect_set("place").alias("places"))
+    found = rows.mapInArrow(_found, "later boolean, h1 long, h2 int, i long, t long, place int")
+    place = F.rank().over(Window.partitionBy("later", "h1", "h2").orderBy("i", "t"))
+    later = found.withColumn("rank", place).filter("later OR rank > 1").groupBy("i", "t").agg(F.collect_set("place").alias("places"))
     later = later.select(F.col("i").alias("__i"), F.col("t").alias("__t"), F.col("places").alias("__places"))
     text = F.col(text_col).cast("string")
     out = df.join(later, (last == F.col("__i")) & (text_hash == F.col("__t")), "left").withColumn("__new", _once(text, F.col("__places")))

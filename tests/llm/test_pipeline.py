@@ -3,6 +3,9 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
 from ductus.llm import line_dedup, mixing, packing, quality, simhash
 from ductus.llm.common import stored
@@ -10,21 +13,61 @@ from ductus.llm.common import stored
 SF = "/root/testdata/sf0.001"
 
 
+MASK = 2**64 - 1
+
+
+def mixed(x):
+    x = ((x ^ x >> 32) * 0xD6E8FEB86659FD93) & MASK
+    return x ^ x >> 29
+
+
+def plain_lines(text):
+    """The lines of a text as lists of words, by the rule as the module states it, word by word."""
+    words = [(w, k == 0) for line in text.encode().split(b"\n") for k, w in enumerate(line.split())]
+    number = [mixed((int.from_bytes(w[:8], "little") * 0x9E3779B97F4A7C15 + int.from_bytes(w[-8:], "little") * 0xC2B2AE3D27D4EB4F + len(w)) & MASK) for w, _ in words]
+    ends = [w[-1:] in (b".", b"!", b"?") for w, _ in words]
+    starts = [k for k, (_, first) in enumerate(words) if first]
+    keys = []
+    for k, (_, first) in enumerate(words):
+        if first:
+            keys.append((0, 0, -k))
+            continue
+        near = any(words[j][1] or j and ends[j - 1] for j in range(max(0, k - 2), k) if j != k)
+        pair = mixed((number[k] + number[k - 1] * 0x9E3779B97F4A7C15) & MASK)
+        keys.append((1 if ends[k - 1] else 3 if near else 2, pair >> 2 >> 32, -k))
+    reach = line_dedup.REACH
+    starts += [-min(keys[k : k + reach])[2] for k in range(len(words) - reach + 1)]
+    starts = sorted(set(starts))
+    return [[w for w, _ in words[a:b]] for a, b in zip(starts, [*starts[1:], len(words)])]
+
+
 def brute_lines(rows):
+    """What is left of every document, by comparing the lines themselves."""
+    order = lambda r: (r[0] is None, r[0] or 0, r[2])
+    rows = [(i, text, t) for (i, text), t in zip(rows, text_hashes([text for _, text in rows]))]
+    kinds = lambda found: [(place, tuple(map(tuple, found[place : place + 3]))) for place in range(max(1, len(found) - 2)) if found]
     first = {}
-    for i, text in sorted(rows):
-        for place, h in line_dedup.windows(line_dedup.lines(text.encode())):
-            first.setdefault(h, (i, place))
+    for i, text, t in sorted(set(rows), key=order):
+        for place, h in kinds(plain_lines(text)):
+            first.setdefault(h, (i, t, place))
     out = Counter()
-    for i, text in rows:
-        found = line_dedup.lines(text.encode())
-        gone = {k for place, h in line_dedup.windows(found) if first[h] != (i, place) for k in range(place, place + 3)}
-        left = b"".join(x for k, x in enumerate(found) if k not in gone)
-        if left.split() or not text.split():
-            out[(i, tuple(left.split()))] += 1
+    for i, text, t in rows:
+        found = plain_lines(text)
+        gone = {k for place, h in kinds(found) if first[h] != (i, t, place) for k in range(place, place + 3)}
+        left = [w for k, x in enumerate(found) if k not in gone for w in x]
+        if left or not text.split():
+            out[(i, tuple(left))] += 1
     return out
 
 
+def text_hashes(texts):
+    from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
+
+    rows = SparkSession.getActiveSession().createDataFrame(list(enumerate(texts)), "k int, text string")
+    return [r.h for r in rows.select("k", F.xxhash64("text").alias("h")).orderBy("k").collect()]
+
+
 def test_lines_put_together_again():
     for text in (b"", b" ", b" ab cd. e\n f g\n\nh! i j", b"w " * 100, b"a.b c\td\x0be"):
         found = line_dedup.lines(text)
@@ -99,7 +142,9 @@ def test_passages_are_cut_alike_wherever_they_start():
                 found = []
                 for _ in range(2):
                     text = " ".join([*words(rnd.randrange(40), end), *passage, *words(rnd.randrange(40), end)])
-                    found.append({h for _, h in line_dedup.windows(line_dedup.lines(text.encode()))})
+                    lines = line_dedup.lines(text.encode())
+                    assert [x.split() for x in lines] == plain_lines(text)
+                    found.append({tuple(x.strip() for x in lines[k : k + 3]) for k in range(len(lines) - 2)})
                 assert found[0] & found[1]
 
 
@@ -114,3 +159,37 @@ def test_a_passage_in_the_middle_of_sentences_goes(spark):
         own = texts[d].split()
         assert own[: 17 + 5 * d] + own[-23:] == [w for w in got[d] if w not in passage]
         assert sum(w in passage for w in got[d]) <= 2 * line_dedup.REACH + 2
+
+
+def test_short_lines_and_rows_without_an_id_of_their_own(spark):
+    menu = "a b\nc d\ne f"
+    rows = [(1, f"{menu}\nfirst text"), (2, f"before it\n{menu}"), (2, f"{menu}\nthe other row of an id"), (None, f"x y z\n{menu}"), (None, f"{menu}\nlast"), (3, "k\nl\nm\nk\nl\nm\nn"), (3, "k\nl\nm\nk\nl\nm\nn"), (4, "two\nlines"), (5, "two\nlines")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in line_dedup.remove_repeats(df).collect())
+    assert got == Counter({(1, rows[0][1]): 1, (2, "before it"): 1, (2, "the other row of an id"): 1, (None, "x y z"): 1, (None, "last"): 1, (3, "k\nl\nm\nn"): 2, (4, "two\nlines"): 1})
+    assert Counter((i, tuple(t.encode().split())) for i, t in got.elements()) == brute_lines(rows)
+
+
+def test_chunks_of_any_size_give_the_same(spark, monkeypatch):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    ids = np.array([i for i, _ in rows])
+    hashes = np.array(text_hashes([t for _, t in rows]))
+    *found, = line_dedup._places([t.encode() for _, t in rows])
+    later, first = line_dedup._settled(ids, hashes, *found)
+    removed = sum(len(t.encode().split()) for _, t in rows) - sum(len(w) * n for (_, w), n in brute_lines(rows).items())
+    places = {}
+    for k in later:
+        places.setdefault(found[0][k], []).append(found[1][k])
+    at = sorted(places)
+    texts = [rows[k][1].encode() for k in at]
+    assert removed == sum(len(a.split()) - len(b.split()) for a, b in zip(texts, line_dedup.without(texts, [places[k] for k in at])))
+    for size in (1, 700):
+        monkeypatch.setattr(line_dedup, "CHUNK", size)
+        batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hashes), pa.array([t for _, t in rows])], ["i", "t", "text"])
+        out = pa.Table.from_batches(line_dedup._found(batch.slice(k, 10) for k in range(0, len(rows), 10))).to_pylist()
+        marked = {(r["i"], r["t"], r["place"]) for r in out if r["later"]}
+        best = {}
+        for r in (r for r in out if not r["later"]):
+            best.setdefault((r["h1"], r["h2"]), []).append((r["i"], r["t"], r["place"]))
+        marked |= {x for group in best.values() for x in sorted(group)[1:]}
+        assert marked == {(ids[found[0][k]], hashes[found[0][k]], found[1][k]) for k in later}
