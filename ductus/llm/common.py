@@ -39,7 +39,7 @@ def stored(df: DataFrame, *sort: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again.
 
     It cuts the lineage: a lost executor costs the tasks that run, not the steps before. The table
-    goes when the driver's JVM ends.
+    goes when it is discarded, at the latest when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/ductus-{uuid.uuid4().hex}"
@@ -47,7 +47,17 @@ def stored(df: DataFrame, *sort: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._ductus_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._ductus_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

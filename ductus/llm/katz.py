@@ -1,35 +1,40 @@
-"""Katz backoff language model: Good-Turing discounted counts, exactly normalised backoff weights.
-
-P(w | u) is c*(u, w) / C(u) for a bigram seen in training and alpha(u) P(w) for one that isn't; P(w) is c*(w) / N
-for a seen word, and what is left for the one unseen type. c* is the Good-Turing count up to K and LARGE times
-the count above, so every context keeps something for its unseen words; alpha(u) is what the seen words of u
-leave, over what they leave of the unigrams, and the words' probabilities add up to one in every context.
-
-Distribution. Words are 64-bit hashes. A task turns its documents into the bigrams it has seen, each with its
-training count and the documents that hold it, and sends them as packed arrays to buckets by the bigram's word,
-the partitions of the n-gram table. A bucket thus has all bigrams of a word: the word's count, its unigram
-probability, and each document's share of
-
-    score = sum over seen bigrams of log c*  -  sum over known contexts of log C(u)
-            + sum over unseen bigrams of (log P(w) + log(alpha(u) C(u))).
-
-Only the last term needs the context's other words: buckets send, by context, their part of alpha (numbers of
-followers by count, their unigram mass) and the bigrams they didn't find; what comes back is added up by document.
-
-Words too frequent for one bucket don't meet in one: the HOT most frequent ones are counted first; a bigram of
-two hot words is looked up in a table of at most HOT^2 counts by the task that has the text, one of a hot word
-after another goes to a bucket by both words. No other word can have more than a HOT-th of all tokens.
+"""Katz backoff language model of any order: Good-Turing discounted counts, exactly normalised backoff weights.
+
+    P(w | C) = c*(C, w) / c(C)                 if the n-gram (C, w) was seen in training,
+             = alpha(C) P(w | C without its first word)   if only the context C was,
+             = P(w | C without its first word)            if not even C was,
+
+evaluated recursively for every token down to P(w) = c*(w) / N, or what is left for the one unseen type. c* is the
+Good-Turing count up to K and LARGE times the count above, so every context keeps something for its unseen words;
+alpha(C) is what the seen words of C leave, over what they leave of the next lower order, and so the words'
+probabilities add up to one in every context. A text starts after START words, which are contexts only.
+
+Tables. The corpus is stored once as chunks of documents: a dictionary and the place of each token in it. Words are
+numbered by the first exchange, frequent ones first, and from then on n-grams are exact tuples of numbers. The n-gram
+table of an order is partitioned by context: a chunk sends each of its distinct n-grams whose context was seen once,
+with its training count, to the context's bucket; the bucket adds up the counts and answers, in the order asked, with
+every n-gram's count and, for contexts with words unseen after them, the sums that make alpha. Answers are stored; the
+next order's contexts and counts come from them. So text crosses the network as distinct n-grams only, a word or
+n-gram in a third of all rows is one entry a chunk, and discounts (from counts of counts, a few numbers a bucket) are
+known before they are needed.
+
+Hot contexts. A context with more than LIMIT training tokens is split by its next words over as many buckets as that
+takes; the parts' sums, 2 MAX_HOT rows at most, are added up on the driver. Sizes follow from the counts of the order
+below, so nothing but LIMIT has to be chosen: bucket entries / 4, or a MAX_HOT-th of all tokens in a corpus for which
+that is more.
 
 Defined cases: a null text is an empty one, whose only token is the end; a row with a null id is training data;
 repeated rows are counted and scored one by one; without training rows every probability is one (score 0); an
-empty table gives an empty table; other columns of the input are not looked at.
+empty table gives an empty table; other columns of the input are not looked at. A document is one chunk at least,
+so a task needs some 100 bytes a token of the longest one.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -38,39 +43,51 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ductus.llm.common import release, stored, text_or_empty
+from ductus.llm.common import discard, release, stored, text_or_empty
 
 K = 5
 LARGE = 0.999
-HOT = 512
-#: Tokens that a task turns into packed arrays at a time.
-CHUNK_TOKENS = 1_500_000
-#: Bytes of text a bucket gets.
-BUCKET_BYTES = 16_000_000
+#: Tokens of a chunk.
+CHUNK_TOKENS = 1_200_000
+#: Tokens of the corpus for each bucket of an n-gram table.
+BUCKET_TOKENS = 2_000_000
+MAX_HOT = 100_000
 
 hash64 = xxhash.xxh3_64_intdigest
 #: No word has a space.
-START, END = hash64(b" <s>"), hash64(b" </s>")
-#: Per document: seen bigrams with count 1 to K, those above K, the score's terms that don't wait for the
-#: discounts (logs of counts above K, less those of its words as contexts, unigram logs of unseen bigrams), the
-#: base score, known tokens.
-ABOVE, TERMS, BASE, KNOWN = range(K, K + 4)
-STATS = K + 4
+END = hash64(b" </s>")
+#: Numbers of the start, and of all words that training doesn't have.
+START, UNKNOWN = 0, 1
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def pack(*arrays) -> bytes:
-    """Arrays as compressed bytes: whole numbers in few bytes, hashes as the byte planes of their differences."""
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as compressed bytes: whole numbers as byte planes, of their differences where they only grow."""
     small = []
     for a in arrays:
-        if a.dtype == np.uint64:
-            small.append(np.diff(a, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.copy())
-        else:
-            small.append(a if a.dtype.kind == "f" else a.astype(np.min_scalar_type(int(a.max()) if a.size else 0)))
+        if a.dtype.kind == "f":
+            small.append(a)
+            continue
+        a = a.astype(np.uint64)
+        grows = len(a) > 1 and bool((a[1:] >= a[:-1]).all())
+        if grows:
+            a = np.diff(a, prepend=np.uint64(0))
+        wide = max(1, -(-int(a.max()).bit_length() // 8)) if len(a) else 1
+        small.append((grows, np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :wide].T)))
     return zstandard.compress(pickle.dumps(small, 5), 1)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
-    return [np.cumsum(a.T.copy().view(np.uint64).ravel(), dtype=np.uint64) if a.ndim == 2 else a for a in pickle.loads(zstandard.decompress(data))]
+    out = []
+    for a in pickle.loads(zstandard.decompress(data)):
+        if isinstance(a, tuple):
+            grows, planes = a
+            whole = np.zeros((planes.shape[1], 8), np.uint8)
+            whole[:, : len(planes)] = planes.T
+            a = whole.view(np.int64).ravel()
+            a = np.cumsum(a) if grows else a
+        out.append(a)
+    return out
 
 
 def discounts(of: list[int]) -> np.ndarray:
@@ -88,356 +105,422 @@ def discounts(of: list[int]) -> np.ndarray:
     return out
 
 
+def hashes(columns: list[np.ndarray]) -> np.ndarray:
+    """64 bits of tuples of numbers."""
+    h = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        h = (h ^ c.astype(np.uint64)) * _MIX
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def dense(columns: list[np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Of tuples of numbers: how many different ones, a row of each, in order, and which one each row is."""
+    at = np.zeros(len(columns[0]), np.int64)
+    first = np.zeros(min(1, len(at)), np.int64)
+    for c in columns:
+        span = int(c.max()) + 1 if len(c) else 1
+        _, first, at = np.unique(at * span + c, return_index=True, return_inverse=True)
+    return len(first), first, at
+
+
+@dataclass
+class Hot:
+    """Sums of the hot contexts of an order."""
+
+    contexts: list[np.ndarray]  # by word place, in order of their hashes
+    names: np.ndarray
+    sums: np.ndarray
+
+    def of(self, columns: list[np.ndarray]) -> np.ndarray:
+        return self.sums[np.searchsorted(self.names, hashes(columns))]
+
+
 @dataclass
-class Unigrams:
-    """What of the unigrams has a fixed size: totals, discounts, and the hot words with their counts."""
+class Model:
+    """What of the model has a bound."""
 
     tokens: int
     types: int
     documents: int
-    rate: np.ndarray
+    buckets: int
+    limit: int
     unseen: float  # probability of the unseen type
-    hot: np.ndarray  # sorted hashes
-    hot_counts: np.ndarray
-    hot_pairs: np.ndarray  # counts by place in hot, context first; START is the last context
-
-    def probability(self, counts: np.ndarray) -> np.ndarray:
-        return np.where(counts > 0, self.rate[np.minimum(counts, K + 1)] * counts / max(self.tokens, 1), self.unseen)
+    rates: list[np.ndarray] = field(default_factory=list)  # discounts by order
+    hot: dict[int, Hot] = field(default_factory=dict)
 
-    def places(self, hashes: np.ndarray) -> np.ndarray:
-        """Places in hot, -1 for other words."""
-        if not len(self.hot):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hot, hashes), len(self.hot) - 1)
-        return np.where(self.hot[at] == hashes, at, -1)
+    def parts(self, counts: np.ndarray) -> np.ndarray:
+        """Over how many buckets a context of that count is spread."""
+        return -(-counts // self.limit)
 
 
 @dataclass
 class Chunk:
-    ids: pa.Array
+    """Some documents: of each id, held out, tokens; the dictionary, and the places of all tokens in it."""
+
+    ids: list
     held: np.ndarray
     sizes: np.ndarray
-    words: np.ndarray
-    contexts: np.ndarray
-    docs: np.ndarray
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_TOKENS) -> Iterator[Chunk]:
-    """Tokens of documents (id, text, held out), some documents at a time."""
-    ids, held, words, n = [], [], [], 0
-
-    def chunk() -> Chunk:
-        sizes = np.array([len(x) for x in words])
-        w = np.concatenate(words)
-        u = np.empty_like(w)
-        u[1:] = w[:-1]
-        u[np.cumsum(sizes) - sizes] = START
-        return Chunk(pa.concat_arrays(ids), np.array(held, bool), sizes, w, u, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes))
-
-    for batch in batches:
-        texts = batch.column(1).cast(pa.binary())
-        for i, (text, out) in enumerate(zip(texts, batch.column(2).to_pylist())):
-            found = text.as_py().lower().split()
-            tokens = np.empty(len(found) + 1, np.uint64)
-            tokens[:-1] = np.fromiter(map(hash64, found), np.uint64, len(found))
-            tokens[-1] = END
-            ids.append(batch.column(0).slice(i, 1))
-            held.append(out)
-            words.append(tokens)
-            n += len(tokens)
-            if n >= limit:
-                yield chunk()
-                ids, held, words, n = [], [], [], 0
-    if words:
-        yield chunk()
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for c in _chunks(batches):
-        w, n = np.unique(c.words[~c.held[c.docs]], return_counts=True)
-        for i in range(0, len(w), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(w[i : i + 100_000].view(np.int64)), pa.array(n[i : i + 100_000])], ["w", "c"])
-
-
-def _hot_pairs(known: Unigrams, words: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of words and contexts in the hot table, -1 for others; START is the context after the last word."""
-    return known.places(words), np.where(contexts == np.uint64(START), len(known.hot), known.places(contexts))
-
-
-def _count_hot(known: Unigrams):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = len(known.hot)
-        total = np.zeros((h + 1) * max(h, 1), np.int64)
-        for c in _chunks(batches):
-            kept = ~c.held[c.docs]
-            w, u = _hot_pairs(known, c.words[kept], c.contexts[kept])
-            both = (w >= 0) & (u >= 0)
-            total += np.bincount(u[both] * h + w[both], minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "c"])
+    names: np.ndarray  # hashes, later numbers; then START is the first
+    counts: np.ndarray  # of the names in training, once known
+    at: np.ndarray
 
-    return run
+    def packed(self) -> bytes:
+        return pickle.dumps((self.ids, self.held, pack(self.sizes, self.names.view(np.int64), self.counts, self.at)), 5)
 
+    @staticmethod
+    def unpacked(data: bytes) -> Chunk:
+        ids, held, rest = pickle.loads(data)
+        return Chunk(ids, held, *unpack(rest))
 
-def _contribution(known: Unigrams, docs: np.ndarray, tf: np.ndarray, pair: np.ndarray, word: np.ndarray, is_end: np.ndarray, n: int) -> np.ndarray:
-    """Statistics by document of entries: tf occurrences of a bigram with count `pair` whose word has count `word`."""
-    out = np.zeros((n, STATS))
-    add = lambda k, x: out.__setitem__((slice(None), k), np.bincount(docs, x, n))
-    for r in range(1, K + 1):
-        add(r - 1, tf * (pair == r))
-    above = pair > K
-    add(ABOVE, tf * above)
-    terms = np.where(above, np.log10(np.maximum(pair, 1)), 0.0)
-    terms -= np.where(~is_end & (word > 0), np.log10(np.maximum(word, 1)), 0.0)
-    terms += np.where(pair == 0, np.log10(known.probability(word)), 0.0)
-    add(TERMS, tf * terms)
-    add(BASE, tf * np.log10((word + 1) / (known.tokens + known.types + 1)))
-    add(KNOWN, tf * (word > 0))
-    return out
-
+    def training(self) -> np.ndarray:
+        return np.repeat(~self.held, self.sizes)
 
-def _sparse(stats: np.ndarray) -> bytes:
-    at = np.flatnonzero(stats.any(axis=1))
-    return pack(at, *(stats[at, k] if k in (TERMS, BASE) else stats[at, k].astype(np.int64) for k in range(STATS)))
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes
 
 
-def _deal(known: Unigrams, buckets: int):
-    """Map side: (bucket, chunk, kind, data); kind 0: a chunk's documents, 1: its bigrams for a bucket."""
+def _chunks(limit: int):
+    """Chunks of documents (id, text, held out): rows chunk, data, tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task = TaskContext.get().partitionId() << 24
-        for k, c in enumerate(_chunks(batches)):
-            name, n = task + k, len(c.sizes)
-            w, u = _hot_pairs(known, c.words, c.contexts)
-            count = np.where((w >= 0) & (u >= 0), known.hot_pairs[u, w] if len(known.hot) else 0, 0)
-            here = count > 0
-            stats = _contribution(known, c.docs[here], np.ones(here.sum()), count[here], known.hot_counts[w[here]] if len(known.hot) else count[here], c.words[here] == np.uint64(END), n)
-            header = pickle.dumps((c.ids.to_pylist(), c.held, c.sizes, stats), 5)
-            rows = [(name % buckets, name, 0, zstandard.compress(header, 1))]
-            words, contexts, docs, hot = c.words[~here], c.contexts[~here], c.docs[~here], w[~here] >= 0
-            bucket = np.where(hot, (words ^ (contexts * np.uint64(0x9E3779B97F4A7C15))) % np.uint64(buckets), words % np.uint64(buckets)).astype(np.int32)
-            order = np.lexsort((contexts, words, bucket))
-            words, contexts, docs, bucket = words[order], contexts[order], docs[order], bucket[order]
-            held = c.held
-            del c, w, u, count, here, hot, order  # the largest arrays of the task
-            if len(words):
-                new_pair = np.r_[True, (words[1:] != words[:-1]) | (contexts[1:] != contexts[:-1]) | (bucket[1:] != bucket[:-1])]
-                new = new_pair | np.r_[True, docs[1:] != docs[:-1]]
-                at = np.flatnonzero(new)
-                tf = np.diff(np.r_[at, len(words)])
-                words, contexts, docs, bucket, new_pair = words[at], contexts[at], docs[at], bucket[at], new_pair[at]
-                training = np.where(held[docs], 0, tf)
-                edges = np.searchsorted(bucket, np.arange(buckets + 1))
-                for b in range(buckets):
-                    s = slice(edges[b], edges[b + 1])
-                    if s.start == s.stop:
-                        continue
-                    first = np.flatnonzero(new_pair[s])
-                    pw, pu = words[s][first], contexts[s][first]
-                    w_names, w_at = np.unique(pw, return_inverse=True)
-                    u_names, u_at = np.unique(pu, return_inverse=True)
-                    lengths = np.diff(np.r_[first, s.stop - s.start])
-                    data = pack(w_names, w_at, u_names, u_at, np.add.reduceat(training[s], first), lengths, docs[s], tf[s], np.array([n]))
-                    rows.append((b, name, 1, data))
-            for i in range(0, len(rows), 16):
-                b, names, kinds, data = zip(*rows[i : i + 16])
-                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(names, pa.int64()), pa.array(kinds, pa.int32()), pa.array(data, pa.binary())], ["bucket", "chunk", "kind", "data"])
+        made, ids, held, words, n = TaskContext.get().partitionId() << 24, [], [], [], 0
+
+        def chunk() -> pa.RecordBatch:
+            names, at, counts = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
+            by_count = np.argsort(-counts, kind="stable")  # frequent words get small places
+            rank = np.empty_like(by_count)
+            rank[by_count] = np.arange(len(names))
+            sizes = np.array([len(x) for x in words])
+            c = Chunk(ids, np.array(held, bool), sizes, names[by_count], np.zeros(0, np.int64), rank[at])
+            return pa.RecordBatch.from_arrays([pa.array([made], pa.int64()), pa.array([c.packed()], pa.binary()), pa.array([n], pa.int64())], ["chunk", "data", "tokens"])
+
+        for batch in batches:
+            texts = batch.column(1).cast(pa.large_binary())
+            for i, text, out in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist()):
+                found = text.as_py().lower().split()
+                tokens = np.empty(len(found) + 1, np.uint64)
+                tokens[:-1] = np.fromiter(map(hash64, found), np.uint64, len(found))
+                tokens[-1] = END
+                ids.append(i)
+                held.append(out)
+                words.append(tokens)
+                n += len(tokens)
+                if n >= limit:
+                    yield chunk()
+                    made, ids, held, words, n = made + 1, [], [], [], 0
+        if words:
+            yield chunk()
 
     return run
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of the batches, large values one batch at a time."""
+    for batch in batches:
+        for i in range(len(batch)):
+            yield tuple(c[i].as_py() for c in batch.columns)
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
     """Consecutive rows of equal first column."""
     key, rows = None, []
-    for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
-            if row[0] != key:
-                if rows:
-                    yield key, rows
-                key, rows = row[0], []
-            rows.append(row)
+    for row in _rows(batches):
+        if row[0] != key:
+            if rows:
+                yield key, rows
+            key, rows = row[0], []
+        rows.append(row)
     if rows:
         yield key, rows
 
 
-_OUT = ["kind", "key", "chunk", "data"]
+ASKED = "bucket long, chunk long, data binary"
+#: kind: the order whose n-grams are answered (data), 0 for numbers of the whole bucket (stat), -1 for a hot context.
+ANSWERED = "kind int, bucket long, chunk long, data binary, context array<long>, stat array<long>, mass double"
+
+
+def _dealt(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket with the places of its entries, in order."""
+    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 65_536 else bucket, kind="stable")
+    edges = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1])) if len(order) else []
+    for a, b in zip(edges, [*edges[1:], len(order)]):
+        yield int(bucket[order[a]]), order[a:b]
+
+
+def _asked(found: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    for rows in batched(found, 16):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["bucket", "chunk", "data"])
 
 
-def _emit(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(rows), 16):
-        kind, key, chunk, data = zip(*rows[i : i + 16])
-        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.int32()), pa.array(chunk, pa.int64()), pa.array(data, pa.binary())], _OUT)
+def _answered(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.float64()]
+    names = ["kind", "bucket", "chunk", "data", "context", "stat", "mass"]
+    for i in range(0, len(rows), 64):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 64]), types)], names)
 
 
-def _contexts(u: np.ndarray, counts: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, ...]:
-    """By context: followers with count 1 to K, sum of larger counts, unigram mass of all followers."""
-    names, at = np.unique(u, return_inverse=True)
-    n = len(names)
-    return names, *(np.bincount(at[counts == r], minlength=n) for r in range(1, K + 1)), np.bincount(at, np.where(counts > K, counts, 0), n), np.bincount(at, p, n)
+def _ask_words(buckets: int):
+    """Every word of a chunk goes to the bucket of its hash, in the order of hashes, with its training count."""
 
+    def entries(c: Chunk, chunk: int) -> Iterator[tuple[int, int, bytes]]:
+        counts = np.bincount(c.at[c.training()], minlength=len(c.names))
+        by_name = np.argsort(c.names.view(np.uint64))
+        for b, at in _dealt((c.names.view(np.uint64)[by_name] % np.uint64(buckets)).astype(np.int64)):
+            at = by_name[at]
+            yield b, chunk, pack(c.names[at].view(np.uint64), counts[at])
 
-def _by_context(names: np.ndarray, columns, buckets: int) -> Iterator[tuple[int, bytes]]:
-    bucket = (names // np.uint64(buckets) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        at = order[edges[b] : edges[b + 1]]
-        if len(at):
-            yield b, pack(names[at], *(c[at] for c in columns))
+    return lambda batches: _asked(x for chunk, data in _rows(batches) for x in entries(Chunk.unpacked(data), chunk))
 
 
-def _meet(known: Unigrams, buckets: int):
-    """Reduce side. Kinds: 0 a chunk's documents, 1 statistics by document, 2 contexts, 3 unseen bigrams, 4 counts of counts."""
+def _answer_words(buckets: int):
+    """Numbers and counts of the words of a bucket; stat: tokens, types, documents, types with count 1 to K + 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _groups(batches):
-            yield from _emit([(0, 0, r[1], r[3]) for r in rows if r[2] == 0])
-            rows = [r for r in rows if r[2] == 1]
-            if not rows:
-                continue
-            ws, us, cs = [], [], []
-            for r in rows:
-                w_names, w_at, u_names, u_at, c, *_ = unpack(r[3])
-                ws.append(w_names[w_at])
-                us.append(u_names[u_at])
-                cs.append(c.astype(np.int64))
-            w, u, c = np.concatenate(ws), np.concatenate(us), np.concatenate(cs)
-            starts = np.cumsum([0, *map(len, ws)])
-            del ws, us, cs
-            order = np.lexsort((u, w))
-            new = np.r_[True, (w[order][1:] != w[order][:-1]) | (u[order][1:] != u[order][:-1])]
-            pair_of = np.empty(len(w), np.int64)
-            pair_of[order] = np.cumsum(new) - 1
-            first = np.flatnonzero(new)
-            c = np.add.reduceat(c[order], first)
-            w, u = w[order][first], u[order][first]
-            new_word = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-            word = np.repeat(np.add.reduceat(c, new_word), np.diff(np.r_[new_word, len(w)]))
-            place = known.places(w)
-            if len(known.hot):
-                word = np.where(place >= 0, known.hot_counts[place], word)
-            out = [(4, bucket, 0, pack(np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2]))]
-            seen = c > 0
-            names, *columns = _contexts(u[seen], c[seen], known.probability(word[seen]))
-            out += [(2, b, 0, data) for b, data in _by_context(names, columns, buckets)]
-            is_end = w == np.uint64(END)
-            for k, r in enumerate(rows):
-                *_, lengths, docs, tf, n = unpack(r[3])
-                pair = np.repeat(pair_of[starts[k] : starts[k + 1]], lengths)
-                tf = tf.astype(np.float64)
-                out.append((1, 0, r[1], _sparse(_contribution(known, docs, tf, c[pair], word[pair], is_end[pair], int(n[0])))))
-                unseen = c[pair] == 0
-                if unseen.any():
-                    out += [(3, b, r[1], data) for b, data in _by_context(u[pair[unseen]], (docs[unseen], tf[unseen]), buckets)]
-            yield from _emit(out)
+            parts = [unpack(r[2]) for r in rows]
+            names, at = np.unique(np.concatenate([p[0] for p in parts]).view(np.uint64), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([p[1] for p in parts]), len(names)).astype(np.int64)
+            rank = np.empty(len(names), np.int64)
+            rank[np.lexsort((names, -counts))] = np.arange(len(names))
+            number = np.where(counts > 0, 2 + rank * buckets + bucket, UNKNOWN)
+            edges = np.cumsum([0, *(len(p[0]) for p in parts)])
+            stat = [counts.sum(), (counts > 0).sum(), counts[names == np.uint64(END)].sum(), *np.bincount(np.minimum(counts, K + 2), minlength=K + 3)[1 : K + 2]]
+            out = [(0, bucket, 0, None, None, [int(x) for x in stat], None)]
+            for r, a, b in zip(rows, edges, edges[1:]):
+                out.append((1, bucket, r[1], pack(number[at[a:b]], counts[at[a:b]]), None, None, None))
+            yield from _answered(out)
 
     return run
 
 
-def _back_off(rate: np.ndarray):
-    """log10(alpha(u) C(u)) for the unseen bigrams of a bucket of contexts, summed by document: rows of kind 1."""
+def _numbered(buckets: int, documents: int):
+    """The chunks with numbers for words and their counts; rows chunk, bucket (-1: the chunk itself), data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches):
-            parts = [unpack(r[3]) for r in rows if r[1] == 2]
-            unseen = [(r[2], unpack(r[3])) for r in rows if r[1] == 3]
-            if not parts or not unseen:
-                continue
-            names, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            sums = [np.bincount(at, np.concatenate([p[k] for p in parts]), len(names)) for k in range(1, K + 3)]
-            left = sum(sums[r - 1] * r * (1 - rate[r]) for r in range(1, K + 1)) + sums[K] * (1 - rate[K + 1])
-            weight = np.log10(left / (1 - sums[K + 1]))
-            out = []
-            for chunk, (u, docs, tf) in unseen:
-                i = np.minimum(np.searchsorted(names, u), len(names) - 1)
-                x = np.where(names[i] == u, tf * weight[i], 0.0)
-                stats = np.zeros((int(docs.max()) + 1, STATS))
-                stats[:, TERMS] = np.bincount(docs, x)
-                out.append((1, 0, chunk, _sparse(stats)))
-            yield from _emit(out)
+        for chunk, rows in _groups(batches):
+            c = Chunk.unpacked(next(r[2] for r in rows if r[1] < 0))
+            by_name = np.argsort(c.names.view(np.uint64))
+            order = np.concatenate([by_name[at] for _, at in _dealt((c.names.view(np.uint64)[by_name] % np.uint64(buckets)).astype(np.int64))])
+            answers = [unpack(r[2]) for r in rows if r[1] >= 0]
+            number, count = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+            number[order] = np.concatenate([a[0] for a in answers])
+            count[order] = np.concatenate([a[1] for a in answers])
+            names, first, place = np.unique(number, return_index=True, return_inverse=True)
+            c.names, c.counts, c.at = np.append(START, names), np.append(documents, count[first]), place[c.at] + 1
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([c.packed()], pa.binary())], ["chunk", "data"])
 
     return run
 
 
-def _add_up(known: Unigrams, rate: np.ndarray):
-    """A chunk's documents with their scores."""
+class Walk:
+    """The tokens of a chunk, order by order: `up` goes to the n-grams of the next one, `take` takes their counts."""
+
+    def __init__(self, model: Model, c: Chunk):
+        self.model, self.c, self.order = model, c, 1
+        self.held, self.starts = c.held, c.starts()
+        self.grams, self.columns, self.seen = c.at, [c.names], c.counts  # which n-gram each token ends, their words, their counts
+        self.special = START  # the context of a text's first token
+        self.token_counts = c.counts[c.at]
+        self.token_contexts = np.zeros(0, np.int64)
+        p = model.rates[0][np.minimum(self.token_counts, K + 1)] * self.token_counts / max(model.tokens, 1)
+        self.log = np.log10(np.where(self.token_counts > 0, p, model.unseen))
+
+    def up(self) -> None:
+        c, v = self.c, len(self.c.names)
+        context = np.empty_like(self.grams)
+        context[1:] = self.grams[:-1]
+        context[self.starts] = self.special
+        self.context_columns, self.context_counts = self.columns, self.seen
+        keys, self.grams = np.unique(context * v + c.at, return_inverse=True)
+        self.of, self.word = keys // v, keys % v
+        n = len(keys)
+        self.lower, self.lower_context = np.empty(n, np.int64), np.zeros(len(self.seen), np.int64)
+        self.lower[self.grams] = self.token_counts
+        if self.order > 1:
+            self.lower_context[context] = self.token_contexts
+        self.token_contexts = self.seen[context]
+        # A text's first token has a context of its own at every order.
+        self.columns = [np.append(x[self.of], START) for x in self.context_columns] + [np.append(c.names[self.word], START)]
+        self.special = n
+        self.order += 1
+        counts = self.context_counts[self.of]
+        self.sent = np.flatnonzero(counts > 0)
+        of, parts = self.of[self.sent], self.model.parts(counts[self.sent])
+        part = np.where(parts > 1, hashes([c.names[self.word[self.sent]]]) % np.maximum(parts, 1).astype(np.uint64), np.uint64(0))
+        bucket = hashes([hashes(self.context_columns)[of], part]) % np.uint64(self.model.buckets)
+        self.dealt = [(b, self.sent[at]) for b, at in _dealt(bucket.astype(np.int64))]
+
+    def entries(self) -> Iterator[tuple[int, bytes]]:
+        """What each bucket gets: its contexts (words, hot, count at the order below, entries), words, counts, counts below."""
+        counts = np.bincount(self.grams[self.c.training()], minlength=len(self.of))
+        for b, at in self.dealt:
+            of = self.of[at]
+            first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            contexts = of[first]
+            hot = self.model.parts(self.context_counts[contexts]) > 1
+            yield b, pack(*(x[contexts] for x in self.context_columns), hot, self.lower_context[contexts], np.diff(np.append(first, len(at))), self.c.names[self.word[at]], counts[at], self.lower[at])
+
+    def take(self, answers: list[bytes]) -> None:
+        """Counts of the n-grams, and the tokens' probabilities at this order."""
+        n, model = len(self.of), self.model
+        counts = np.zeros(n, np.int64)
+        sums = np.zeros((len(self.context_counts), K + 2))
+        for (_, at), data in zip(self.dealt, answers, strict=True):
+            found, *columns = unpack(data)
+            counts[at] = found
+            if (found == 0).any():
+                hot = model.parts(self.context_counts[self.of[at]]) > 1
+                open_ = np.unique(self.of[at[(found == 0) & ~hot]])
+                sums[open_] = np.stack(columns, axis=1)
+                open_ = np.unique(self.of[at[(found == 0) & hot]])
+                if len(open_):
+                    sums[open_] = model.hot[self.order].of([x[open_] for x in self.context_columns])
+        rate = model.rates[self.order - 1]
+        in_context = self.context_counts[self.of]
+        seen, unseen = counts > 0, (counts == 0) & (in_context > 0)
+        log = np.zeros(n)  # of c* / c(C), or of alpha
+        log[seen] = np.log10(rate[np.minimum(counts[seen], K + 1)] * counts[seen] / in_context[seen])
+        if unseen.any():
+            s = sums[self.of[unseen]]
+            left = s[:, : K + 1] @ (np.append(np.arange(1, K + 1), 1) * (1 - rate[1:]))
+            log[unseen] = np.log10(left / in_context[unseen] / (1 - s[:, K + 1]))
+        self.log = np.where(counts[self.grams] > 0, log[self.grams], self.log + log[self.grams])
+        self.token_counts = counts[self.grams]
+        self.seen = np.append(counts, model.documents)
+
+
+def _walked(model: Model, order: int, rows: list[tuple]) -> Walk:
+    """The walk to an order with all its answers; rows: chunk, kind (0: the chunk), bucket, data."""
+    walk = Walk(model, Chunk.unpacked(next(r[3] for r in rows if r[1] == 0)))
+    for n in range(2, order + 1):
+        walk.up()
+        walk.take([r[3] for r in rows if r[1] == n])
+    return walk
+
+
+def _ask(model: Model, order: int):
+    def entries(rows: list[tuple]) -> Iterator[tuple[int, int, bytes]]:
+        walk = _walked(model, order - 1, rows)
+        walk.up()
+        for b, data in walk.entries():
+            yield b, rows[0][0], data
+
+    return lambda batches: _asked(x for _, rows in _groups(batches) for x in entries(rows))
+
+
+def _answer(model: Model, order: int):
+    """Counts of the n-grams of a bucket in the order asked, sums of contexts with unseen words, stat: types with count 1 to K + 1."""
+    below, n_words = model.rates[order - 2], order - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _groups(batches):
+            parts = [unpack(r[2]) for r in rows]
+            column = lambda k: np.concatenate([p[k] for p in parts])
+            words = [column(k) for k in range(n_words)]
+            n_contexts, some, context = dense(words)
+            hot = column(n_words)[some] > 0
+            lower_context = column(n_words + 1)[some] if order > 2 else np.full(n_contexts, max(model.tokens, 1))
+            words = [x[some] for x in words]
+            sizes = column(n_words + 2)
+            of = np.repeat(context, sizes)
+            n, some, gram = dense([of, column(n_words + 3)])
+            counts = np.bincount(gram, column(n_words + 4), n).astype(np.int64)
+            lower = column(n_words + 5)[some]
+            of_gram = of[some]
+            by_count = [np.bincount(of_gram[counts == r], minlength=n_contexts) for r in range(1, K + 1)]
+            large = np.bincount(of_gram, np.where(counts > K, counts, 0), n_contexts).astype(np.int64)
+            p = np.where(counts > 0, below[np.minimum(lower, K + 1)] * lower / np.maximum(lower_context[of_gram], 1), 0.0)
+            mass = np.bincount(of_gram, p, n_contexts)
+            out = [(0, bucket, 0, None, None, np.bincount(np.minimum(counts, K + 2), minlength=K + 3)[1 : K + 2].tolist(), None)]
+            for k in np.flatnonzero(hot).tolist():
+                out.append((-1, bucket, 0, None, [int(x[k]) for x in words], [*(int(x[k]) for x in by_count), int(large[k])], float(mass[k])))
+            edges = np.cumsum([0, *(len(p[n_words + 3]) for p in parts)])
+            for r, a, b in zip(rows, edges, edges[1:]):
+                found, its = counts[gram[a:b]], of[a:b]
+                open_ = its[(found == 0) & ~hot[its]]
+                # In the order the chunk has them: as they first come.
+                open_ = open_[np.flatnonzero(np.append(True, open_[1:] != open_[:-1]))] if len(open_) else open_
+                out.append((order, bucket, r[1], pack(found, *(x[open_] for x in by_count), large[open_], mass[open_]), None, None, None))
+            yield from _answered(out)
+
+    return run
+
 
+def _scored(model: Model, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = np.log10(np.maximum(rate[1 : K + 1] * np.arange(1, K + 1), 1e-300))
         for _, rows in _groups(batches):
-            for r in rows:
-                if r[1] == 0:
-                    ids, held, sizes, stats = pickle.loads(zstandard.decompress(r[3]))
-            for r in rows:
-                if r[1] == 1:
-                    at, *columns = unpack(r[3])
-                    for k, x in enumerate(columns):
-                        stats[at, k] += x
-            score = stats[:, :K] @ logs + stats[:, ABOVE] * np.log10(rate[K + 1]) + stats[:, TERMS]
-            score -= np.log10(max(known.documents, 1))
-            n = len(sizes)
-            if known.tokens == 0:
-                score = np.zeros(n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(held), pa.array(sizes.astype(np.int64)), pa.array(stats[:, KNOWN].round().astype(np.int64)), pa.array(np.full(n, known.tokens)), pa.array(stats[:, BASE]), pa.array(score)],
-                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+            walk = _walked(model, order, rows)
+            c, starts = walk.c, walk.starts
+            words = c.counts[c.at]
+            base = np.log10((words + 1) / (model.tokens + model.types + 1))
+            n = len(c.sizes)
+            add = lambda x: np.add.reduceat(x, starts)
+            score = add(walk.log) if model.tokens else np.zeros(n)
+            columns = [pa.array(c.ids, pa.int64()), c.held, c.sizes, add((words > 0).astype(np.int64)), np.full(n, model.tokens), add(base), score]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
-def unigrams(rows: DataFrame, hot: int = HOT) -> Unigrams:
-    """Counts all training words of a table id, text, held; keeps what is bounded."""
-    table = stored(rows.mapInArrow(_count_words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")).filter("c > 0"))
-    tokens, types, *of = table.agg(F.sum("c"), F.count(F.lit(1)), *[F.count_if(F.col("c") == r) for r in range(1, K + 2)]).first()
-    tokens = tokens or 0
-    rate = discounts(of)
-    small = sum(r * of[r - 1] for r in range(1, K + 1))
-    unseen = 1.0 - (sum(rate[r] * r * of[r - 1] for r in range(1, K + 1)) + rate[K + 1] * (tokens - small)) / tokens if tokens else 1.0
-    top = sorted((r.w & (2**64 - 1), r.c) for r in table.orderBy(F.desc("c"), "w").limit(hot).collect())
-    names, counts = np.array([t[0] for t in top], np.uint64), np.array([t[1] for t in top], np.int64)
-    documents = next((c for w, c in top if w == END), None)
-    if documents is None:
-        documents = rows.filter("NOT held").count()
-    known = Unigrams(tokens, types, documents, rate, unseen, names, counts, np.zeros((len(top) + 1, max(len(top), 1)), np.int64))
-    pairs = rows.mapInArrow(_count_hot(known), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).collect() if top else []
-    for r in pairs:  # at most (hot + 1) * hot
-        known.hot_pairs[r.pair // len(top), r.pair % len(top)] = r.c
-    return known
-
-
-def score_corpus(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def _exchange(asked: DataFrame, buckets: int, answer) -> DataFrame:
+    out = stored(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(answer, ANSWERED))
+    del asked
+    release(out.sparkSession)
+    return out
+
+
+def _stats(answers: DataFrame, n: int) -> list[int]:
+    row = answers.filter("kind = 0").agg(*[F.sum(F.col("stat")[i]) for i in range(n)]).first()
+    return [int(x or 0) for x in row]
+
+
+def _hot(answers: DataFrame, order: int) -> Hot:
+    """The parts of hot contexts added up: at most 2 MAX_HOT rows, since each has a LIMIT-th of the tokens or half."""
+    total: dict[tuple, list] = {}
+    for r in sorted(answers.filter("kind = -1").select("context", "bucket", "stat", "mass").collect()):
+        sums = total.setdefault(tuple(r.context), [0.0] * (K + 2))
+        for k, x in enumerate([*r.stat, r.mass]):
+            sums[k] += x
+    contexts = [np.array(x, np.int64) for x in zip(*total)] or [np.zeros(0, np.int64)] * (order - 1)
+    names = hashes(contexts)
+    by_name = np.argsort(names)
+    return Hot([x[by_name] for x in contexts], names[by_name], np.array(list(total.values())).reshape(-1, K + 2)[by_name])
+
+
+def score_corpus(df: DataFrame, held_out: Column, order: int = 3, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = CHUNK_TOKENS, bucket_tokens: int = BUCKET_TOKENS, limit: int | None = None) -> DataFrame:
     """Learns from the rows where held_out isn't true and scores all.
 
-    doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams), score (Katz bigrams), in log10.
+    doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams), score (Katz, log10).
     """
-    text = text_or_empty(text_col)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(4, -(-size // bucket_bytes))
-    known = unigrams(rows, hot)
-    dealt = rows.mapInArrow(_deal(known, buckets), "bucket int, chunk long, kind int, data binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    table = stored(dealt.mapInArrow(_meet(known, buckets), "kind int, key int, chunk long, data binary"))
-    del dealt
-    release(df.sparkSession)
-    of = np.zeros(K + 1, np.int64)
-    for r in table.filter("kind = 4").select("data").collect():  # six numbers a bucket
-        of += unpack(r.data)[0].astype(np.int64)
-    u_at, w_at = np.nonzero(known.hot_pairs)
-    c = known.hot_pairs[u_at, w_at]
-    of += np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2]
-    rate = discounts(of.tolist())
-    contexts = table.filter("kind = 2 OR kind = 3").select("key", "kind", "chunk", "data")
-    if len(c):
-        names, *columns = _contexts(np.r_[known.hot, np.uint64(START)][u_at], c, known.probability(known.hot_counts[w_at]))
-        extra = [(b, 2, 0, bytearray(data)) for b, data in _by_context(names, columns, buckets)]
-        contexts = contexts.union(df.sparkSession.createDataFrame(extra, "key int, kind int, chunk long, data binary"))
-    weights = contexts.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(_back_off(rate), "kind int, key int, chunk long, data binary")
-    sums = table.filter("kind <= 1").union(weights).select("chunk", "kind", "data")
-    sums = sums.select("chunk", "kind", F.lit(0).alias("x"), "data").repartition(buckets, "chunk").sortWithinPartitions("chunk")
-    return sums.mapInArrow(_add_up(known, rate), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
+    chunks = stored(rows.mapInArrow(_chunks(chunk_tokens), "chunk long, data binary, tokens long"))
+    n_chunks, size = chunks.agg(F.count(F.lit(1)), F.sum("tokens")).first()
+    size, n_chunks = size or 0, max(n_chunks, 1)
+    buckets = max(4, -(-size // bucket_tokens))
+    by_chunk = lambda out, *sort: out.repartition(n_chunks, "chunk").sortWithinPartitions("chunk", *sort)
+
+    few = max(1, buckets // 4)
+    answers = _exchange(chunks.select("chunk", "data").mapInArrow(_ask_words(few), ASKED), few, _answer_words(few))
+    tokens, types, documents, *of = _stats(answers, K + 4)
+    rate = discounts(of)
+    small = sum(r * of[r - 1] for r in range(1, K + 1))
+    unseen = 1.0 - (sum(rate[r] * r * of[r - 1] for r in range(1, K + 1)) + rate[K + 1] * (tokens - small)) / tokens if tokens else 1.0
+    model = Model(tokens, types, documents, buckets, limit or max(bucket_tokens // 4, -(-tokens // MAX_HOT)), unseen, [rate])
+    both = chunks.select("chunk", F.lit(-1).cast("long").alias("bucket"), "data").union(answers.filter("kind = 1").select("chunk", "bucket", "data"))
+    numbered = stored(by_chunk(both, "bucket").mapInArrow(_numbered(few, documents), "chunk long, data binary"))
+    discard(chunks, answers)
+    known = numbered.select("chunk", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("bucket"), "data")
+    for n in range(2, order + 1):
+        asked = by_chunk(known, "kind", "bucket") if n > 2 else known
+        answers = _exchange(asked.mapInArrow(_ask(model, n), ASKED), buckets, _answer(model, n))
+        model.rates.append(discounts(_stats(answers, K + 1)))
+        model.hot[n] = _hot(answers, n)
+        known = known.union(answers.filter(F.col("kind") == n).select("chunk", "kind", "bucket", "data"))
+    scores = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return by_chunk(known, "kind", "bucket").mapInArrow(_scored(model, order), scores)
 
 
 def op4_katz_backoff(spark, sf_dir: str) -> DataFrame:

@@ -278,46 +278,80 @@ def test_every_capacity_holds(rule):
         assert sorted(at[of == b]) == np.r_[0, np.cumsum(n[np.argsort(at[of == b])])[:-1]].tolist()
 
 
-def brute_katz(rows):
+def brute_katz(rows, order):
+    """Recursive evaluation over counters; n-grams are tuples of words."""
     docs = [(i, zlib.crc32(str(i).encode()) % 7 == 2 if i is not None else False, [*(x or "").encode().lower().split(), b"</s> "]) for i, x in rows]
-    c1, c2, total = Counter(), Counter(), Counter()
+    padded = lambda w: [b"<s> "] * (order - 1) + w
+    counts, totals = [Counter() for _ in range(order + 1)], [Counter() for _ in range(order + 1)]
     for _, held, w in docs:
         if not held:
-            c1.update(w)
-            c2.update(zip([b"<s> ", *w[:-1]], w))
-            total.update([b"<s> ", *w[:-1]])
-    n, v = sum(c1.values()), len(c1)
-    of = lambda c: katz.discounts([sum(x == r for x in c.values()) for r in range(1, katz.K + 2)])
-    d1, d2 = of(c1), of(c2)
-    p = {w: d1[min(c, katz.K + 1)] * c / n for w, c in c1.items()}
-    unseen = 1 - sum(p.values())
-    left, mass = defaultdict(lambda: 1.0), defaultdict(lambda: 1.0)
-    for (u, w), c in c2.items():
-        left[u] -= d2[min(c, katz.K + 1)] * c / total[u]
-        mass[u] -= p[w]
-    for u in list(total)[:20]:  # every context's probabilities add up to one
-        seen = {w: c for (a, w), c in c2.items() if a == u}
-        rest = unseen + sum(x for w, x in p.items() if w not in seen)
-        assert sum(d2[min(c, katz.K + 1)] * c / total[u] for c in seen.values()) + left[u] / mass[u] * rest == pytest.approx(1)
+            p = padded(w)
+            for k in range(order - 1, len(p)):
+                for n in range(1, order + 1):
+                    gram = tuple(p[k - n + 1 : k + 1])
+                    counts[n][gram] += 1
+                    totals[n][gram[:-1]] += 1
+    rates = [None, *(katz.discounts([sum(x == r for x in c.values()) for r in range(1, katz.K + 2)]) for c in counts[1:])]
+    after = [defaultdict(list) for _ in range(order + 1)]
+    for n in range(1, order + 1):
+        for gram in counts[n]:
+            after[n][gram[:-1]].append(gram[-1])
+    total = totals[1][()]
+    seen = lambda n, gram: rates[n][min(counts[n][gram], katz.K + 1)] * counts[n][gram] / totals[n][gram[:-1]]
+    unseen = 1 - sum(seen(1, g) for g in counts[1])
+    alphas = {}
+
+    def alpha(context):
+        if context not in alphas:
+            n = len(context) + 1
+            words = after[n][context]
+            alphas[context] = (1 - sum(seen(n, (*context, w)) for w in words)) / (1 - sum(probability(context[1:], w) for w in words))
+        return alphas[context]
+
+    def probability(context, w):
+        n = len(context) + 1
+        if counts[n][(*context, w)]:
+            return seen(n, (*context, w))
+        if n == 1:
+            return unseen
+        return (alpha(context) if totals[n][context] else 1.0) * probability(context[1:], w)
+
+    for n in range(2, order + 1):  # every context's probabilities add up to one
+        for context in list(totals[n])[:10]:
+            whole = sum(probability(context, w) for (w,) in counts[1]) + probability(context, b"a word of no text")
+            assert whole == pytest.approx(1)
     for i, held, w in docs:
-        score = 0.0
-        for u, x in zip([b"<s> ", *w[:-1]], w):
-            c = c2[u, x]
-            score += math.log10(d2[min(c, katz.K + 1)] * c / total[u] if c else p.get(x, unseen) * (left[u] / mass[u] if total[u] else 1))
-        yield i, held, len(w), sum(x in c1 for x in w), n, sum(math.log10((c1[x] + 1) / (n + v + 1)) for x in w), score
+        p = padded(w)
+        score = sum(math.log10(probability(tuple(p[k - order + 1 : k]), p[k])) for k in range(order - 1, len(p))) if total else 0.0
+        base = sum(math.log10((counts[1][(x,)] + 1) / (total + len(counts[1]) + 1)) for x in w)
+        yield i, held, len(w), sum((x,) in counts[1] for x in w), total, base, score
 
 
-@pytest.mark.parametrize("settings", [{}, {"hot": 7, "bucket_bytes": 40_000}, {"hot": 0}])
+@pytest.mark.parametrize("settings", [{}, {"order": 2, "bucket_tokens": 20_000}, {"order": 3, "bucket_tokens": 9_000, "limit": 40, "chunk_tokens": 6_000}, {"order": 4, "limit": 300, "chunk_tokens": 20_000}, {"order": 1}])
 def test_katz(spark, settings):
     docs = documents(spark)
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     got = {r.doc_id: r for r in katz.score_corpus(docs, held, **settings).collect()}
-    for i, held_out, *counts, base, score in brute_katz([(r.doc_id, r.text) for r in docs.collect()]):
+    for i, held_out, *counts, base, score in brute_katz([(r.doc_id, r.text) for r in docs.collect()], settings.get("order", 3)):
         r = got[i]
         assert [r.held_out, r.n_tokens, r.n_known, r.train_tokens] == [held_out, *counts]
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score, rel=1e-9)
 
 
+def test_katz_in_many_chunks():
+    """Chunks of some documents each, as tasks make them, and words beyond every table's first bucket."""
+    c = katz.Chunk([1, None], np.array([True, False]), np.array([2, 3]), np.array([0, 7, 1 << 40]), np.array([2, 5, 1]), np.array([1, 2, 1, 1, 2]))
+    d = katz.Chunk.unpacked(c.packed())
+    assert d.ids == c.ids and all((getattr(c, k) == getattr(d, k)).all() for k in ("held", "sizes", "names", "counts", "at"))
+    rng = np.random.default_rng(8)
+    columns = [rng.integers(0, 1 << 30, 500) % m for m in (3, 1 << 29, 7)]
+    n, first, at = katz.dense(columns)
+    tuples = list(zip(*(x.tolist() for x in columns)))
+    assert n == len(set(tuples)) and [tuples[k] for k in first] == sorted(set(tuples)) and all(tuples[first[k]] == t for k, t in zip(at, tuples))
+    for a in (np.array([], np.int64), np.array([5, 3, 1 << 50]), np.arange(9) * 1000, np.array([2**64 - 1, 3], np.uint64), np.array([0.5, -1.0])):
+        assert (katz.unpack(katz.pack(a))[0] == a.view(np.int64 if a.dtype == np.uint64 else a.dtype)).all()
+
+
 def test_grammar():
     g = toxicity.Grammar({"foul": 2.0, "vil*": 1.0})
     score = lambda t: sum(g.clauses(t)[0])
