@@ -48,9 +48,9 @@ from ductus.llm.common import discard, release, stored, text_or_empty
 K = 5
 LARGE = 0.999
 #: Tokens of a chunk.
-CHUNK_TOKENS = 1_200_000
+CHUNK_TOKENS = 600_000
 #: Tokens of the corpus for each bucket of an n-gram table.
-BUCKET_TOKENS = 2_000_000
+BUCKET_TOKENS = 1_000_000
 MAX_HOT = 100_000
 
 hash64 = xxhash.xxh3_64_intdigest
@@ -334,7 +334,9 @@ class Walk:
         context[1:] = self.grams[:-1]
         context[self.starts] = self.special
         self.context_columns, self.context_counts = self.columns, self.seen
+        context = context.astype(np.int64)
         keys, self.grams = np.unique(context * v + c.at, return_inverse=True)
+        self.grams = self.grams.astype(np.int32)
         self.of, self.word = keys // v, keys % v
         n = len(keys)
         self.lower, self.lower_context = np.empty(n, np.int64), np.zeros(len(self.seen), np.int64)
