@@ -51,6 +51,8 @@ LARGE = 0.999
 CHUNK_TOKENS = 600_000
 #: Tokens of the corpus for each bucket of an n-gram table.
 BUCKET_TOKENS = 1_000_000
+#: Tokens of the corpus for each task: some chunks, some buckets.
+TASK_TOKENS = 4_000_000
 MAX_HOT = 100_000
 
 hash64 = xxhash.xxh3_64_intdigest
@@ -467,8 +469,8 @@ def _scored(model: Model, order: int):
     return run
 
 
-def _exchange(asked: DataFrame, buckets: int, answer) -> DataFrame:
-    out = stored(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(answer, ANSWERED))
+def _exchange(asked: DataFrame, tasks: int, answer) -> DataFrame:
+    out = stored(asked.repartition(tasks, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(answer, ANSWERED).coalesce(tasks))
     del asked
     release(out.sparkSession)
     return out
@@ -499,30 +501,30 @@ def score_corpus(df: DataFrame, held_out: Column, order: int = 3, id_col: str =
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     chunks = stored(rows.mapInArrow(_chunks(chunk_tokens), "chunk long, data binary, tokens long"))
-    n_chunks, size = chunks.agg(F.count(F.lit(1)), F.sum("tokens")).first()
-    size, n_chunks = size or 0, max(n_chunks, 1)
+    size = chunks.agg(F.sum("tokens")).first()[0] or 0
     buckets = max(4, -(-size // bucket_tokens))
-    by_chunk = lambda out, *sort: out.repartition(n_chunks, "chunk").sortWithinPartitions("chunk", *sort)
+    tasks = max(4, -(-size // TASK_TOKENS))
+    by_chunk = lambda out, *sort: out.repartition(tasks, "chunk").sortWithinPartitions("chunk", *sort)
 
     few = max(1, buckets // 4)
-    answers = _exchange(chunks.select("chunk", "data").mapInArrow(_ask_words(few), ASKED), few, _answer_words(few))
+    answers = _exchange(chunks.select("chunk", "data").mapInArrow(_ask_words(few), ASKED), tasks, _answer_words(few))
     tokens, types, documents, *of = _stats(answers, K + 4)
     rate = discounts(of)
     small = sum(r * of[r - 1] for r in range(1, K + 1))
     unseen = 1.0 - (sum(rate[r] * r * of[r - 1] for r in range(1, K + 1)) + rate[K + 1] * (tokens - small)) / tokens if tokens else 1.0
     model = Model(tokens, types, documents, buckets, limit or max(bucket_tokens // 4, -(-tokens // MAX_HOT)), unseen, [rate])
     both = chunks.select("chunk", F.lit(-1).cast("long").alias("bucket"), "data").union(answers.filter("kind = 1").select("chunk", "bucket", "data"))
-    numbered = stored(by_chunk(both, "bucket").mapInArrow(_numbered(few, documents), "chunk long, data binary"))
+    numbered = stored(by_chunk(both, "bucket").mapInArrow(_numbered(few, documents), "chunk long, data binary").coalesce(tasks))
     discard(chunks, answers)
     known = numbered.select("chunk", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("bucket"), "data")
     for n in range(2, order + 1):
         asked = by_chunk(known, "kind", "bucket") if n > 2 else known
-        answers = _exchange(asked.mapInArrow(_ask(model, n), ASKED), buckets, _answer(model, n))
+        answers = _exchange(asked.mapInArrow(_ask(model, n), ASKED), tasks, _answer(model, n))
         model.rates.append(discounts(_stats(answers, K + 1)))
         model.hot[n] = _hot(answers, n)
         known = known.union(answers.filter(F.col("kind") == n).select("chunk", "kind", "bucket", "data"))
     scores = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return by_chunk(known, "kind", "bucket").mapInArrow(_scored(model, order), scores)
+    return by_chunk(known, "kind", "bucket").mapInArrow(_scored(model, order), scores).coalesce(tasks)
 
 
 def op4_katz_backoff(spark, sf_dir: str) -> DataFrame:
