@@ -2,11 +2,17 @@
 
 A page becomes blocks (text between block-level tags). Pass one decides a block by its container, link
 density, length and stop-word density: kept, dropped or ambiguous. Pass two gives an ambiguous block (a
-heading, a short or stop-word-poor one) the label of its nearest decided neighbours.
+heading, a short, linked or stop-word-poor one) the label of its nearest decided neighbours.
 
-Defined cases: null or empty html gives an empty text; markup that never closes ends with the page; repeated
-rows give repeated rows; null ids and urls pass through; an empty table gives an empty table; other columns
-of the input are not looked at. Pages of any length are read whole, one at a time.
+A container is judged by each of its class names and ids: one that has a boilerplate word as a part (main-nav,
+post-sidebar) drops it, unless the name only says that the page has such a part (has-sidebar). A page of which
+hardly any word is a stop word is in another language: there sentence punctuation stands for stop words, and
+wide characters, of which a word has few, count as WIDE letters each.
+
+Defined cases: null or empty html gives an empty text; a tag or comment that never closes ends with the page,
+any other `<` is text; repeated rows give repeated rows; null ids and urls pass through; an empty table gives
+an empty table; other columns of the input are not looked at. Pages of any length are read whole; a task holds
+SLICE_BYTES of them, or one.
 """
 
 from __future__ import annotations
@@ -20,12 +26,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ductus.llm.common import text_or_empty
+from ductus.llm.common import by_bytes, text_or_empty
+
+SLICE_BYTES = 8_000_000
+#: Letters of a word that a character of a script without spaces stands for.
+WIDE = 2.5
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 NOT_LETTER = re.compile(r"[\W\d_]+")
+WIDE_CHARACTER = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
+SENTENCE = re.compile("[.!?\u2026\u3002\uff01\uff1f\u061f\u06d4\u0964\u0f0d](?:\\s|$|(?<=[\u3002\uff01\uff1f]))")
+#: A tag that the page's end cuts off: a name alone or with an attribute, or a declaration.
+CUT_OFF = re.compile(r"</?[a-zA-Z][^\s<>/=]*\s*/?$|<[a-zA-Z][^\s<>/=]*\s+[^\s<>=]+\s*=|<[!?]")
+#: Outside an article; only what claims the rights, not a text about them.
+RIGHTS = re.compile(r"\s*(?:©|copyright\s*(?:©|\(c\)|\d{4}|by\b)|\(c\)\s*\d{4}|all rights reserved)", re.I)
 
 #: Elements whose content is never text of the page.
 RAW = frozenset("script style noscript template iframe svg math canvas object audio video title textarea select datalist head".split())
@@ -41,7 +57,12 @@ COMMENT_NAMES = frozenset("comment comments commentlist disqus respond replies r
 BOILERPLATE_NAMES = COMMENT_NAMES | frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promos promotion promoted cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login sidebar sidebars rail widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager share sharing social related recommended recommendations teaser teasers footer header masthead toolbar skip search copyright disclaimer legal tags outbrain taboola".split()
 )
-CONTENT_NAMES = frozenset("content article main post entry story body text page".split())
+#: Of these an article has its own, and frameworks use them for anything.
+WEAK_NAMES = frozenset("header widget widgets legal search tags skip notification notifications alert".split())
+#: What a weak name may belong to.
+CONTENT_NAMES = frozenset("content article main post entry story body text title editor".split())
+#: A class name that starts with one of these says what the page has, not what the element is.
+STATES = frozenset("has with no without is not hide show toggle no-js js".split())
 
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
@@ -75,7 +96,7 @@ def _marked(name: str, attributes: str, in_article: bool) -> bool:
     """Whether an element's class, id, role or state says that it isn't main text."""
     if not attributes or not attributes.strip():
         return False
-    words: set[str] = set()
+    names: list[list[str]] = []
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value == "true":
@@ -86,14 +107,17 @@ def _marked(name: str, attributes: str, in_article: bool) -> bool:
         elif key == "role":
             if value.strip().lower() in BOILERPLATE_ROLES:
                 return True
-        elif value:
-            words.update(x.lower() for x in NAME_PART.findall(value))
+        else:
+            names += [[x.lower() for x in NAME_PART.findall(v)] for v in value.split()]
     if name in ("html", "body", "main"):
         return False
-    if name == "article" or words & CONTENT_NAMES:
-        return bool(words & COMMENT_NAMES)
-    found = words & BOILERPLATE_NAMES
-    return bool(found - {"header"} if in_article else found)
+    for parts in names:
+        found = set(parts) & (COMMENT_NAMES if name == "article" else BOILERPLATE_NAMES)
+        if not found or parts[0] in STATES:
+            continue
+        if found - WEAK_NAMES or not in_article and not set(parts) & CONTENT_NAMES:
+            return True
+    return False
 
 
 def blocks(html: str) -> list[Block]:
@@ -173,26 +197,49 @@ def blocks(html: str) -> list[Block]:
             if not m[3].endswith("/"):
                 stack.append(Element(name, dropped, article, soft))
             close(heading=name in HEADING)
-    say(html[at:] if "<" not in html[at:] else html[at : html.rindex("<")])
+    last = html.rfind("<", at)
+    say(html[at:last] if last >= 0 and CUT_OFF.match(html, last) else html[at:])
     close()
     return out
 
 
+def _weight(text: str) -> float:
+    """Length of a text, as if its script had spaces."""
+    return len(text) if text.isascii() else len(text) + (WIDE - 1) * len(WIDE_CHARACTER.findall(text))
+
+
+def _stop_density(text: str) -> tuple[int, int]:
+    words = [w for x in text.lower().split() if (w := NOT_LETTER.sub("", x))]
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
 def decide(found: list[Block]) -> None:
     """Labels every block "keep" or "drop": the two passes."""
     has_article = any(b.article and not b.dropped for b in found)
-    for b in found:
-        words = [w for x in b.text.lower().split() if (w := NOT_LETTER.sub("", x))]
-        stop = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        link = b.link_chars / len(b.text)
-        start = b.text[:9].lower()
-        if b.dropped or has_article and not b.article or link > 0.5 or start.startswith("©") or start == "copyright":
+    stops = [_stop_density(b.text) for b in found]
+    links = [b.link_chars / len(b.text) for b in found]
+    prose = [s for b, s, x in zip(found, stops, links) if not b.dropped and x < 0.3]
+    foreign = 20 * sum(s for s, _ in prose) < sum(n for _, n in prose)
+    # Of links only, how many blocks stand together.
+    run = [0] * len(found)
+    for i in range(len(found)):
+        run[i] = 0 if links[i] <= 0.5 else 1 + (run[i - 1] if i else 0)
+    for i in range(len(found) - 2, -1, -1):
+        run[i] = max(run[i], run[i + 1]) if run[i] and run[i + 1] else run[i]
+    for i, (b, (stop_words, words), link) in enumerate(zip(found, stops, links)):
+        size = _weight(b.text)
+        stop = stop_words / words if words else 0.0
+        if foreign and SENTENCE.search(b.text):
+            stop = 0.25
+        if b.dropped or not b.article and (has_article or RIGHTS.match(b.text)):
             b.label = "drop"
-        elif b.heading or len(b.text) < 60:
+        elif link > 0.5:
+            b.label = "" if b.article and run[i] < 3 else "drop"
+        elif b.heading or size < 60:
             b.label = "drop" if link > 0.3 and not b.article else ""
-        elif stop >= 0.25 or stop >= 0.12 and (len(b.text) >= 150 or b.article):
+        elif stop >= 0.25 or stop >= 0.12 and (size >= 150 or b.article):
             b.label = "keep"
-        elif b.article or stop >= 0.05:
+        elif b.article or stop >= 0.05 or foreign:
             b.label = ""
         else:
             b.label = "drop"
@@ -238,10 +285,10 @@ def main_text(html: str) -> str:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for low in range(0, len(batch), 256):
-            part = batch.slice(low, 256)
+        for low, size in by_bytes(batch.column(2), SLICE_BYTES, 256):
+            part = batch.slice(low, size)
             texts = [main_text(x.as_py()) for x in part.column(2)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.large_string()).cast(pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
