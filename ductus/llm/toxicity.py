@@ -3,17 +3,20 @@
 Words become symbols: insults (with a weight), threats, targets, negations, reporting words, clause ends and
 the rest. Five transducers read them: insult, threat, target, negation and reported speech. Their composition
 is one deterministic automaton that goes through a clause, and at the clause's end gives its score: an
-insult's weight, raised when it is aimed at someone, a threat only when it is aimed at someone, lowered by a
+insult's weight, raised when it is aimed at someone, a threat only when it is aimed at someone, both lowered by a
 negation shortly before and by reported speech. A document's score is a logistic function of what its matched
 clauses add up to, not of single words anywhere.
 
 The insults are learned from labelled documents: words and word beginnings that toxic training documents hold
-far more often than the others. All labels may be used, or a bounded sample (MAX_LABELLED documents with the
-smallest hashed ids), which is the documented bound of the lexicon; the scoring covers every document.
+far more often than the others. They come from a bounded sample of labelled documents (MAX_LABELLED, those with
+the smallest hashed ids); of it every form is counted, and only those that min_share of the toxic documents hold
+come to the driver, of which there are 1 / min_share times the forms of a mean document at most. The scoring covers
+every document.
 
 Defined cases: a null text counts as empty and gets the score of a document without clauses; documents without
-a label, and labels without a document, are fine; a null label is no label; without any toxic training row the
-lexicon is empty and only threats match; repeated rows repeat; an empty table gives an empty table; other
+a label, and labels without a document, are fine; a null label is no label; an id with both labels is toxic; of
+rows that share an id, the text with the least hash is learned from; without any toxic training row the lexicon
+is empty and only threats match; repeated rows repeat; an empty table gives an empty table; other
 columns of the input are not looked at.
 """
 
@@ -34,8 +37,8 @@ from ductus.llm.common import stored, text_or_empty
 
 #: The most labelled documents the lexicon and the weights are learned from.
 MAX_LABELLED = 20_000
-#: The most words and beginnings looked at as insults (by toxic documents that hold them).
-MAX_CANDIDATES = 200_000
+#: Tasks that share the labelled documents.
+LEARNERS = 12
 PREFIXES = range(3, 11)
 #: Words whose symbols a task remembers.
 REMEMBERED = 400_000
@@ -57,7 +60,7 @@ REACH = 4
 
 def normal(word: str) -> str:
     """A word in lower case without what stands around its letters."""
-    return EDGES.sub("", word.lower())
+    return EDGES.sub("", word.lower().replace("\u2019", "'"))
 
 
 @dataclass(frozen=True)
@@ -67,6 +70,7 @@ class Weights:
     aimed: float = 1.5
     threat: float = 3.0
     negated: float = 0.5
+    denied: float = 0.1  # a negated threat
     reported: float = 0.6
 
 
@@ -159,20 +163,22 @@ class Grammar:
             return [], len(words)
         found, state, w = [], 0, self.weights
         step, said = self.automaton.next, self.automaton.outputs
-        total, out = 0.0, (0, 0, 0, 0, 0)
+        total, worst, out = 0.0, 0.0, (0, 0, 0, 0, 0)  # of insults, and the worst threat
 
         def close() -> None:
-            nonlocal total
+            nonlocal total, worst
             insult, threat, target, _, reported = out
-            score = total * (w.aimed if target and insult else 1.0) + (w.threat if threat and target else 0.0)
+            score = total * (w.aimed if target and insult else 1.0) + (worst if threat and target else 0.0)
             if score > 0:
                 found.append(score * (w.reported if reported else 1.0))
-            total = 0.0
+            total = worst = 0.0
 
         for symbol, weight, ends in marks:
             out = said[state][symbol]
             if symbol == INSULT:
                 total += weight * (w.negated if out[3] else 1.0)
+            elif symbol == THREAT:
+                worst = max(worst, w.threat * (w.denied if out[3] else 1.0))
             state = step[state][symbol]
             if ends:
                 close()
@@ -238,8 +244,9 @@ def learn_lexicon(labelled: DataFrame, min_documents: int = 4, min_share: float
     def counted(rows: DataFrame, only: frozenset | None) -> DataFrame:
         return rows.select("text").mapInArrow(_document_frequencies(only), "form string, n long").groupBy("form").agg(F.sum("n").alias("n"))
 
-    toxic = counted(labelled.filter("toxic = 1"), None).filter(F.col("n") >= min_documents)
-    ones = dict(toxic.orderBy(F.desc("n"), "form").limit(MAX_CANDIDATES).collect())
+    # A little below min_share too, for the continuations.
+    toxic = counted(labelled.filter("toxic = 1"), None).filter((F.col("n") >= min_documents) & (F.col("n") >= 0.8 * min_share * n1))
+    ones = dict(toxic.collect())
     zeros = dict(counted(labelled.filter("toxic = 0"), frozenset(ones)).collect())
     widest: dict[str, int] = {}  # the documents of a beginning's largest continuation
     for form, a in ones.items():
@@ -272,11 +279,19 @@ def fit(rows: np.ndarray, labels: np.ndarray, ridge: float = 1.0, steps: int = 3
     return beta
 
 
+def labelled_texts(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """text and toxic of the sample: one row an id, however often documents or labels have it."""
+    chosen = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    found = df.select(F.col(id_col).alias("__doc"), text_or_empty(text_col).alias("text"))
+    chosen = chosen.orderBy(F.xxhash64(F.lit(7), "__id"), "__id").limit(max_labelled)  # two numbers each
+    rows = found.join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text"))
+    return rows.groupBy("__id", "toxic").agg(one.alias("text")).select("text", "toxic")
+
+
 def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> Model:
     """A model from the documents with a label toxic 0 or 1 (labels: doc_id, toxic)."""
-    chosen = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
-    chosen = chosen.dropDuplicates(["__id"]).orderBy(F.xxhash64(F.lit(7), "__id"), "__id").limit(max_labelled)
-    labelled = stored(df.select(F.col(id_col).alias("__doc"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("text", "toxic").repartition(12))
+    labelled = stored(labelled_texts(df, labels, id_col, text_col, max_labelled).repartition(LEARNERS))
     lexicon = learn_lexicon(labelled)
     grammar = Grammar(lexicon)
 
