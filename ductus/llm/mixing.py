@@ -1,12 +1,12 @@
 """Mixing sources to target weights by hash-threshold histograms (DataFrame functions only).
 
-Documents get a seeded hash. For every source the tokens are summed by hash bucket; the bucket in which
+Documents get a seeded hash of id and text. For every source the tokens are summed by hash bucket; the bucket in which
 the running sum passes the budget is refined, and only that one, until it is a single hash. A document
 is taken when its hash is at most its source's threshold. Nothing is sorted but the few histogram rows,
 thresholds of growing budgets are nested, and a rerun takes the same documents.
 
-Defined cases: a null text has size 0; null is a source of its own, after all others; rows with the same
-id share a hash and are taken or left together; sources without words get target 0; an empty table
+Defined cases: a null text has size 0; null is a source of its own, after all others; rows that share an id
+(or have none) but not the text are taken or left one by one, rows equal in both together; sources without words get target 0; an empty table
 gives an empty table; other columns of the input are not looked at.
 """
 
@@ -77,7 +77,7 @@ def _plan(sized: DataFrame, weights, share: float, most: int):
 
 def _sized(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int):
     source = F.col(source_col).cast("string")
-    return F.coalesce(F.concat(F.lit("="), source), F.lit("~")).alias("__s"), source.alias("source"), n_words(text_or_empty(text_col)).alias("size"), hash_unit(seed, F.col(id_col)).alias("h")
+    return F.coalesce(F.concat(F.lit("="), source), F.lit("~")).alias("__s"), source.alias("source"), n_words(text_or_empty(text_col)).alias("size"), hash_unit(seed, F.col(id_col), F.col(text_col)).alias("h")
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 42) -> DataFrame:
@@ -104,7 +104,7 @@ def op6_hash_threshold_mix(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
-        ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '~')), 1, 15))::BIGINT AS h FROM documents),
+        ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '~') || ':' || coalesce(text, '~')), 1, 15))::BIGINT AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1]::DOUBLE AS w, source_size * 2.0::DOUBLE AS cap FROM s),
 l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
