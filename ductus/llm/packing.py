@@ -3,7 +3,10 @@
 A sequence has three capacities: tokens, documents, and attention cost (the sum of squared lengths). Pieces
 are taken by falling length; each goes into the open sequence that can hold it under every capacity and is
 best by the weighted norm of what would be left of the capacities (or by the weighted dot product of what
-the piece needs and what is left). Tasks pack blocks of pieces: one sequence per block stays part-filled.
+the piece needs and what is left). Tasks pack blocks of pieces apart; the pieces of sequences that stay part-filled
+are packed again together, in rounds, until they fit one block or no longer halve, so the number of sequences
+doesn't depend on the blocks. The document and cost limits are the caller's: at their defaults, capacity documents
+and capacity squared, only tokens bind, as a packing into the fewest sequences wants it.
 
 Defined cases: a null or empty text is the end token alone; repeated rows are packed one by one; null ids
 are kept; an empty table gives an empty table; other columns of the input are not looked at. A text of any
@@ -24,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ductus.llm.common import stored, text_or_empty
+from ductus.llm.common import by_bytes, stored, text_or_empty
 
 #: Pieces that a task packs together.
 BLOCK = 16_384
+#: A sequence with more than this share of its tokens free is packed again with those of other blocks.
+REST = 1 / 64
 #: Words, and pre-tokens, whose ids a worker process remembers from task to task.
 REMEMBERED = 500_000
 
@@ -122,9 +127,9 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = word_ids(path)
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            for low in range(0, len(texts), 64):
-                part = ids.encode_all(texts.slice(low, 64).to_pylist())
+            texts = batch.column(1).cast(pa.large_binary())
+            for low, size in by_bytes(texts, 1_000_000, 64):
+                part = ids.encode_all(texts.slice(low, size).to_pylist())
                 row, piece, start, length, crc, data = [], [], [], [], [], []
                 for i, found in enumerate(part):
                     found += end
@@ -194,42 +199,59 @@ def best_fit(lengths: np.ndarray, capacity: int, max_docs: int, max_attention: i
     return of, at
 
 
-def _pack(capacity: int, max_docs: int, max_attention: int, weights, rule: str):
+def _pack(round_: int, block: int, capacity: int, max_docs: int, max_attention: int, weights, rule: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        made, held, n = TaskContext.get().partitionId() << 40, [], 0
+        made, held, n = round_ << 56 | TaskContext.get().partitionId() << 32, [], 0
 
-        def block() -> pa.RecordBatch:
+        def packed() -> pa.RecordBatch:
             nonlocal made
             table = pa.Table.from_batches(held).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]).combine_chunks()
-            of, at = best_fit(table["length"].to_numpy(), capacity, max_docs, max_attention, weights, rule)
+            lengths = table["length"].to_numpy()
+            of, at = best_fit(lengths, capacity, max_docs, max_attention, weights, rule)
+            part_filled = np.bincount(of, lengths) < capacity * (1 - REST)
             names = pa.array(of + made)
             made += int(of.max()) + 1
-            return table.append_column("sequence_id", names).append_column("offset", pa.array(at)).to_batches()[0]
+            return table.append_column("sequence_id", names).append_column("offset", pa.array(at)).append_column("open", pa.array(part_filled[of])).to_batches()[0]
 
         for batch in batches:
-            for low in range(0, len(batch), BLOCK):
-                held.append(batch.slice(low, BLOCK))
+            low = 0
+            while low < len(batch):
+                held.append(batch.slice(low, block - n))
+                low += len(held[-1])
                 n += len(held[-1])
-                if n >= BLOCK:
-                    yield block()
+                if n == block:
+                    yield packed()
                     held, n = [], 0
         if n:
-            yield block()
+            yield packed()
 
     return run
 
 
-def pack(cut: DataFrame, capacity: int = 4096, max_docs: int = 4096, max_attention: int = 4096 * 4096, weights=(1.0, 0.02, 0.02), rule: str = "norm") -> DataFrame:
+def pack(cut: DataFrame, capacity: int = 4096, max_docs: int | None = None, max_attention: int | None = None, weights=(1.0, 0.02, 0.02), rule: str = "norm", block: int = BLOCK) -> DataFrame:
     """Adds sequence_id and offset to a table of pieces that is stored; pieces are dealt evenly, whatever their keys."""
-    n = cut.count()
     columns = ", ".join(f"{c.name} {c.dataType.simpleString()}" for c in cut.schema)
-    return cut.repartition(max(1, -(-n // BLOCK))).mapInArrow(_pack(capacity, max_docs, max_attention, weights, rule), f"{columns}, sequence_id long, offset long")
+    limits = (capacity, max_docs or capacity, max_attention or capacity * capacity, weights, rule)
+    n, rest, done = cut.count(), cut, []
+    for round_ in range(64):
+        blocks = max(1, -(-n // block))
+        packed = stored(rest.repartition(blocks).mapInArrow(_pack(round_, block, *limits), f"{columns}, sequence_id long, offset long, open boolean"))
+        left = packed.filter("open").count() if blocks > 1 else 0
+        again = 0 < left <= n // 2
+        done.append((packed.filter("NOT open") if again else packed).drop("open"))
+        if not again:
+            break
+        n, rest = left, packed.filter("open").select(*cut.columns)
+    out = done[0]
+    for x in done[1:]:
+        out = out.union(x)
+    return out
 
 
 def packed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, **options) -> DataFrame:
-    return pack(stored(pieces(df, id_col, text_col, capacity)), capacity, max_attention=capacity * capacity, **options)
+    return pack(stored(pieces(df, id_col, text_col, capacity)), capacity, **options)
 
 
 def op7_vector_best_fit(spark, sf_dir: str) -> DataFrame:

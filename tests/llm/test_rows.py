@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ductus.llm import html_text, katz, media, mixing, packing, quality, sharding, simhash, toxicity
+from ductus.llm.common import stored
 from ductus.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -86,6 +87,38 @@ def test_main_text_without_an_article_element():
     assert html_text.main_text("<p>" * 5000 + long) == long
 
 
+LONG = "This is what the page is about and it has more than enough of the words that are in every text of this kind, so it is kept as it is."
+
+
+@pytest.mark.parametrize("name", "main-nav page-footer post-sidebar content-ad entry-newsletter body-cookie-notice mainNav".split())
+def test_a_boilerplate_part_of_a_class_name_drops_the_element(name):
+    assert html_text.main_text(f'<body><div class="{name}"><p>{LONG}</p></div><p>{LONG[:89]} it.</p>') == f"{LONG[:89]} it."
+    assert html_text.main_text(f'<article><p>{LONG}</p><div id="{name}"><p>{LONG}</p></div></article>') == LONG
+
+
+@pytest.mark.parametrize("name", "has-sidebar article-header no-sidebar elementor-widget-text-editor main-content".split())
+def test_other_class_names_drop_nothing(name):
+    assert html_text.main_text(f'<body><div class="{name}"><p>{LONG}</p></div>') == LONG
+
+
+def test_main_text_in_any_language():
+    page = "<body><nav><a href=x>{0}</a></nav><div><h1>{1}</h1><p>{2}</p><p>{3}</p></div><footer>© {0}</footer>"
+    for words in (
+        ("ホーム", "日本語の見出し", "これは日本語の文章です。とても長い段落で、ページの主な内容を説明しています。読者はここで詳しい情報を得ることができます。", "二番目の段落もあります。"),
+        ("Дом", "Заголовок", "Это длинный абзац на русском языке, который рассказывает о содержании страницы и должен остаться в тексте целиком.", "И второй."),
+    ):
+        assert html_text.main_text(page.format(*words)) == " ".join(words[1:])
+
+
+def test_nothing_is_lost_after_a_stray_bracket_or_in_a_linked_paragraph():
+    assert html_text.main_text(f"<p>if a < b then {LONG}") == f"if a < b then {LONG}"
+    assert html_text.main_text(f"<p>{LONG} if a <b then c") == f"{LONG} if a <b then c"
+    assert html_text.main_text(f'<p>{LONG} <a href="x') == LONG
+    parts = ("A paragraph that is nothing but one link to where it is from.", "Copyright law is what this part of the text is about, in more words than that.")
+    assert html_text.main_text(f"<article><p>{LONG}<p><a href=x>{parts[0]}</a><p>{parts[1]}</article>") == " ".join((LONG, *parts))
+    assert html_text.main_text(f"<article><p>{LONG}<ul><li><a>More of it</a><li><a>And of this</a><li><a>And that</a></ul></article>") == LONG
+
+
 def test_streams_round_trip():
     rng = random.Random(3)
     for n in (0, 1, 162, 163, 176, 192, 1535, 1536, 1537, 200_000):
@@ -235,6 +268,24 @@ def test_mix_is_nested_and_near_its_targets(spark):
     assert Counter(r.doc_id for r in mixing.mixed_documents(df).collect()) == Counter({i: c for i, c in taken[1.5].items() if c})
 
 
+def test_rows_without_an_id_of_their_own_are_mixed_one_by_one(spark):
+    for ids in (None, 7):
+        df = spark.createDataFrame([(ids, f"{i} words of a text", "a") for i in range(100)] + [(1, "x " * 600, "b")], "doc_id long, text string, source string")
+        got = mixing.mix(df, weights=(1, 1), share=0.5).filter("source_size = 500").collect()
+        assert abs(sum(r.taken for r in got) - got[0].target) <= 5 and 0 < sum(r.copies for r in got) < 100
+
+
+def test_sql_of_the_mix_with_null_ids(spark, odd, tmp_path):
+    import duckdb
+
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    a, b = mixing.op6_hash_threshold_mix(spark, str(tmp_path)).toPandas(), c.sql(mixing.ORACLE).df()
+    rows = lambda df: sorted(map(str, df[sorted(df.columns)].astype("float").values.tolist()))
+    assert rows(a) == rows(b)
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
@@ -255,6 +306,17 @@ def test_packing(spark):
         p.sort()
         assert [o for o, _ in p] == [sum(n for _, n in p[:i]) for i in range(len(p))] and sum(n for _, n in p) <= 4096
     assert len(places) <= math.ceil(total / 4096) + 1
+    cut = stored(packing.pieces(documents(spark)))
+    for block in (40, 90):
+        again = packing.pack(cut, block=block).collect()
+        assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in again) == want
+        blocks = defaultdict(list)
+        for r in again:
+            blocks[r.sequence_id].append((r.offset, r.length))
+        for p in blocks.values():
+            p.sort()
+            assert [o for o, _ in p] == [sum(n for _, n in p[:i]) for i in range(len(p))] and sum(n for _, n in p) <= 4096
+        assert len(blocks) <= 1.02 * len(places) + 1
 
 
 def test_ids_of_any_text():
@@ -278,6 +340,23 @@ def test_every_capacity_holds(rule):
         assert sorted(at[of == b]) == np.r_[0, np.cumsum(n[np.argsort(at[of == b])])[:-1]].tolist()
 
 
+def test_each_capacity_and_each_weight_decides():
+    lengths = np.sort(np.random.default_rng(7).integers(1, 400, 3000))[::-1]
+    bins = lambda *limits, **options: packing.best_fit(lengths, 1000, *limits, **options)[0]
+    loose = bins(1000, 1000**2)
+    fewest = -(-int(lengths.sum()) // 1000)
+    assert fewest <= loose.max() + 1 <= fewest + 1
+    assert bins(4, 1000**2).max() > loose.max() and bins(1000, 250_000).max() > loose.max()
+    assert (bins(6, 400_000) != bins(6, 400_000, weights=(1.0, 0.0, 0.0))).any()
+    assert (bins(6, 400_000) != bins(6, 400_000, rule="dot")).any()
+
+
+def test_pieces_that_leave_every_sequence_open_end(spark):
+    rows = [(i, 0, 0, 2100, i) for i in range(300)]
+    cut = stored(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long"))
+    assert packing.pack(cut, block=30).select("sequence_id").distinct().count() == 300
+
+
 def brute_katz(rows, order):
     """Recursive evaluation over counters; n-grams are tuples of words."""
     docs = [(i, zlib.crc32(str(i).encode()) % 7 == 2 if i is not None else False, [*(x or "").encode().lower().split(), b"</s> "]) for i, x in rows]
@@ -352,6 +431,29 @@ def test_katz_in_many_chunks():
         assert (katz.unpack(katz.pack(a))[0] == a.view(np.int64 if a.dtype == np.uint64 else a.dtype)).all()
 
 
+def plain_clauses(text, lexicon, w):
+    """The scores of the matched clauses, clause by clause and word by word."""
+    fixed = {x: kind for kind, words in toxicity.WORDS.items() for x in words}
+    clauses, words = [], []
+    for token in text.split():
+        words.append(re.sub(r"^[\W_]+|[\W_]+$", "", token.lower().replace("\u2019", "'")))
+        if token == "|" or token[-1] in ".!?;:":
+            clauses.append(words)
+            words = []
+    found = []
+    for words in [*clauses, words]:
+        insults = {k: max(v for x, v in lexicon.items() if (word.startswith(x[:-1]) if x[-1] == "*" else word == x)) for k, word in enumerate(words) if any(word.startswith(x[:-1]) if x[-1] == "*" else word == x for x in lexicon)}
+        kinds = [None if k in insults else fixed.get(x) for k, x in enumerate(words)]
+        negated = lambda k: toxicity.NEGATION in kinds[max(0, k - toxicity.REACH) : k]  # noqa: E731,B023
+        target = toxicity.TARGET in kinds
+        score = sum(v * (w.negated if negated(k) else 1) for k, v in insults.items()) * (w.aimed if target else 1)
+        if target:
+            score += max((w.threat * (w.denied if negated(k) else 1) for k, x in enumerate(kinds) if x == toxicity.THREAT), default=0)
+        if score > 0:
+            found.append(score * (w.reported if toxicity.REPORT in kinds else 1))
+    return found
+
+
 def test_grammar():
     g = toxicity.Grammar({"foul": 2.0, "vil*": 1.0})
     score = lambda t: sum(g.clauses(t)[0])
@@ -359,10 +461,33 @@ def test_grammar():
     assert score("you foul thing") == 3.0 and score("not foul") == 1.0 and score("villain") == 1.0
     assert score("they said you foul thing") < score("you foul thing")
     assert score("i will hurt you") == 3.0 and score("i will hurt") == 0
+    assert score("i will not hurt you") == score("i will never kill you") == score("i won\u2019t hurt you") == 3.0 * g.weights.denied < 1
+    assert score("i will not sleep until one day i hurt you") == 3.0 == score("i will not hurt you, i will kill you")
     assert score("you. foul thing") == 2.0  # the target is in another clause
     assert len(toxicity.compose().next) == 2 * 2 * 2 * 2 * 5
 
 
+def test_grammar_against_word_by_word_scoring():
+    lexicon = {"foul": 2.0, "vil*": 1.0, "rot": 0.7, "rott*": 1.9}
+    g, rng = toxicity.Grammar(lexicon), random.Random(9)
+    words = ["foul", "Villain", "rot", "ROTTEN", "kill", "hurt", "you", "them", "not", "never", "said", "laut", "the", "day", "calm", "it's", "don\u2019t", "|", "umbringen", "dich", "nicht"]
+    for _ in range(3000):
+        text = " ".join(rng.choice(words) + rng.choice(["", "", "", "", ".", ",", "!", ";"]) for _ in range(rng.randrange(25)))
+        found, n = g.clauses(text)
+        assert found == pytest.approx(plain_clauses(text, lexicon, g.weights)) and n == len(text.split())
+
+
+def test_labels_that_disagree_and_ids_that_repeat(spark):
+    rows = [(i, f"you foul{i % 3} thing of number {i}" if i % 2 else f"a calm day of number {i}") for i in range(60)] + [(1, "another text of the same id")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 0), (3, 1), (4, 0)], "doc_id long, toxic int")
+    table = toxicity.labelled_texts(docs, labels, max_labelled=40)
+    assert table.count() == 40
+    first = sorted(map(tuple, toxicity.labelled_texts(docs, labels).collect()))
+    again = sorted(map(tuple, toxicity.labelled_texts(docs.repartition(5), labels.repartition(3)).collect()))
+    assert first == again and len(first) == 60 and sum(t for _, t in first) == 30
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
