@@ -12,9 +12,15 @@ a fuller anchor go to the anchors of the identity code (radius 0), at which at m
 fingerprints can meet, so no group is unbounded and no link is lost. A group gives a spanning forest, not
 all pairs. Components come from alternating large-star and small-star steps on stored tables.
 
+Similar documents. 64 majority bits of all shingles of two texts with a similarity of 0.8 differ in about ten places,
+too many to cover. `similar` therefore takes TABLES fingerprints of a document, each the majority bits of the LEAST
+shingles that come first in that table's order of hashes: two texts of Jaccard similarity s have about s^LEAST of them
+in common. Fingerprints meet at anchors as above; of each group the others are compared with its first document by
+their whole shingle sets, and only pairs that are as similar as asked for are links. Groups are dealt in parts.
+
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; null ids are kept,
-and a component of null ids only has a null component_id; repeated rows give repeated rows; an empty table
-gives an empty table; other columns of the input are not looked at.
+and a component of null ids only has a null component_id; repeated rows give repeated rows (but `one_of_each` keeps
+one); an empty table gives an empty table; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ductus.llm.common import stored, text_or_empty
+from ductus.llm.common import by_bytes, stored, text_or_empty
 
 BITS = 64
 MAX_MEMBERS = 256
@@ -43,6 +49,9 @@ CODES = {
 }
 #: Fixed value: generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
 GOLAY = 0b110001110101
+#: Of `similar`: fingerprints of a document, shingles of each, members that meet a group's first document in a task.
+TABLES, LEAST, PART = 5, 3, 512
+_K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -246,14 +255,16 @@ def components(edges: DataFrame, steps: int = 60) -> DataFrame:
     return stars.union(stars.select("root", "root")).distinct()
 
 
+def _code(n: int) -> str:
+    """The code with about one other member an anchor at most, of n fingerprints."""
+    return "golay" if n < 1e7 else "mixed" if n < 1e10 else "hamming"
+
+
 def _classes(df: DataFrame, id_col: str, text_col: str, threshold: int, code: str | None) -> tuple[DataFrame, DataFrame]:
     """The stored fingerprints of all rows, and fp with the root of its component."""
     docs = stored(fingerprints(df, id_col, text_col))
     points = stored(docs.select("fp").distinct())
-    if code is None:  # about one other member an anchor at most
-        n = points.count()
-        code = "golay" if n < 1e7 else "mixed" if n < 1e10 else "hamming"
-    roots = components(links(points, threshold, code))
+    roots = components(links(points, threshold, code or _code(points.count())))
     return docs, stored(points.join(roots, points.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root")))
 
 
@@ -269,12 +280,114 @@ def op2_simhash_anchors(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, code: str | None = None) -> DataFrame:
-    """Of each component the document with the smallest id (null last), with all columns; one row of it."""
-    docs, roots = _classes(df, id_col, text_col, threshold, code)
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_hash").alias("t"))
-    by_fp = docs.groupBy("fp").agg(F.min(order).alias("first"))
-    kept = by_fp.join(roots, "fp").groupBy("root").agg(F.min("first").alias("__first")).select("__first")
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _K2
+    return x ^ (x >> np.uint64(29))
+
+
+def shingles(text: bytes, size: int) -> np.ndarray:
+    """Hashes of the different shingles of the lower-cased words (A-Z only), in order; of fewer words their whole sequence."""
+    words = text.lower().split()
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    size = min(size, len(w))
+    if not size:
+        return w
+    n = len(w) - size + 1
+    h = _mix(w[:n])
+    for k in range(1, size):
+        h = _mix(h * _K1 + w[k : n + k])
+    return np.unique(h)
+
+
+def least_fingerprints(h: np.ndarray, tables: int = TABLES, least: int = LEAST) -> list[int]:
+    """Majority bits of the least shingles in each table's order; 0 without shingles."""
+    if not len(h):
+        return [0] * tables
+    out = []
+    for k in range(1, tables + 1):
+        x = _mix(h ^ _mix(np.array([k], np.uint64) * _K1))
+        x = x if len(x) <= least else np.partition(x, least - 1)[:least]
+        ones = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(x), bitorder="little").view(np.int64)[0]))
+    return out
+
+
+def _sketches(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [least_fingerprints(shingles(x.as_py(), size)) for x in batch.column(1).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int64()))], ["i", "t", "fps"])
+
+    return run
+
+
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, n in by_bytes(batch.column(1), 8_000_000, 1000):
+                part = batch.slice(low, n)
+                found = [shingles(x.as_py(), size).tobytes() for x in part.column(1).cast(pa.large_binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["t", "set"])
+
+    return run
+
+
+def _jaccard(similarity: float):
+    """Of parts of groups, each its first document's set (a null) and then members: the members that are similar to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = np.zeros(0, np.uint64)
+        for batch in batches:
+            out = []
+            for v, u, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                h = np.frombuffer(data.as_py(), np.uint64)
+                if u is None:
+                    first = h
+                    continue
+                both = len(np.intersect1d(first, h, assume_unique=True))
+                if both >= similarity * (len(first) + len(h) - both):
+                    out.append((u, v))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], []))], ["a", "b"])
+
+    return run
+
+
+def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, code: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Stored tables: texts (t: hash of a text, first: the first row that has it), and node, root of linked ones.
+
+    Equal texts are one. Every pair of texts with the similarity is found with a chance of about
+    1 - (1 - similarity^LEAST)^TABLES, 0.97 at 0.8 and more above; links are exact.
+    """
+    text = text_or_empty(text_col)
+    rows = df.select(F.col(id_col).cast("long").alias("i"), text.alias("text"), F.xxhash64(text).alias("t"))
+    order = F.struct(F.col("i").isNull().alias("n"), F.col("i").alias("i"), F.col("t").alias("t"))
+    sketches = rows.mapInArrow(_sketches(shingle), "i long, t long, fps array<long>")
+    texts = stored(sketches.groupBy("t").agg(F.min(order).alias("first"), F.first("fps").alias("fps")))
+    members = texts.select("t", "first", F.explode("fps").alias("fp"))
+    groups = stored(members.groupBy("fp").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n")))
+    linked = links(groups.select("fp"), 2, code or _code(groups.count()))
+    name = lambda c: groups.select(F.col("fp").alias(c), F.col("first.t").alias(f"{c}_t"), F.col("first").alias(f"{c}_first"))
+    inside = members.join(groups.filter("n > 1").select("fp", F.col("first.t").alias("v")), "fp").filter("t != v").select(F.col("t").alias("u"), "v")
+    across = linked.join(name("a"), "a").join(name("b"), "b").filter("a_t != b_t")
+    later = F.col("a_first") > F.col("b_first")
+    across = across.select(F.when(later, F.col("a_t")).otherwise(F.col("b_t")).alias("u"), F.when(later, F.col("b_t")).otherwise(F.col("a_t")).alias("v"))
+    pairs = stored(inside.union(across).distinct())
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("t")).distinct()
+    one = rows.select("t", "text").join(nodes, "t", "left_semi").dropDuplicates(["t"]).select("t", "text")
+    sets = stored(one.mapInArrow(_sets(shingle), "t long, set binary"))
+    sizes = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    dealt = pairs.join(sizes, "v").withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int"))
+    members = dealt.join(sets, dealt.u == sets.t).select("v", "part", "u", "set")
+    firsts = sizes.join(sets, sizes.v == sets.t).select("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("u"), "set")
+    met = members.union(firsts).repartition("v", "part").sortWithinPartitions("v", "part", F.col("u").asc_nulls_first())
+    return texts, components(stored(met.mapInArrow(_jaccard(similarity), "a long, b long")))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id (null last), with all columns; one row of it."""
+    texts, roots = similar(df, id_col, text_col, shingle, similarity)
+    named = texts.join(roots, texts.t == roots.node, "left").select(F.coalesce("root", "t").alias("root"), "first")
+    kept = named.groupBy("root").agg(F.min("first").alias("__first")).select("__first")
     text_hash = F.xxhash64(text_or_empty(text_col))
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__first.i")) & (text_hash == F.col("__first.t"))
     out = df.join(kept, same, "left_semi").withColumn("__t", text_hash)
