@@ -125,10 +125,13 @@ def op3_host_quality(spark, sf_dir: str) -> DataFrame:
 
 
 def filter_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.5) -> DataFrame:
-    """The documents that are kept, with all their columns. Texts are counted twice and never shuffled."""
-    hosts = stored(host_verdicts(failures(base_counts(df, id_col, text_col, host_col)), max_rate))
+    """The documents that are kept, with all their columns.
+
+    They are counted once and stored with what the verdict needs, since the hosts' verdicts come from all of them.
+    """
     rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("__row"), F.col(text_col).alias("__t"), F.col(host_col).alias("__h"))
-    return _with_verdicts(failures(base_counts(rows, "__row", "__t", "__h")), hosts).filter("kept").select("doc_id.*")
+    judged = stored(failures(base_counts(rows, "__row", "__t", "__h")).select("doc_id", "host", "base_failed", "rule_failed"))
+    return _with_verdicts(judged, stored(host_verdicts(judged, max_rate))).filter("kept").select("doc_id.*")
 
 
 ORACLE = """
