@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ductus.llm.common import text_or_empty
+from ductus.llm.common import by_bytes, text_or_empty
 
 PACKET = 188
 PAT_PID, PMT_PID, DATA_PID, NULL_PID = 0, 0x1000, 0x100, 0x1FFF
@@ -200,16 +200,19 @@ def demux(data: bytes) -> Stream:
     return s
 
 
-def _slices(batches: Iterator[pa.RecordBatch], n: int = 256) -> Iterator[pa.RecordBatch]:
+#: Bytes of payloads or streams that a task turns at a time, or one row's.
+SLICE_BYTES = 16_000_000
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for low in range(0, len(batch), n):
+        for low, n in by_bytes(batch.column(1), SLICE_BYTES, 256):
             yield batch.slice(low, n)
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches):
-        data = batch.column(1).cast(pa.binary())
-        media = [mux(x.as_py()) for x in data]
+        media = [mux(x.as_py()) for x in batch.column(1).cast(pa.large_binary())]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(media, pa.binary())], ["id", "media"])
 
 
