@@ -6,7 +6,8 @@ sources in proportion, and the order is cut into shards whose row counts differ
 
 Both rankings are distributed: rows are counted by (source, hash bucket) and by bucket of fractional rank,
 the running sums of these small counts give each bucket's first rank, and only rows inside a bucket are
-sorted. A source with a third of all rows is thus spread over as many tasks as it has buckets.
+sorted. A source with a third of all rows is thus spread over as many tasks as it has buckets; only rows that
+are equal in id and text share a bucket whatever their number.
 
 Defined cases: a null text has size 8 and the checksum of no bytes; null is a source of its own; repeated
 rows are placed one by one; an empty table gives an empty table; other columns are not looked at.
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from ductus.llm.common import hash_unit, stored, text_or_empty
 
 HASH_BITS = 60
+#: Rows that are sorted together, and the most buckets, whose counts are summed up in one task.
+ROWS, MAX_BUCKETS = 2_000, 200_000
 
 
 def _ranked(rows: DataFrame, group: list[str], bucket: Column, order: list[str], rank: str) -> DataFrame:
@@ -35,8 +38,11 @@ def _ranked(rows: DataFrame, group: list[str], bucket: Column, order: list[str],
     return rows.withColumn("__i", F.row_number().over(inside) - 1).join(first, [*group, "__b"]).withColumn(rank, F.col("__first") + F.col("__i")).drop("__b", "__i", "__first")
 
 
-def shards(df: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42, rows_per_bucket: int = 50_000) -> DataFrame:
-    """doc_id, size, text_crc32, source, position (in the interleaved order), shard, slot."""
+def shards(df: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42, rows_per_bucket: int | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, source, position (in the interleaved order), shard, slot.
+
+    rows_per_bucket: by default ROWS, or as many as make MAX_BUCKETS of all.
+    """
     text = text_or_empty(text_col)
     source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("~"))
     rows = stored(
@@ -49,7 +55,7 @@ def shards(df: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col:
         )
     )
     total = rows.count()
-    buckets = max(1, -(-total // rows_per_bucket))
+    buckets = max(1, -(-total // (rows_per_bucket or max(ROWS, total // MAX_BUCKETS))))
     by_hash = F.floor(F.col("h") / F.lit(float(2**HASH_BITS)) * buckets).cast("long")
     ranked = _ranked(rows, ["s"], by_hash, ["h", "doc_id", "size", "text_crc32"], "r")
     sizes = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
