@@ -7,6 +7,7 @@ import tempfile
 import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,6 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 _local_folder: str | None = None
+_scopes: list[list[DataFrame]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,9 +51,23 @@ def stored(df: DataFrame, *sort: str) -> DataFrame:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     out = spark.read.schema(df.schema).parquet(path)
     out._ductus_path = path
+    for made in _scopes:
+        made.append(out)
     return out
 
 
+@contextmanager
+def only_the_last() -> Iterator[None]:
+    """Of the tables stored inside, all but the last go at the end: they were steps towards it."""
+    made: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        discard(*made[:-1])
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing will read again."""
     for table in tables:
