@@ -1 +1 @@
-"""Text-normalisation analytics on Spark DataFrames of lines and documents."""
+"""Cleaning, spelling and evaluating lines of text, and training corpora, on Spark DataFrames."""

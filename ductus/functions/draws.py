@@ -1,12 +1,14 @@
 """Reproducible draws: uniform numbers from a seed, a row's key and a place, the same on any partitioning.
 
-Python, Spark and DuckDB give the same number: the first 32 bits of md5("seed:key:place") over 2^32.
+Python, Spark and DuckDB give the same number: the first 32 bits of md5("seed:key:place") over 2^32. Where a row
+needs many draws in a row, draw i is the (i mod 4)-th 32 bits of md5("seed:key:i / 4"), so a digest gives four.
 """
 
 from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,3 +25,15 @@ def draw(seed: int, key: str, place: object) -> float:
 def duck_uniform(seed: int, key: str, place: str) -> str:
     """The same as DuckDB SQL, of two SQL expressions."""
     return f"(('0x' || substr(md5('{seed}:' || ({key})::VARCHAR || ':' || ({place})::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+def draws(seed: int, key: str, n: int) -> np.ndarray:
+    """n draws in a row, four a digest."""
+    head = f"{seed}:{key}:"
+    digests = b"".join([hashlib.md5(f"{head}{k}".encode()).digest() for k in range(-(-n // 4))])
+    return np.frombuffer(digests, ">u4")[:n] / 4294967296.0
+
+
+def duck_draws(seed: int, key: str, i: str) -> str:
+    """Draw i of draws() as DuckDB SQL."""
+    return f"(('0x' || substr(md5('{seed}:' || ({key})::VARCHAR || ':' || (({i}) // 4)::VARCHAR), 8 * (({i}) % 4)::INT + 1, 8))::BIGINT / 4294967296.0::DOUBLE)"

@@ -5,12 +5,13 @@ The plain functions take and give Python values; the UDFs take columns. Null in,
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ductus.functions.draws import draw
+from ductus.functions.draws import draw, draws
 from ductus.functions.script import DELIMITERS, PUNCTUATION, SHAD, TSHEG, UTTERANCE
 
 DOUBLE = SHAD * 2
@@ -37,19 +38,19 @@ def space_punctuation(text: str) -> str:
 def split_unsegmented(text: str, longest: int) -> list[str]:
     """Chunks cut at the last shad, else tsheg, else space once `longest` characters have come together."""
     out: list[str] = []
-    now = ""
-    for c in text:
-        now += c
-        if len(now) < longest:
-            continue
-        cut = next((at for mark in (SHAD, TSHEG, " ") if (at := now.rfind(mark)) > 0), 0)
-        if cut:
-            head = now[: cut + 1]
-            out.append(head.strip() + (" " if head.endswith(DOUBLE) else ""))
-            now = now[cut + 1 :]
-    if now.strip():
-        out.append(now.strip())
-    return out
+    start, n = 0, len(text)
+    while start + longest <= n:
+        end = start + longest
+        cut = next((at for mark in (SHAD, TSHEG, " ") if (at := text.rfind(mark, start + 1, end)) > 0), 0)
+        if not cut:  # the next mark is the first that can be cut at
+            cut = min((at for mark in (SHAD, TSHEG, " ") if (at := text.find(mark, end)) >= 0), default=n)
+        if cut == n:
+            break
+        head = text[start : cut + 1]
+        out.append(head.strip() + (" " if head.endswith(DOUBLE) else ""))
+        start = cut + 1
+    rest = text[start:].strip()
+    return [*out, rest] if rest else out
 
 
 def pack_units(units: list[str], longest: int) -> list[str]:
@@ -138,7 +139,7 @@ def swap_line(text: str, chance: float, segmented: bool, seed: int, key: str) ->
 
 def chosen(n: int, k: int, seed: int, key: str) -> set[int]:
     """k of n places, drawn without replacement."""
-    return set(sorted(range(n), key=lambda i: (draw(seed, key, i), i))[:k])
+    return set(np.argsort(draws(seed, key, n), kind="stable")[:k].tolist()) if k else set()
 
 
 def how_many(n: int, ratio: float, seed: int, key: str) -> int:
@@ -149,10 +150,24 @@ def how_many(n: int, ratio: float, seed: int, key: str) -> int:
 
 def replace_some(text: str, part: str, other: str, ratio: float, seed: int, key: str) -> str:
     """A share of the occurrences of a character or digraph replaced (left to right, not overlapping)."""
+    n = text.count(part)
+    k = how_many(n, ratio, seed, key)
+    if not k:
+        return text
     pieces = text.split(part)
-    n = len(pieces) - 1
-    taken = chosen(n, how_many(n, ratio, seed, key), seed, key)
-    return pieces[0] + "".join((other if i in taken else part) + p for i, p in enumerate(pieces[1:]))
+    taken = chosen(n, k, seed, key)
+    return pieces[0] + "".join([(other if i in taken else part) + p for i, p in enumerate(pieces[1:])])
+
+
+def insert_noise(text: str, chance: float, alphabet: str, seed: int, key: str) -> str:
+    """After each character, with the chance, one character of the alphabet."""
+    u = draws(seed, key, len(text))
+    out, start = [], 0
+    for i in np.flatnonzero(u < chance).tolist():
+        out.append(text[start : i + 1])
+        out.append(alphabet[int(u[i] / chance * len(alphabet))])
+        start = i + 1
+    return "".join([*out, text[start:]])
 
 
 def _spans(text: str) -> tuple[list[str], str]:
@@ -214,7 +229,7 @@ def _texts(f, kind=T.StringType()):
 
     @F.pandas_udf(kind)
     def keyed(texts: pd.Series, keys: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else f(x, k) for x, k in zip(texts, keys)])
+        return pd.Series([None if x is None else f(x, k) for x, k in zip(texts, keys)], dtype=object)
 
     return lambda text, key=None: one(text) if key is None else keyed(text, key)
 
@@ -250,6 +265,10 @@ def some_replaced(text: Column, key: Column, part: str, other: str, ratio: float
     return _texts(lambda x, k: replace_some(x, part, other, ratio, seed, k))(text, key)
 
 
+def noisy(text: Column, key: Column, chance: float, alphabet: str, seed: int) -> Column:
+    return _texts(lambda x, k: insert_noise(x, chance, alphabet, seed, k))(text, key)
+
+
 def rule_noised(text: Column, key: Column, letters: float, syllable_share: float, seed: int) -> Column:
     return _texts(lambda x, k: rule_noise(x, letters, syllable_share, seed, k))(text, key)
 

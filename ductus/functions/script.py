@@ -78,6 +78,17 @@ def fix_punctuation(text: Column, shads: tuple[str, ...] = MODE_SHADS) -> Column
     return collapse_tshegs(space_after_shad(_shads(text, shads)))
 
 
+def fix_whole_punctuation(text: Column, shads: tuple[str, ...] = FILE_SHADS) -> Column:
+    """fix_punctuation of a whole file's text at once: a shad before a line break has white space after it already."""
+    return fix_punctuation(text, shads)
+
+
+def fix_line_of_file(text: Column, last: Column, shads: tuple[str, ...] = FILE_SHADS) -> Column:
+    """The same line by line: only the file's last line (without a break after it) gets a space after a shad at its end."""
+    out = fix_punctuation(text, shads)
+    return F.when(last | ~out.endswith(f"{SHAD} ") | text.endswith(" "), out).otherwise(F.rtrim(out))
+
+
 def count_of(text: Column, part: str) -> Column:
     """Occurrences that don't overlap."""
     return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("long")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ductus.functions import folds, script
+from ductus.functions import folds
 from ductus.functions.draws import uniform
 
 #: The characters that noise inserts.
@@ -23,15 +23,7 @@ def noise_probability(ratio: float) -> float:
 
 def with_noise(text: Column, key: Column, ratio: float = 5.0, alphabet: str = NOISE, seed: int = 42) -> Column:
     """After each character, with the noise probability, one character of the alphabet."""
-    p = noise_probability(ratio)
-    letters = F.split(F.lit(alphabet), "")
-
-    def noisy(c: Column, i: Column) -> Column:
-        u = uniform(seed, key, i)
-        pick = F.floor(u / F.lit(p or 1.0) * len(alphabet)).cast("int")
-        return F.when(u < p, F.concat(c, F.element_at(letters, pick + 1))).otherwise(c)
-
-    return F.array_join(F.transform(script.chars(text), noisy), "")
+    return folds.noisy(text, key, noise_probability(ratio), alphabet, seed)
 
 
 def noise_copies(df: DataFrame, key: Column, copies: int = 1, ratio: float = 5.0, seed: int = 42, text: str = "text") -> DataFrame:

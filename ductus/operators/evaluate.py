@@ -2,25 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ductus.functions import script
+from ductus.functions.draws import draws
 
 METRICS = ("character_error_rate", "precision", "recall", "f1_score", "correcting_recall", "correcting_precision")
 
 
-#: Distances up to these are looked for first, in time of the band's width times the length.
-BANDS = (16, 128, 1024)
-
-
-def edit_distance(a: Column, b: Column, bands: tuple[int, ...] = BANDS) -> Column:
-    """Levenshtein distance, within growing bands before the whole table of the two texts."""
-    if not bands:
-        return F.levenshtein(a, b)
-    near = F.array(F.levenshtein(a, b, bands[0]))  # -1: farther
-    return F.transform(near, lambda x: F.when(x == -1, edit_distance(a, b, bands[1:])).otherwise(x))[0]
+def edit_distance_of(a: str, b: str) -> int:
+    """Levenshtein distance: a column of its table at a time, as the bits of two numbers."""
+    if a == b:
+        return 0
+    if not a or not b:
+        return len(a) + len(b)
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    all_, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, distance = all_, 0, len(a)  # where the next cell down is one more, one less
+    for c in b:
+        here = where.get(c, 0)
+        flat = ((here & up) + up ^ up) | here | down
+        right_up, right_down = down | all_ & ~(flat | up), up & flat
+        if right_up & last:
+            distance += 1
+        elif right_down & last:
+            distance -= 1
+        right_up = right_up << 1 | 1
+        right_down <<= 1
+        up, down = right_down & all_ | all_ & ~(flat | right_up), right_up & flat & all_
+    return distance
+
+
+@F.pandas_udf(T.LongType())
+def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else edit_distance_of(x, y) for x, y in zip(a, b)], dtype="Int64")
 
 
 def character_error_rate(reference: Column, hypothesis: Column) -> Column:
@@ -29,33 +52,48 @@ def character_error_rate(reference: Column, hypothesis: Column) -> Column:
     return F.when(F.length(reference) == 0, empty).otherwise(edit_distance(reference, hypothesis) / F.length(reference))
 
 
-def _count(a: Column, b: Column, f) -> Column:
-    """Places up to the longer text's length at which f holds; a missing character is ''."""
-    at = F.zip_with(script.chars(a), script.chars(b), lambda x, y: f(F.coalesce(x, F.lit("")), F.coalesce(y, F.lit(""))))
-    return F.size(F.filter(at, lambda x: x)).cast("long")
+def _codes(texts: pd.Series, like: list[np.ndarray]) -> list[np.ndarray]:
+    """Code points of the texts, with zeros up to the given lengths."""
+    out = []
+    for x, n in zip(texts, like):
+        codes = np.zeros(n, np.uint32)
+        found = np.frombuffer((x or "").encode("utf-32-le", "surrogatepass"), "<u4")
+        codes[: len(found)] = found + 1
+        out.append(codes)
+    return out
+
+
+_STATISTICS = T.StructType([T.StructField(c, T.LongType()) for c in ("distance", "matches", "n_reference", "n_hypothesis", "e_total", "e_ident", "c_corr")])
+
+
+@F.pandas_udf(_STATISTICS)
+def _statistics(reference: pd.Series, hypothesis: pd.Series, source: pd.Series) -> pd.DataFrame:
+    """What a line adds to every metric; a null text makes null statistics of what it is part of."""
+    texts = (reference, hypothesis, source)
+    sizes = [max(len(x or "") for x in row) for row in zip(*texts)]
+    none = [x.isna().to_numpy() for x in texts]
+    out = np.zeros((len(reference), 7), np.int64)
+    for k, (r, h, s, rt, ht) in enumerate(zip(*(_codes(x, sizes) for x in texts), reference, hypothesis)):
+        differs, kept = s != r, h == r
+        out[k] = (edit_distance_of(rt or "", ht or ""), (kept & (r > 0)).sum(), (r > 0).sum(), (h > 0).sum(), differs.sum(), (s != h).sum(), (differs & kept).sum())
+    found = pd.DataFrame(out, columns=_STATISTICS.names).astype("Int64")
+    r, h, s = none
+    for c, missing in (("distance", r | h), ("matches", r | h), ("n_reference", r), ("n_hypothesis", h), ("e_total", r | s), ("e_ident", h | s), ("c_corr", r | h | s)):
+        found.loc[missing, c] = pd.NA
+    return found
 
 
 def line_statistics(df: DataFrame, reference: str = "target", hypothesis: str = "hypothesis", source: str | None = "source") -> DataFrame:
-    """df with what a line adds to every metric: cer, matches, n_reference, n_hypothesis, e_total, e_ident, c_corr."""
-    r, h = F.col(reference), F.col(hypothesis)
-    found = {
-        "cer": character_error_rate(r, h),
-        "matches": _count(r, h, lambda x, y: (x == y) & (x != "")),
-        "n_reference": F.length(r).cast("long"),
-        "n_hypothesis": F.length(h).cast("long"),
-        "e_total": F.lit(0).cast("long"),
-        "e_ident": F.lit(0).cast("long"),
-        "c_corr": F.lit(0).cast("long"),
-    }
-    if source is not None:
-        s = F.col(source)
-        pairs = F.zip_with(script.chars(s), script.chars(r), lambda x, y: F.struct(F.coalesce(x, F.lit("")).alias("s"), F.coalesce(y, F.lit("")).alias("r")))
-        corrected = F.zip_with(pairs, script.chars(h), lambda p, y: (F.coalesce(p["s"], F.lit("")) != F.coalesce(p["r"], F.lit(""))) & (F.coalesce(y, F.lit("")) == F.coalesce(p["r"], F.lit(""))))
-        found["e_total"], found["e_ident"] = _count(s, r, lambda x, y: x != y), _count(s, h, lambda x, y: x != y)
-        found["c_corr"] = F.size(F.filter(corrected, lambda x: x)).cast("long")
-    # One row each: a generator keeps filters above from being pushed down, which would copy these expressions.
-    one = F.explode(F.array(F.struct(*[x.alias(c) for c, x in found.items()]))).alias("__s")
-    return df.select("*", one).select(*[F.col(c) for c in df.columns], "__s.*")
+    """df with what a line adds to every metric: cer, matches, n_reference, n_hypothesis, e_total, e_ident, c_corr.
+
+    Places are compared up to the longer text's length. Without a source there are no errors to correct.
+    """
+    r, h = F.col(reference).cast("string"), F.col(hypothesis).cast("string")
+    found = df.withColumn("__s", _statistics(r, h, r if source is None else F.col(source).cast("string")))
+    empty = F.when(F.col("__s.n_hypothesis") == 0, 0.0).otherwise(1.0)
+    rate = F.when(F.col("__s.n_reference") == 0, empty).otherwise(F.col("__s.distance") / F.col("__s.n_reference"))
+    corrected = [F.lit(0).cast("long").alias(c) if source is None else F.col(f"__s.{c}") for c in ("e_total", "e_ident", "c_corr")]
+    return found.select(*[F.col(c) for c in df.columns], rate.alias("cer"), *[F.col(f"__s.{c}") for c in ("matches", "n_reference", "n_hypothesis")], *corrected)
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -91,21 +129,36 @@ def replayed_draws(n: int, iterations: int = 1000, seed: int = 42) -> np.ndarray
     return np.stack([rng.choice(n, size=n, replace=True) for _ in range(iterations)])
 
 
+#: Chances of a Poisson(1) variable to be at most 0, 1, 2 ...
+POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1)) for k in range(12)])
+
+
+def _resampled(iterations: int, seed: int):
+    """Sums of the statistics of a task's lines, weighted anew in every iteration."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((iterations, 1 + len(STATISTICS)))
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            x = np.column_stack([np.ones(len(keys)), *(c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[1:])])
+            for low in range(0, len(keys), 1000):
+                u = np.stack([draws(seed, k, iterations) for k in keys[low : low + 1000]])
+                total += np.searchsorted(POISSON, u, "right").T.astype(float) @ x[low : low + 1000]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(iterations)), *(pa.array(c) for c in total.T)], ["iteration", "n", *STATISTICS])
+
+    return run
+
+
 def bootstrap_intervals(statistics: DataFrame, key: str, iterations: int = 1000, level: float = 95.0, seed: int = 42) -> DataFrame:
     """metric, lower, upper: percentile intervals of the six metrics over resampled lines.
 
     Every line gets a Poisson(1) weight in every iteration, drawn from its key, so lines stay where they are: a
     task adds up all iterations of its lines, and one row per iteration and task is shuffled.
     """
-    from ductus.functions.draws import uniform
-
-    cuts = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1)) for k in range(12)]).tolist()
-    rows = statistics.dropna(subset=list(STATISTICS)).withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    u = uniform(seed, F.col(key), F.col("iteration"))
-    weight = sum(((u >= c).cast("long") for c in cuts[1:]), (u >= cuts[0]).cast("long"))
-    rows = rows.withColumn("w", weight).filter("w > 0")
-    total = rows.groupBy("iteration").agg(F.sum("w").alias("n"), *[F.sum(F.col(c) * F.col("w")).alias(c) for c in STATISTICS])
-    values = total.select(*[x.alias(k) for k, x in _metrics({c: F.col(c) for c in ("n", *STATISTICS)}).items()])
+    rows = statistics.dropna(subset=list(STATISTICS)).select(F.col(key).cast("string"), *STATISTICS)
+    schema = "iteration long, n double, " + ", ".join(f"{c} double" for c in STATISTICS)
+    total = rows.mapInArrow(_resampled(iterations, seed), schema).groupBy("iteration").agg(*[F.sum(c).alias(c) for c in ("n", *STATISTICS)])
+    values = total.filter("n > 0").select(*[x.alias(k) for k, x in _metrics({c: F.col(c) for c in ("n", *STATISTICS)}).items()])
     return _intervals(values, level)
 
 

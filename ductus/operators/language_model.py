@@ -5,8 +5,14 @@ A model is a table n, ngram (tokens joined by a space), logprob, backoff, in log
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ductus.functions import script
 from ductus.plans.store import stored
@@ -17,6 +23,8 @@ PRUNE = (0, 1, 1, 2, 2)
 FALLBACK = (0.5, 1.0, 1.5)
 #: What a token costs that not even the unigrams have.
 UNKNOWN = -10.0
+#: A model of at most so many n-grams (under 100 MB) goes to every task; a larger one is joined.
+MAX_LOCAL = 2_000_000
 
 
 def training_tokens(text: Column) -> Column:
@@ -25,13 +33,35 @@ def training_tokens(text: Column) -> Column:
     return F.concat(F.array(F.lit(BOS)), letters, F.array(F.lit(EOS)))
 
 
+def _counted(order: int):
+    """Counts of the n-grams of a batch of token arrays: a row for each different one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(0)
+            flat = column.flatten().dictionary_encode()
+            names = flat.dictionary.to_pylist()
+            tokens, sizes = flat.indices.to_numpy(), np.diff(column.offsets.to_numpy())
+            place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            left = np.repeat(sizes, sizes) - place
+            gram = np.zeros(len(tokens), np.int64)  # the n-gram that starts at each token, as a number
+            grams = [()]
+            for n in range(1, order + 1):
+                at = np.flatnonzero(left >= n)
+                keys, which, counts = np.unique(gram[at] * len(names) + tokens[at + n - 1], return_inverse=True, return_counts=True)
+                grams = [(*grams[k // len(names)], names[k % len(names)]) for k in keys.tolist()]
+                gram[at] = which
+                for i in range(0, len(grams), 50_000):
+                    part = [" ".join(g) for g in grams[i : i + 50_000]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), n, np.int32)), pa.array(part, pa.string()), pa.array(counts[i : i + 50_000])], ["n", "ngram", "c"])
+
+    return run
+
+
 def ngram_counts(df: DataFrame, order: int = 5, text: str = "text") -> DataFrame:
-    """n, ngram, c of the lines that aren't blank; counted per task before the shuffle."""
+    """n, ngram, c of the lines that aren't blank; counted by batch, and by task, before the shuffle."""
     lines = df.filter(script.strip(F.col(text)) != "").select(training_tokens(F.col(text)).alias("t"))
-    at = lambda n: F.transform(F.sequence(F.lit(1), F.size("t") - (n - 1)), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("t", i, n), " ").alias("ngram")))
-    none = F.array().cast("array<struct<n:int,ngram:string>>")
-    grams = F.concat(*[F.when(F.size("t") >= n, at(n)).otherwise(none) for n in range(1, order + 1)])
-    return lines.select(F.explode(grams).alias("x")).select("x.*").groupBy("n", "ngram").agg(F.count(F.lit(1)).alias("c"))
+    return lines.mapInArrow(_counted(order), "n int, ngram string, c long").groupBy("n", "ngram").agg(F.sum("c").alias("c"))
 
 
 def _suffix(ngram: Column) -> Column:
@@ -120,11 +150,89 @@ def score_windows(found: DataFrame, model: DataFrame, order: int) -> DataFrame:
     return best.select("window", (F.coalesce("hit.logprob", F.lit(UNKNOWN)) + sum_back).alias("logprob"))
 
 
-def score(df: DataFrame, model: DataFrame, order: int, key: list[str], text: str = "text", bos: bool = True, eos: bool = True) -> DataFrame:
-    """key, score: log10 probability of each text; every window is scored once, however often it occurs.
-
-    A null text scores 0, like a missing model.
+class LocalModel:
+    """A model in arrays: the n-grams of each order as sorted numbers, with their logprob and backoff."""
+
+    def __init__(self, rows: list, order: int):
+        grams = [(r.ngram.split(" "), r.logprob, r.backoff) for r in rows]
+        self.tokens = {t: i for i, t in enumerate(sorted({t for g, *_ in grams for t in g}), 1)}  # 0: any other
+        self.order, self.bits = order, max(1, len(self.tokens).bit_length())
+        self.tables = []
+        for n in range(1, order + 1):
+            found = sorted((self.number(g), p, b) for g, p, b in grams if len(g) == n)
+            self.tables.append(tuple(np.array([x[k] for x in found], t) for k, t in enumerate((np.int64, float, float))))
+        codes = {ord(t): i for t, i in self.tokens.items() if len(t) == 1 and t != " "}
+        self.codes = np.zeros(max([*codes, ord("␠")]) + 1, np.int64)
+        for c, i in codes.items():
+            self.codes[c] = i
+        self.codes[ord(" ")] = self.tokens.get("␠", 0)
+
+    @property
+    def exact(self) -> bool:
+        return self.bits * self.order <= 62
+
+    def number(self, gram: list[str]) -> int:
+        out = 0
+        for t in gram:
+            out = out << self.bits | self.tokens.get(t, 0)
+        return out
+
+    def scores(self, texts: list[str], bos: bool, eos: bool) -> np.ndarray:
+        """The longest known n-gram of every place, with the back-offs of the longer ones, summed by text."""
+        head, tail = ([self.tokens.get(t, 0)] * on for t, on in ((BOS, bos), (EOS, eos)))
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        letters = np.where(codes < len(self.codes), self.codes[np.minimum(codes, len(self.codes) - 1)], 0)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        n = sizes + bos + eos
+        first = np.cumsum(n) - n
+        tokens = np.zeros(int(n.sum()), np.int64)
+        tokens[np.repeat(first + bos - np.cumsum(sizes) + sizes, sizes) + np.arange(len(letters))] = letters
+        if bos:
+            tokens[first] = head[0]
+        if eos:
+            tokens[first + n - 1] = tail[0]
+        place = np.arange(len(tokens)) - np.repeat(first, n)
+        number, hits, backs = np.zeros(len(tokens), np.int64), [], []
+        for k, (names, logprob, backoff) in enumerate(self.tables):
+            number[k:] += tokens[: len(tokens) - k] << (self.bits * k)
+            at = np.minimum(np.searchsorted(names, number), max(len(names) - 1, 0))
+            known = (names[at] == number) & (place >= k) if len(names) else np.zeros(len(tokens), bool)
+            hits.append(np.where(known, logprob[at] if len(names) else 0.0, np.nan))
+            backs.append(np.where(known, backoff[at] if len(names) else 0.0, 0.0))
+        value, done = np.zeros(len(tokens)), np.zeros(len(tokens), bool)
+        for k in range(self.order - 1, -1, -1):
+            hit = ~done & ~np.isnan(hits[k])
+            value[hit] += hits[k][hit]
+            done |= hit
+            if k:
+                back = np.zeros(len(tokens))
+                back[1:] = backs[k - 1][:-1]
+                value += np.where(~done & (place >= k), back, 0.0)
+        value[~done] += UNKNOWN
+        return np.bincount(np.repeat(np.arange(len(texts)), n), value, len(texts))
+
+
+def score(df: DataFrame, model: DataFrame, order: int, key: list[str], text: str = "text", bos: bool = True, eos: bool = True, most: int = MAX_LOCAL) -> DataFrame:
+    """key, score: log10 probability of each text.
+
+    A model of at most `most` n-grams goes to the tasks, and texts stay where they are; beyond that, every
+    different window is scored once by joins. A null text scores 0, like a missing model.
     """
+    rows = model.filter(F.col("n") <= order).select("ngram", "logprob", F.coalesce("backoff", F.lit(0.0)).alias("backoff")).limit(most + 1).collect()
+    local = LocalModel(rows, order) if len(rows) <= most else None
+    if local is None or not local.exact:
+        return score_by_joins(df, model, order, key, text, bos, eos)
+
+    @F.pandas_udf(T.DoubleType())
+    def scored(texts: pd.Series) -> pd.Series:
+        found = local.scores([x or "" for x in texts], bos, eos)
+        return pd.Series(np.where(texts.isna(), 0.0, found))
+
+    return df.select(*key, scored(F.col(text)).alias("score"))
+
+
+def score_by_joins(df: DataFrame, model: DataFrame, order: int, key: list[str], text: str = "text", bos: bool = True, eos: bool = True) -> DataFrame:
+    """score() for a model of any size: every window is scored once, however often it occurs."""
     places = windows(df.select(*key, text), order, text, bos, eos)
     known = score_windows(places.filter("window IS NOT NULL").select("window").distinct(), model, order)
     counted = places.groupBy(*key, "window").agg(F.count(F.lit(1)).alias("__k"))

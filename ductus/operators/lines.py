@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ductus.plans.store import stored
 
-def explode_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, line_no (from 1), text: the lines of each text."""
-    lines = df.select(F.col(key), F.posexplode(F.split(F.col(text), "\n")).alias("i", "text"))
-    return lines.select(key, (F.col("i") + 1).cast("long").alias("line_no"), "text")
+
+def explode_lines(df: DataFrame, key: str = "doc_id", text: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """key, line_no (from 1), text, and more columns: the lines of each text."""
+    lines = df.select(F.col(key), *more, F.posexplode(F.split(F.col(text), "\n")).alias("i", "__line"))
+    return lines.select(key, (F.col("i") + 1).cast("long").alias("line_no"), F.col("__line").alias("text"), *more)
 
 
 def join_lines(df: DataFrame, key: str, separator: str = " ", text: str = "text", order: str = "line_no") -> DataFrame:
@@ -41,21 +43,18 @@ def contiguous_split(df: DataFrame, order: list[str], validation: float = 0.1, t
 
 
 def numbered(df: DataFrame, order: list[str], name: str, ranges: int = 64) -> DataFrame:
-    """Adds the place (from 0) of each row in the order, over all rows.
+    """Adds the place (from 0) of each row in the order, over all rows; nulls come first.
 
-    Rows are cut into ranges of the first column at its approximate quantiles; places are the counts of the
-    ranges before plus the row number inside one.
+    Rows are dealt into ranges of the whole order, of any types, and stored; places are the counts of the ranges
+    before plus the row number inside one. Rows equal in the whole order are one range's: give a unique order.
     """
-    first = order[0]
-    cuts = sorted(set(df.select(F.percentile_approx(F.col(first), [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []))
-    bucket = F.lit(0)
-    for c in cuts:
-        bucket = bucket + (F.col(first) > c).cast("int")
-    rows = df.withColumn("__range", F.coalesce(bucket, F.lit(-1)))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
-    inside = Window.partitionBy("__range").orderBy(*order)
-    return rows.withColumn("__i", F.row_number().over(inside) - 1).join(F.broadcast(firsts), "__range").withColumn(name, F.col("__first") + F.col("__i")).drop("__range", "__i", "__first")
+    dealt = df.repartitionByRange(ranges, *[F.col(c).asc_nulls_first() for c in order]).sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order])
+    # Places in a sorted range: the id's lower bits; its upper ones are the range.
+    rows = stored(dealt.withColumn("__id", F.monotonically_increasing_id()))
+    split = rows.withColumn("__range", F.shiftright("__id", 33)).withColumn("__i", F.col("__id").bitwiseAND((1 << 33) - 1))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    firsts = split.groupBy("__range").agg(F.count(F.lit(1)).alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    return split.join(F.broadcast(firsts), "__range").withColumn(name, F.col("__first") + F.col("__i")).drop("__id", "__range", "__i", "__first")
 
 
 def length_buckets(df: DataFrame, shortest: int, longest: int, text: str = "text") -> DataFrame:

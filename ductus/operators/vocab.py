@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import string
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ductus.functions import script
 
@@ -49,12 +52,20 @@ def _indexed(values: dict[int, object], default: object):
 def encode(text: Column, ids: dict[str, int], frame: bool = True, longest: int = LONGEST) -> Column:
     """Ids of the characters, unknown ones 3. frame: <sos>, the first longest - 2 characters, <eos> (training);
     else all characters and nothing around them (inference)."""
-    by_code = _indexed({ord(c): i for c, i in ids.items() if len(c) == 1}, UNK)
-    look = lambda c: by_code(F.ascii(c))  # noqa: E731  the code point
-    c = script.chars(text)
-    if frame:
-        return F.concat(F.array(F.lit(SOS)), F.transform(F.slice(c, 1, longest - 2), look), F.array(F.lit(EOS)))
-    return F.transform(c, look)
+    codes = {ord(c): i for c, i in ids.items() if len(c) == 1}
+    table = np.full(max(codes, default=0) + 2, UNK, np.int32)  # by code point; the last one is for all beyond
+    table[list(codes)] = list(codes.values())
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def encoded(texts: pd.Series) -> pd.Series:
+        kept = [(x or "")[: longest - 2] if frame else x or "" for x in texts]
+        found = np.frombuffer("".join(kept).encode("utf-32-le", "surrogatepass"), "<u4")
+        rows = np.split(table[np.minimum(found, len(table) - 1)], np.cumsum([len(x) for x in kept])[:-1])
+        if frame:
+            rows = [np.concatenate([[SOS], r, [EOS]]).astype(np.int32) for r in rows]
+        return pd.Series([r if x is not None else None for r, x in zip(rows, texts)], dtype=object)
+
+    return encoded(text)
 
 
 def decode(ids: Column, chars: dict[str, int]) -> Column:

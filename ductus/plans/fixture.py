@@ -16,12 +16,13 @@ ASCII = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJK0123456789"
 RULES = [("ཐྱེ་འནད་", "ཐམས་ཅད་"), ("ཐྱེ་", "ཐེན་"), ("འནད་", "ཨན་ད་"), ("ོཕ་", "ོབ་"), ("ིན་", "ིནྀ་")]
 
 
-def latin_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explode_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+def latin_lines(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return explode_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", *more), more=more)
 
 
-def script_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latin_lines(spark, sf_dir).withColumn("text", F.translate("text", LATIN, SCRIPT))
+def script_lines(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """The lines in the script; with more columns of their documents."""
+    return latin_lines(spark, sf_dir, *more).withColumn("text", F.translate("text", LATIN, SCRIPT))
 
 
 #: Common table expressions for DuckDB: `latin` and `lines` (doc_id, line_no, text).

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ductus.functions import script
 from ductus.operators import language_model, rules as rule_ops
 from ductus.operators.rerank import rerank
+from ductus.plans.store import stored
 from ductus.sources.names import MODES
 
 #: From lines (the key columns, text) to candidates (key, beam, text, score, n_tokens).
@@ -69,38 +71,61 @@ def beam_search(step: Callable[[list[int]], list[float]], width: int = 5, longes
     return [(tokens, score) for tokens, score, _ in beams]
 
 
+def check(name: str, rules, generator, model) -> None:
+    """Raises ValueError if a mode lacks what its steps need, or has an unknown name."""
+    if name not in MODES.values():
+        raise ValueError(f"unknown mode {name}")
+    needs = {"rules": ("a dictionary", rules), "neural": ("a generator", generator), "lm": ("a language model", model)}
+    missing = [what for step, (what, given) in needs.items() if step in name.split("+") and given is None]
+    if missing:
+        raise ValueError(f"mode {name} needs {' and '.join(missing)}")
+
+
 def normalise(
     lines: DataFrame,
     mode: int | str,
     key: list[str],
-    rules: list[tuple[str, str]] = (),
-    generator: Generator = unchanged,
+    rules: list[tuple[str, str]] | None = None,
+    generator: Generator | None = None,
     model: DataFrame | None = None,
     order: int = 5,
+    lm_backend: str = "auto",
 ) -> DataFrame:
     """key, text, normalised: every line in a mode (number or name). Blank lines give an empty text.
 
     Steps are those of the mode's name in their order: rules, the generator's best candidate (with a language
-    model: the best by its rank). Without a model the first candidate wins, as if there were no "lm".
+    model: the best by its rank). A mode without what it needs is an error. lm_backend "none" leaves the model
+    out, with a warning: then the first candidate wins; "auto" and "table" mean the model's table.
+
+    Rows are told apart by a number, not by their keys, so keys may be null or repeat; a line for which the
+    generator has no candidate stays as it was before that step.
     """
     name = MODES.get(mode, mode)
-    if name not in MODES.values():
-        raise ValueError(f"unknown mode {mode}")
+    if lm_backend not in ("auto", "table", "none"):
+        raise ValueError(f"unknown language-model backend {lm_backend}")
+    check(name, rules, generator, model)
     steps = name.split("+")
-    now = lines.select(*key, F.col("text"), F.col("text").alias("__now"))
-    if "neural" not in steps:
-        now = now.withColumn("__now", rule_ops.normalise(F.col("__now"), list(rules)))
-    else:
-        if steps[0] == "rules":
-            now = now.withColumn("__now", rule_ops.normalise(F.col("__now"), list(rules)))
-        nbest = generator(now.select(*key, F.col("__now").alias("text")), key)
-        if "lm" in steps and model is not None:
-            scores = language_model.score(nbest, model, order, [*key, "beam"]).withColumnRenamed("score", "lm")
-            best = rerank(nbest.join(scores, [*key, "beam"]), key)
+    ruled = lambda c: rule_ops.normalise(F.col(c), list(rules or []))
+    now = lines.select(*key, F.col("text"), (ruled("text") if steps[0] == "rules" else F.col("text")).alias("__now"))
+    if "neural" in steps:
+        now = stored(now.withColumn("__row", F.monotonically_increasing_id()))
+        row = ["__row"]
+        nbest = generator(now.filter("__now IS NOT NULL").select(*row, F.col("__now").alias("text")), row)
+        if "lm" in steps and lm_backend == "none":
+            warnings.warn(f"mode {name} without its language model", stacklevel=2)
+        if "lm" in steps and lm_backend != "none":
+            best = rerank(_with_lm(nbest, model, order), row)
         else:
-            best = rerank(nbest, key, lm=None)
-        now = now.drop("__now").join(best.select(*key, F.col("text").alias("__now")), key)
+            best = rerank(nbest, row, lm=None)
+        best = best.select("__row", F.col("text").alias("__best"))
+        now = now.join(best, "__row", "left").withColumn("__now", F.coalesce("__best", "__now"))
         if steps[-1] == "rules":
-            now = now.withColumn("__now", rule_ops.normalise(F.col("__now"), list(rules)))
+            now = now.withColumn("__now", ruled("__now"))
     blank = script.strip(F.col("text")) == ""
     return now.select(*key, "text", F.when(blank, "").otherwise(F.col("__now")).alias("normalised"))
+
+
+def _with_lm(nbest: DataFrame, model: DataFrame, order: int) -> DataFrame:
+    """Candidates with their log10 probability as `lm`."""
+    kept = nbest.withColumnRenamed("score", "__score")
+    return language_model.score(kept, model, order, kept.columns).withColumnRenamed("score", "lm").withColumnRenamed("__score", "score")

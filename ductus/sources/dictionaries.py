@@ -22,8 +22,9 @@ def rules(lines: DataFrame) -> DataFrame:
     The first line is a header if it has a tab and the word Diplomatic. Lines without two bracketed cells are skipped.
     """
     header = (F.col("line_no") == 1) & F.col("text").contains("\t") & F.col("text").contains(HEADER)
-    cells = F.split("text", "\t")
-    rows = lines.filter(~header).filter(F.col("text").contains("\t")).select("line_no", _bracketed(cells[0]).alias("abbrev"), _bracketed(cells[1]).alias("expansion"))
+    line = strip(F.col("text"))
+    cells = F.split(line, "\t")
+    rows = lines.filter(~header).filter(line.contains("\t")).select("line_no", _bracketed(cells[0]).alias("abbrev"), _bracketed(cells[1]).alias("expansion"))
     rows = rows.dropna(subset=["abbrev", "expansion"])
     found = rows.groupBy("abbrev").agg(F.max_by("expansion", "line_no").alias("expansion"), F.min("line_no").alias("first"))
     by_length = Window.orderBy(F.length("abbrev").desc(), F.col("first"))  # a dictionary is small

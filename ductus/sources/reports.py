@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -38,11 +40,43 @@ def evaluation_text(row: Row, intervals: dict[str, tuple[float, float]] | None =
 
 
 def run_text(mode: str, lines: int, seconds: float, settings: dict[str, object]) -> str:
-    """A report of a normalisation run."""
+    """A report of a run over lines."""
     speed = lines / seconds if seconds else 0.0
     return "\n".join(["INFERENCE REPORT", "=" * 60, f"Mode: {mode}", *(f"{k}: {v}" for k, v in settings.items()), f"Lines: {lines}", f"Total time: {seconds:.2f}s", f"Speed: {speed:.2f} lines/second"]) + "\n"
 
 
+def model_json(statistics: DataFrame, oov: DataFrame, model: DataFrame, seconds: float = 0.0, **about: object) -> DataFrame:
+    """One row `value`: a language model's report as JSON. statistics: lines, tokens, tokens_per_line; oov: tokens, oov, rate."""
+    sizes = model.groupBy("n").agg(F.count(F.lit(1)).alias("ngrams"))
+    grams = sizes.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("n").cast("string"), "ngrams")))).alias("ngrams"))
+    parts = [F.lit(v).alias(k) for k, v in about.items()]
+    corpus = F.struct("lines", "tokens", "tokens_per_line").alias("corpus")
+    known = oov.select(F.struct(F.col("tokens").alias("validation_tokens"), "oov", F.col("rate").alias("oov_rate")).alias("validation"))
+    return statistics.select(corpus).crossJoin(known).crossJoin(grams).select(F.to_json(F.struct(*parts, F.lit(seconds).alias("training_time_seconds"), "corpus", "validation", "ngrams")).alias("value"))
+
+
+def _titled(title: str, rows: dict[str, object]) -> str:
+    return "\n".join([title, "=" * 60, *(f"{k}: {v}" for k, v in rows.items())]) + "\n"
+
+
+def model_text(order: int, corpus: Row, oov: Row, sizes: dict[int, int], seconds: float = 0.0) -> str:
+    """A report of a language model: its corpus, its n-grams by order, unknown characters of a validation set."""
+    rows = {"Order": order, "Lines": corpus.lines, "Tokens": corpus.tokens, "Tokens per line": f"{corpus.tokens_per_line or 0:.2f}"}
+    rows |= {f"{n}-grams": k for n, k in sorted(sizes.items())}
+    return _titled("LANGUAGE MODEL REPORT", rows | {"Validation tokens": oov.tokens, "Unknown": f"{oov.oov} ({100 * (oov.rate or 0):.2f}%)", "Total time": f"{seconds:.2f}s"})
+
+
+def training_report(epochs: list[tuple[float, float]], settings: dict[str, object], seconds: float = 0.0) -> tuple[str, str]:
+    """(JSON, text) of a training run, from its (training, validation) losses by epoch."""
+    best = min(range(len(epochs)), key=lambda i: epochs[i][1], default=None)
+    found = {"settings": settings, "epochs": [{"epoch": i, "train_loss": a, "val_loss": b} for i, (a, b) in enumerate(epochs, 1)], "training_time_seconds": seconds}
+    found |= {"best_epoch": None if best is None else best + 1, "best_val_loss": None if best is None else epochs[best][1]}
+    rows = {**settings, **{f"Epoch {i}": f"train {a:.4f}, validation {b:.4f}" for i, (a, b) in enumerate(epochs, 1)}}
+    if best is not None:
+        rows["Best"] = f"epoch {best + 1}, validation {epochs[best][1]:.4f}"
+    return json.dumps(found, ensure_ascii=False), _titled("TRAINING REPORT", rows | {"Total time": f"{seconds:.2f}s"})
+
+
 def examples(df: DataFrame, n: int = 10, seed: int = 42, key: str = "line_no") -> DataFrame:
     """n rows by hashed key: a sample that a rerun repeats."""
     return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))).limit(n)

@@ -2,29 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ductus.plans.store import stored
+
+
+#: Blocks of files up to this number are broadcast (under 200 bytes each); beyond it the join is shuffled.
+MAX_BROADCAST_BLOCKS = 100_000
+
+
+@F.pandas_udf(T.StringType())
+def _lossy(lines: pd.Series) -> pd.Series:
+    """Without the bytes that aren't UTF-8."""
+    return lines.map(lambda b: bytes(b).decode("utf-8", "ignore"))
 
 
 def read_lines(spark: SparkSession, path: str, strip: bool = False, drop_blank: bool = False, lossy: bool = False) -> DataFrame:
     """file, line_no (from 1), text of every file under path; line breaks are \\n, \\r\\n or \\r.
 
-    Files are read whole, one in a task, as only so a line has a number; lossy drops bytes that aren't UTF-8.
+    Large files are read in blocks by many tasks: a first pass counts the lines of each block, and a line's number is
+    its place in the block after those of the blocks before. Bytes that aren't UTF-8 are an error; lossy drops them.
     """
-    files = spark.read.format("binaryFile").load(path)
-    if lossy:
-        decode = F.udf(lambda b: bytes(b).decode("utf-8", "ignore"), "string")
-        content = decode(F.col("content"))
-    else:
-        content = F.decode(F.col("content"), "UTF-8")
-    whole = files.select(F.col("path").alias("file"), F.regexp_replace(content, "\r\n?", "\n").alias("c"))
-    whole = whole.select("file", F.when(F.col("c").endswith("\n"), F.expr("left(c, length(c) - 1)")).otherwise(F.col("c")).alias("c"), (F.length("c") > 0).alias("any"))
-    lines = whole.filter("any").select("file", F.posexplode(F.split("c", "\n")).alias("i", "text")).select("file", (F.col("i") + 1).cast("long").alias("line_no"), "text")
+    at = lambda c: F.col(f"_metadata.{c}")
+    rows = spark.read.text(path).select(at("file_path").alias("file"), at("file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__i"), "value")
+    blocks = rows.groupBy("file", "__block").agg(F.count(F.lit(1)).alias("n"), F.min("__i").alias("__first"))
+    before = Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = stored(blocks.withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"))
+    few = blocks.limit(MAX_BROADCAST_BLOCKS + 1).count() <= MAX_BROADCAST_BLOCKS
+    text = _lossy(F.col("value").cast("binary")) if lossy else F.validate_utf8("value")
+    lines = rows.join(F.broadcast(blocks) if few else blocks, ["file", "__block"])
+    lines = lines.select("file", (F.col("__before") + F.col("__i") - F.col("__first") + 1).alias("line_no"), text.alias("text"))
     if strip:
         lines = lines.withColumn("text", F.regexp_replace("text", r"(?U)^\s+|\s+$", ""))
     return lines.filter(F.col("text").rlike(r"(?U)\S")) if drop_blank else lines
 
 
+def first_lines(lines: DataFrame, most: int | None, order: list[str] = ("file", "line_no")) -> DataFrame:
+    """The first `most` lines in their order, all without a limit."""
+    return lines if most is None else lines.orderBy(*order).limit(most)
+
+
 def scan_lines(spark: SparkSession, path: str) -> DataFrame:
     """text, without numbers: large files are split over tasks."""
     return spark.read.text(path).withColumnRenamed("value", "text")

@@ -40,7 +40,5 @@ def test_entry_imports():
 
 def test_perplexity_of_every_line(spark):
     lines = queries.script_lines(spark, SF)
-    short = lines.filter("length(text) BETWEEN 1 AND 20").count()
-    got = queries.QUERIES["perplexity_all_lines"](spark, SF)
-    assert short > 0 and got.count() == lines.count()
-    assert got.join(lines, queries.KEY).filter("length(text) BETWEEN 1 AND 20 AND log10_perplexity IS NOT NULL").count() == short
+    got = queries.QUERIES["perplexity"](spark, SF)
+    assert got.count() == lines.count() == got.filter("log10_perplexity IS NOT NULL").count()

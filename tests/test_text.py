@@ -114,11 +114,11 @@ def test_metrics_by_hand(spark):
     assert 0 <= ci["precision"].lower <= 1.0 == ci["precision"].upper and 0 <= ci["recall"].lower <= 5 / 6 <= ci["recall"].upper <= 1
 
 
-def test_edit_distance_bands(spark):
+def test_edit_distance(spark):
     rng = random.Random(2)
-    pairs = [("".join(rng.choice("abc") for _ in range(rng.randint(0, 60))), "".join(rng.choice("abc") for _ in range(rng.randint(0, 60)))) for _ in range(50)]
-    df = spark.createDataFrame(pairs, "a string, b string")
-    assert df.filter(evaluate.edit_distance(F.col("a"), F.col("b"), (2, 8)) != F.levenshtein("a", "b")).count() == 0
+    pairs = [("".join(rng.choice("abc𝔘") for _ in range(rng.randint(0, 90))), "".join(rng.choice("abc𝔘") for _ in range(rng.randint(0, 90)))) for _ in range(300)]
+    df = spark.createDataFrame([*pairs, ("", ""), ("a", None), (None, None)], "a string, b string").withColumn("d", evaluate.edit_distance("a", "b"))
+    assert df.filter(~F.col("d").eqNullSafe(F.levenshtein("a", "b"))).count() == 0
 
 
 def test_language_model(spark):
@@ -132,19 +132,39 @@ def test_language_model(spark):
     assert s[1] == pytest.approx(-1.0 - 0.1 - 0.2 - 0.7)
     assert s[2] == pytest.approx(-1.0 - 0.1 - 0.2 - 10 - 0.7)
     assert s[3] == pytest.approx(-1.0 - 0.5 - 0.7) and s[4] == 0.0
+    assert {r.k: r.score for r in language_model.score(rows, small, 2, ["k"], most=3).collect()} == pytest.approx(s)
     back = arpa.parse(arpa.render(small).orderBy("section", "ngram").selectExpr("monotonically_increasing_id() AS line_no", "text"))
     assert {tuple(r) for r in back.collect()} == {tuple(r) for r in small.collect()}
 
 
+@pytest.mark.parametrize("ends", [(True, True), (False, True), (False, False)])
+def test_scores_in_arrays_and_by_joins(spark, ends):
+    rng = random.Random(5)
+    text = lambda: "".join(rng.choice("ཀཁགང ") for _ in range(rng.randrange(14)))
+    model = language_model.estimate(spark.createDataFrame([(text(),) for _ in range(80)], "text string"), order=4, prune=(0, 0, 1))
+    rows = spark.createDataFrame([(k, text() + rng.choice(["", "ཅ", "𝔘"])) for k in range(60)] + [(99, None), (100, "")], "k int, text string")
+    a = {r.k: r.score for r in language_model.score(rows, model, 4, ["k"], bos=ends[0], eos=ends[1]).collect()}
+    assert a == pytest.approx({r.k: r.score for r in language_model.score_by_joins(rows, model, 4, ["k"], bos=ends[0], eos=ends[1]).collect()})
+
+
 def test_rerank_and_modes(spark):
     nbest = spark.createDataFrame([(1, 1, "a", -1.0, 1, -9.0), (1, 2, "b", -1.5, 1, -1.0), (2, 1, "c", -1.0, 0, 0.0), (2, 2, "d", -1.0, 0, 0.0)], "k int, beam int, text string, score double, n_tokens int, lm double")
     assert {r.k: r.text for r in rerank.rerank(nbest, ["k"]).collect()} == {1: "b", 2: "c"}
     assert {r.k: r.text for r in rerank.rerank(nbest, ["k"], lm=None).collect()} == {1: "a", 2: "c"}
     df = spark.createDataFrame([(1, "ཀ༑"), (2, "  ")], "k int, text string")
     for mode, first in ((1, "ཀ། "), (2, "ཀ༑"), (4, "ཀ། "), ("rules+neural", "ཀ། ")):
-        assert {r.k: r.normalised for r in modes.normalise(df, mode, ["k"]).collect()} == {1: first, 2: ""}
-    with pytest.raises(ValueError):
-        modes.normalise(df, 7, ["k"])
+        lm = spark.createDataFrame([(1, "ཀ", -0.3, 0.0)], "n int, ngram string, logprob double, backoff double") if mode == 4 else None
+        assert {r.k: r.normalised for r in modes.normalise(df, mode, ["k"], [], modes.unchanged, lm).collect()} == {1: first, 2: ""}
+    for mode, given in ((7, {}), (1, {}), (2, {"rules": []}), (3, {"generator": modes.unchanged}), (5, {"rules": [], "model": df}), (1, {"rules": [], "lm_backend": "x"})):
+        with pytest.raises(ValueError):
+            modes.normalise(df, mode, ["k"], **given)
+    with pytest.warns(UserWarning):
+        assert modes.normalise(df, 3, ["k"], generator=modes.unchanged, model=df, lm_backend="none").count() == 2
+    # Null and repeated keys, null texts, and a line without a candidate.
+    odd = spark.createDataFrame([(1, "w"), (None, "x"), (2, "y"), (2, "z"), (3, None), (4, "none")], "k int, text string")
+    some = lambda lines, key: modes.unchanged(lines.filter("text <> 'none'"), key).withColumn("text", F.upper("text"))
+    got = sorted(((r.k, r.text, r.normalised) for r in modes.normalise(odd, 2, ["k"], generator=some).collect()), key=str)
+    assert got == sorted([(1, "w", "W"), (None, "x", "X"), (2, "y", "Y"), (2, "z", "Z"), (3, None, None), (4, "none", "none")], key=str)
     best = modes.beam_search(lambda t: [-5, -5, -0.7 if len(t) > 2 else -3, 0.0, -0.7], width=2, longest=4)
     assert best[0][0][0] == 1 and all(3 not in t for t, _ in best) and best == sorted(best, key=lambda b: -b[1])
 
@@ -163,6 +183,9 @@ def test_lines(spark):
     parts = {r.part: r.n for r in lines.contiguous_split(df, ["i"]).groupBy("part").agg(F.count("*").alias("n")).collect()}
     assert parts == {"train": 79, "val": 9, "test": 9}
     assert {r.i: r.p for r in lines.numbered(df, ["i"], "p", 5).collect()} == {i: i for i in range(97)}
+    odd = spark.createDataFrame([(None, 1), ("b", None), ("a", 2), ("a", 1), ("b", 0), (None, None)], "s string, k int")
+    places = {(r.s, r.k): r.p for r in lines.numbered(odd, ["s", "k"], "p", 3).collect()}
+    assert places == {(None, None): 0, (None, 1): 1, ("a", 1): 2, ("a", 2): 3, ("b", None): 4, ("b", 0): 5}
     with pytest.raises(ValueError):
         lines.align(df, df.limit(3), "i")
 
