@@ -23,6 +23,11 @@ takes; the parts' sums, 2 MAX_HOT rows at most, are added up on the driver. Size
 below, so nothing but LIMIT has to be chosen: bucket entries / 4, or a MAX_HOT-th of all tokens in a corpus for which
 that is more.
 
+Sizes. There is a row for each chunk and bucket that have n-grams in common. Chunks and buckets grow with the square
+root of the corpus, so a row keeps some 1,800 n-grams up to 3e9 tokens (11 GB of the check's tables); from there on
+rows get smaller, 650 n-grams at 30 GB, and a task with more memory should be given larger ones (`chunk_tokens`,
+`bucket_tokens`): with 60e6 tokens each, rows have as many at 1e12 tokens.
+
 Defined cases: a null text is an empty one, whose only token is the end; a row with a null id is training data;
 repeated rows are counted and scored one by one; without training rows every probability is one (score 0); an
 empty table gives an empty table; other columns of the input are not looked at. A document is one chunk at least,
@@ -43,16 +48,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ductus.llm.common import discard, release, stored, text_or_empty
+from ductus.llm.common import dealt_evenly, discard, release, stored, text_or_empty
 
 K = 5
 LARGE = 0.999
-#: Tokens of a chunk.
-CHUNK_TOKENS = 600_000
-#: Tokens of the corpus for each bucket of an n-gram table.
-BUCKET_TOKENS = 1_000_000
+#: Tokens of a chunk, and of the corpus for each bucket of an n-gram table, at least and at most: some 100 bytes each.
+CHUNK_TOKENS, BUCKET_TOKENS = (600_000, 2_400_000), (1_000_000, 2_400_000)
+#: Between these, both grow with the square root of the corpus, so that a chunk has so many n-grams for a bucket.
+BLOB_TOKENS = 2_000
 #: Tokens of the corpus for each task: some chunks, some buckets.
-TASK_TOKENS = 4_000_000
+TASK_TOKENS = 4_800_000
 MAX_HOT = 100_000
 
 hash64 = xxhash.xxh3_64_intdigest
@@ -470,7 +475,7 @@ def _scored(model: Model, order: int):
 
 
 def _exchange(asked: DataFrame, tasks: int, answer) -> DataFrame:
-    out = stored(asked.repartition(tasks, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(answer, ANSWERED).coalesce(tasks))
+    out = stored(dealt_evenly(asked, "bucket", tasks).sortWithinPartitions("bucket", "chunk").mapInArrow(answer, ANSWERED).coalesce(tasks))
     del asked
     release(out.sparkSession)
     return out
@@ -494,12 +499,16 @@ def _hot(answers: DataFrame, order: int) -> Hot:
     return Hot([x[by_name] for x in contexts], names[by_name], np.array(list(total.values())).reshape(-1, K + 2)[by_name])
 
 
-def score_corpus(df: DataFrame, held_out: Column, order: int = 3, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = CHUNK_TOKENS, bucket_tokens: int = BUCKET_TOKENS, limit: int | None = None) -> DataFrame:
+def score_corpus(df: DataFrame, held_out: Column, order: int = 3, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int | None = None, bucket_tokens: int | None = None, limit: int | None = None) -> DataFrame:
     """Learns from the rows where held_out isn't true and scores all.
 
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams), score (Katz, log10).
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
+    about = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6  # tokens
+    grown = int((BLOB_TOKENS * about) ** 0.5)
+    chunk_tokens = chunk_tokens or min(max(grown, CHUNK_TOKENS[0]), CHUNK_TOKENS[1])
+    bucket_tokens = bucket_tokens or min(max(grown, BUCKET_TOKENS[0]), BUCKET_TOKENS[1])
     chunks = stored(rows.mapInArrow(_chunks(chunk_tokens), "chunk long, data binary, tokens long"))
     size = chunks.agg(F.sum("tokens")).first()[0] or 0
     buckets = max(4, -(-size // bucket_tokens))
