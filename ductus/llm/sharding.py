@@ -22,7 +22,7 @@ from ductus.llm.common import hash_unit, stored, text_or_empty
 
 HASH_BITS = 60
 #: Rows that are sorted together, and the most buckets, whose counts are summed up in one task.
-ROWS, MAX_BUCKETS = 2_000, 200_000
+ROWS, MAX_BUCKETS = 500, 200_000
 
 
 def _ranked(rows: DataFrame, group: list[str], bucket: Column, order: list[str], rank: str) -> DataFrame:
