@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ductus.llm import html_text, katz, media, mixing, packing, quality, sharding, simhash, toxicity
-from ductus.llm.common import stored
+from ductus.llm.common import dealt_evenly, stored
 from ductus.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -135,6 +135,41 @@ def test_streams_round_trip():
     assert media.section_crc(b"123456789") == 0x0376E6E7
 
 
+def plain_packets(data):
+    """(pid, starts a unit, counter, payload) of every packet, read by the standard's layout alone."""
+    for at in range(0, len(data), 188):
+        packet = data[at : at + 188]
+        assert len(packet) == 188 and packet[0] == 0x47
+        pid, control = (packet[1] & 0x1F) * 256 + packet[2], packet[3] >> 4 & 3
+        low = 4 + (1 + packet[4] if control & 2 else 0)
+        assert low <= 188
+        yield pid, bool(packet[1] & 0x40), packet[3] & 15, packet[low:] if control & 1 else b""
+
+
+def test_streams_by_an_independent_reader():
+    rng = random.Random(4)
+    for n in (192, 1536, 1537, 70_000):
+        data = rng.randbytes(n)
+        tables, units, counters = {}, [], defaultdict(list)
+        for pid, start, counter, payload in plain_packets(media.mux(data)):
+            counters[pid].append(counter)
+            if pid in (0, 0x1000):
+                tables[pid] = payload[1 + payload[0] :]
+            elif start:
+                units.append(payload)
+            else:
+                units[-1] += payload
+        assert all(c == [k % 16 for k in range(len(c))] for c in counters.values())
+        assert int.from_bytes(tables[0][10:12], "big") & 0x1FFF == 0x1000 and int.from_bytes(tables[0x1000][13:15], "big") & 0x1FFF in counters
+        out, times = b"", []
+        for u in units:
+            assert u[:3] == b"\0\0\1" and int.from_bytes(u[4:6], "big") == len(u) - 6
+            t = int.from_bytes(u[9:14], "big")
+            times.append((t >> 33 & 7) << 30 | (t >> 17 & 0x7FFF) << 15 | t >> 1 & 0x7FFF)
+            out += u[9 + u[8] :]
+        assert out == data and times == [k * 1536 * 90_000 // 8000 for k in range(len(units))]
+
+
 def test_streams_of_documents(spark):
     texts = {r.doc_id: (r.text or "").encode() for r in documents(spark).collect()}
     for r in media.op8_transport_streams(spark, SF).collect():
@@ -253,6 +288,29 @@ def test_shards(spark):
     assert all((r.size, r.text_crc32) == (len(texts[r.doc_id]) + 8, zlib.crc32(texts[r.doc_id])) for r in rows)
 
 
+def test_shards_against_a_plain_order(spark, odd):
+    """Ranks in the shuffled sources, fractions of them, one sort, and cuts, all in plain Python."""
+    for df, n_shards in ((documents(spark), 7), (odd.filter("doc_id IS NULL OR doc_id != 2").dropDuplicates(["doc_id", "text"]), 3)):
+        sources = defaultdict(list)
+        for r in df.collect():
+            text = (r.text or "").encode()
+            crc = zlib.crc32(text)
+            h = int(hashlib.md5(f"42:{'~' if r.doc_id is None else r.doc_id}:{crc}".encode()).hexdigest()[:15], 16)
+            sources["~" if r.source is None else f"={r.source}"].append((h, r.doc_id, crc))
+        order = []
+        for s, rows in sources.items():
+            order += [((2 * k + 1) / (2 * len(rows)), s, k, x) for k, x in enumerate(sorted(rows, key=lambda x: (x[0], x[1] is not None, x[1] or 0)))]
+        order.sort(key=lambda x: x[:3])
+        q, more = divmod(len(order), n_shards)
+        ends = [0]
+        for k in range(n_shards):
+            ends.append(ends[-1] + q + (k < more))
+        want = {(x[1], x[2]): (k, at - ends[k]) for k in range(n_shards) for at, (*_, x) in enumerate(order) if ends[k] <= at < ends[k + 1]}
+        for rows_per_bucket in (None, 5):
+            got = {(r.doc_id, r.text_crc32): (r.shard, r.slot) for r in sharding.shards(df, n_shards, rows_per_bucket=rows_per_bucket).collect()}
+            assert got == want
+
+
 def test_mix_is_nested_and_near_its_targets(spark):
     df = documents(spark)
     taken = {}
@@ -417,6 +475,13 @@ def test_katz(spark, settings):
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score, rel=1e-9)
 
 
+def test_numbers_are_dealt_evenly(spark):
+    for n in (1, 7, 34):
+        rows = dealt_evenly(spark.range(5 * n).withColumnRenamed("id", "b"), "b", n).select("b", F.spark_partition_id().alias("p")).collect()
+        assert Counter(r.p for r in rows) == Counter({p: 5 for p in range(n)})
+        assert len({(r.b % n, r.p) for r in rows}) == n
+
+
 def test_katz_in_many_chunks():
     """Chunks of some documents each, as tasks make them, and words beyond every table's first bucket."""
     c = katz.Chunk([1, None], np.array([True, False]), np.array([2, 3]), np.array([0, 7, 1 << 40]), np.array([2, 5, 1]), np.array([1, 2, 1, 1, 2]))
