@@ -11,8 +11,9 @@ from ductus.operators import augment, clean, evaluate, language_model, lines as
 from ductus.plans import fixture
 from ductus.plans.fixture import RULES, SQL, latin_lines, script_lines
 from ductus.plans.modes import normalise
-from ductus.sources import arpa, dictionaries
+from ductus.sources import arpa, dictionaries, reports
 from ductus.sources.names import MODES
+from ductus.sources.text import first_lines
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -271,16 +272,27 @@ _ITERATION = {"cer": "character_error_rate", "precision": "precision", "recall":
 _WEIGHT = " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in evaluate.POISSON.tolist())
 
 
-@query(f"""WITH {SQL}, {_PAIRS}, {_STATS}, dr AS (SELECT st.*, i, {duck_draws(42, DUCK_PLACE, 'i')} AS u FROM st, range(0, 1000) r(i)),
+_BOOTSTRAP = f"""WITH {SQL}, {_PAIRS}, {_STATS}, dr AS (SELECT st.*, i, {duck_draws(42, DUCK_PLACE, 'i')} AS u FROM st, range(0, 1000) r(i)),
 we AS (SELECT *, ({_WEIGHT})::BIGINT AS w FROM dr),
 su AS (SELECT i, sum(w) AS n, sum(cer * w) AS cer, sum(matches * w) AS matches, sum(n_hypothesis * w) AS nh, sum(n_reference * w) AS nr, sum(e_total * w) AS et, sum(e_ident * w) AS ei, sum(c_corr * w) AS cc FROM we GROUP BY i HAVING sum(w) > 0),
 pr AS (SELECT cer / n AS cer, coalesce(matches / nullif(nh, 0), 0) AS precision, coalesce(matches / nullif(nr, 0), 0) AS recall, coalesce(cc / nullif(et, 0), 0) AS cr, coalesce(cc / nullif(ei, 0), 0) AS cp FROM su),
-va AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM pr)
-{" UNION ALL ".join(f"SELECT '{m}' AS metric, round(quantile_cont({c}, 0.025), 9) AS lower, round(quantile_cont({c}, 0.975), 9) AS upper FROM va" for c, m in _ITERATION.items())}""")
-def bootstrap_ci(spark, d):
+va AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM pr),
+ci AS ({" UNION ALL ".join(f"SELECT '{m}' AS metric, round(quantile_cont({c}, 0.025), 9) AS lower, round(quantile_cont({c}, 0.975), 9) AS upper FROM va" for c, m in _ITERATION.items())})"""
+
+
+def _intervals(spark, d):
     stats = evaluate.line_statistics(_pairs(spark, d)).select(PLACE().alias("place"), *evaluate.STATISTICS)
-    out = evaluate.bootstrap_intervals(stats, "place")
-    return out.select("metric", F.round("lower", 9).alias("lower"), F.round("upper", 9).alias("upper"))
+    return evaluate.bootstrap_intervals(stats, "place").select("metric", F.round("lower", 9).alias("lower"), F.round("upper", 9).alias("upper"))
+
+
+@query(f"{_BOOTSTRAP} SELECT * FROM ci")
+def bootstrap_ci(spark, d):
+    return _intervals(spark, d)
+
+
+@query(f"{_BOOTSTRAP} SELECT metric, round((upper - lower) * 50, 6) AS half_width FROM ci")
+def half_widths(spark, d):
+    return evaluate.half_widths(_intervals(spark, d)).withColumn("half_width", F.round("half_width", 6))
 
 
 # Language models.
@@ -372,12 +384,11 @@ def oov_rate(spark, d):
     return language_model.oov_rate(rows, known).withColumn("rate", F.round("rate", 9))
 
 
-_ARPA_TEXT = ["\\data\\", "ngram 1=3", "ngram 2=2", "", "\\1-grams:", "-1.5\t<s>\t-0.25", "-0.75\tཀ\t-0.5", "-1.0\t</s>", "broken", "", "\\2-grams:", "-0.125\t<s> ཀ", "-0.5\tཀ </s>", "", "\\end\\"]
-
-
-@query("SELECT * FROM (VALUES (1, '<s>', -1.5::DOUBLE, -0.25::DOUBLE), (1, 'ཀ', -0.75, -0.5), (1, '</s>', -1.0, 0.0), (2, '<s> ཀ', -0.125, 0.0), (2, 'ཀ </s>', -0.5, 0.0)) v(n, ngram, logprob, backoff)")
+@query(f"WITH {_LM} SELECT n, CASE WHEN g = '<unk>' THEN g ELSE {_SHOWN} END AS ngram, printf('%.7f', lp)::DOUBLE AS logprob, CASE WHEN n < {_ORDER} THEN printf('%.7f', bo)::DOUBLE ELSE 0.0 END AS backoff FROM lm")
 def arpa_parse(spark, d):
-    return arpa.parse(spark.createDataFrame(list(enumerate(_ARPA_TEXT, 1)), "line_no long, text string"))
+    """The model of the lines written as a numbered ARPA file and read again."""
+    lines = line_ops.numbered(arpa.render(_model(spark, d)), ["section", "ngram"], "line_no")
+    return arpa.parse(lines.select("line_no", "text"))
 
 
 @query(f"""WITH {SQL}, nb AS (SELECT doc_id, line_no, beam, CASE beam WHEN 1 THEN text WHEN 2 THEN replace(text, '་', '') ELSE text || '།' END AS text, length(text) AS l FROM lines, range(1, 4) b(beam)),
@@ -432,6 +443,54 @@ for _n, _name in MODES.items():
     _mode(_n, _name)
 
 
+#: White space as Python's split sees it, for DuckDB's regular expressions.
+_WHITE = "\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}"
+_PUNCT = "\\x{0F04}-\\x{0F0A}\\x{0F0D}-\\x{0F1F}\\x{0F34}\\x{0F36}\\x{0F38}\\x{0F3A}-\\x{0F3F}"
+
+
+def _sql_spacing(source: str, out: str) -> str:
+    """CTEs from source to out (doc_id, line_no, text): spaces between marks are \x01 until what is before them is known."""
+    o = "PARTITION BY doc_id, line_no ORDER BY i ROWS BETWEEN"
+    return f"""{out}c AS (SELECT doc_id, line_no, unnest(list_zip({_CHARS('text')}, range(0, length(text)))) AS x FROM {source}), {out}i AS (SELECT doc_id, line_no, x[1] AS c, x[2] AS i FROM {out}c),
+{out}n AS (SELECT *, last_value(nullif(c, ' ') IGNORE NULLS) OVER ({o} UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, first_value(nullif(c, ' ') IGNORE NULLS) OVER ({o} 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM {out}i),
+{out}l AS (SELECT doc_id, line_no, list(CASE WHEN c = ' ' AND regexp_matches(before, '[{_PUNCT}]') AND regexp_matches(next, '[{_PUNCT}]') THEN chr(1) ELSE c END ORDER BY i) AS l FROM {out}n GROUP BY doc_id, line_no),
+{out}r AS (SELECT doc_id, line_no, list_reduce(l, lambda t, x: CASE WHEN x <> chr(1) THEN t || x WHEN right(t, 2) = '།།' THEN t || ' ' ELSE t END) AS t FROM {out}l),
+{out} AS (SELECT s.doc_id, s.line_no, coalesce(t, '') AS text FROM {source} s LEFT JOIN {out}r r ON s.doc_id = r.doc_id AND s.line_no = r.line_no)"""
+
+
+# Rows of files and reports.
+@query(f"""WITH {SQL}, w AS (SELECT doc_id, translate(text, '{fixture.LATIN}', '{fixture.SCRIPT}') AS text FROM documents) SELECT doc_id, {_sql_punctuation('text', script.FILE_SHADS)} AS text FROM w""")
+def punct_whole_file(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.translate("text", fixture.LATIN, fixture.SCRIPT).alias("text"))
+    return docs.select("doc_id", script.fix_whole_punctuation(T()).alias("text"))
+
+
+@query(f"WITH {SQL} SELECT doc_id, line_no, text FROM lines ORDER BY doc_id, line_no LIMIT 150")
+def max_samples(spark, d):
+    return first_lines(script_lines(spark, d), 150, KEY)
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id::VARCHAR) LIMIT 10")
+def example_rows(spark, d):
+    return reports.examples(spark.read.parquet(f"{d}/documents.parquet").select("doc_id"), key="doc_id")
+
+
+@query(f"WITH {SQL} SELECT s.doc_id, s.line_no, s.text AS text, l.text AS target FROM lines s JOIN latin l ON s.doc_id = l.doc_id AND s.line_no = l.line_no")
+def aligned_lines(spark, d):
+    return line_ops.align(script_lines(spark, d), latin_lines(spark, d).withColumnRenamed("text", "target"), KEY)
+
+
+@query(f"WITH {SQL} SELECT doc_id, line_no, text FROM latin WHERE regexp_matches(text, '[^{_WHITE}]')")
+def nonblank_lines(spark, d):
+    return latin_lines(spark, d).filter(script.strip(T()) != "")
+
+
+@query(f"""WITH {SQL}, c AS (SELECT doc_id, line_no, regexp_replace({_sql_keep(_sql_strip("text"))}, '།།([^ །])', '།། \\1', 'g') AS text FROM lines), {_sql_spacing('c', 'done')}
+SELECT doc_id, line_no, {_sql_strip('text')} AS text FROM done WHERE {_sql_strip('text')} <> ''""")
+def clean_lines(spark, d):
+    return clean.clean_lines(script_lines(spark, d))
+
+
 # Augmentation.
 _U = duck_draws(42, DUCK_PLACE, "i - 1")
 
@@ -450,10 +509,6 @@ def noise_batch(spark, d):
     return augment.noise_copies(script_lines(spark, d), PLACE(), copies=2, ratio=2.0).select(*KEY, "copy", "text")
 
 
-#: White space as Python's split sees it, for DuckDB's regular expressions.
-_WHITE = "\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}"
-
-
 def _sql_swap(source: str, units: str, joined: str) -> str:
     """A swap starts at a drawn place with an even number of drawn places right before it, since a pair takes two."""
     return f"""WITH {SQL}, un AS (SELECT doc_id, line_no, text, {units} AS un FROM {source}),
@@ -555,19 +610,6 @@ def dict_inject(spark, d):
 
 
 # Reflow and tokenisation.
-_PUNCT = "\\x{0F04}-\\x{0F0A}\\x{0F0D}-\\x{0F1F}\\x{0F34}\\x{0F36}\\x{0F38}\\x{0F3A}-\\x{0F3F}"
-
-
-def _sql_spacing(source: str, out: str) -> str:
-    """CTEs from source to out (doc_id, line_no, text): spaces between marks are \x01 until what is before them is known."""
-    o = "PARTITION BY doc_id, line_no ORDER BY i ROWS BETWEEN"
-    return f"""{out}c AS (SELECT doc_id, line_no, unnest(list_zip({_CHARS('text')}, range(0, length(text)))) AS x FROM {source}), {out}i AS (SELECT doc_id, line_no, x[1] AS c, x[2] AS i FROM {out}c),
-{out}n AS (SELECT *, last_value(nullif(c, ' ') IGNORE NULLS) OVER ({o} UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, first_value(nullif(c, ' ') IGNORE NULLS) OVER ({o} 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM {out}i),
-{out}l AS (SELECT doc_id, line_no, list(CASE WHEN c = ' ' AND regexp_matches(before, '[{_PUNCT}]') AND regexp_matches(next, '[{_PUNCT}]') THEN chr(1) ELSE c END ORDER BY i) AS l FROM {out}n GROUP BY doc_id, line_no),
-{out}r AS (SELECT doc_id, line_no, list_reduce(l, lambda t, x: CASE WHEN x <> chr(1) THEN t || x WHEN right(t, 2) = '།།' THEN t || ' ' ELSE t END) AS t FROM {out}l),
-{out} AS (SELECT s.doc_id, s.line_no, coalesce(t, '') AS text FROM {source} s LEFT JOIN {out}r r ON s.doc_id = r.doc_id AND s.line_no = r.line_no)"""
-
-
 @query(f"WITH {SQL}, {_sql_spacing('lines', 'done')} SELECT doc_id, line_no, text FROM done")
 def clean_spacing(spark, d):
     return script_lines(spark, d).select(*KEY, folds.spaced_punctuation(T()).alias("text"))
@@ -629,9 +671,15 @@ def reflow_segmented(spark, d):
     return clean.reflow(rows, "doc_id", segmented=True)
 
 
-@query()
+_WORDS = ["ཐྱེ་འནད", "ོཕ་ཐྱེ"]
+#: A listed word of two syllables with up to five tshegs, or a syllable.
+_TOKEN = f"(?:{'|'.join(_WORDS)})་{{1,5}}|(?:{'|'.join(_WORDS)})$|[^་]*་|[^་]+$"
+_TOKENS = f"array_to_string(list_transform(regexp_extract_all(replace(text, '།', ' ། '), '[^{_WHITE}]+'), lambda r: array_to_string(regexp_extract_all(r, '{_TOKEN}'), ' ')), ' ')"
+
+
+@query(f"WITH {SQL}, t AS (SELECT doc_id, line_no, CASE WHEN regexp_matches(text, '[^{_WHITE}]') THEN {_TOKENS} ELSE text END AS text FROM lines) SELECT doc_id, line_no, {_sql_marks('text')} AS tokenised, NULL::VARCHAR AS error FROM t")
 def word_tokenise(spark, d):
-    return tokenise.tokenise(script_lines(spark, d), tokenise.LongestMatch(["ཐྱེ་འནད", "ོཕ་ཐྱེ"])).select(*KEY, "tokenised", "error")
+    return tokenise.tokenise(script_lines(spark, d), tokenise.LongestMatch(_WORDS)).select(*KEY, "tokenised", "error")
 
 
 def _sql_postprocess() -> str:
