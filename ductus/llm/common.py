@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
 import uuid
 from collections.abc import Iterator
@@ -14,29 +13,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ductus.plans.store import folder
+
 #: White space of every contract: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\f\r"
 #: A word, for Spark's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
-_local_folder: str | None = None
 _scopes: list[list[DataFrame]] = []
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: `spark.checkpoint.dir`, or a temporary one in local mode only."""
-    global _local_folder
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if _local_folder is None:
-        _local_folder = tempfile.mkdtemp(prefix="ductus-")
-    return f"file://{_local_folder}"
-
-
 def stored(df: DataFrame, *sort: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again.
 
@@ -44,7 +31,7 @@ def stored(df: DataFrame, *sort: str) -> DataFrame:
     goes when it is discarded, at the latest when the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/ductus-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/ductus-{uuid.uuid4().hex}"
     (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)

@@ -56,6 +56,39 @@ def test_odd_and_empty_tables(spark, odd, name, tmp_path):
             assert len({(r.doc_id, r.piece, r.sequence_id, r.offset) for r in rows}) == len(rows) >= n
 
 
+def test_defined_results_of_odd_rows(spark, odd, tmp_path):
+    """What the docstrings say of null, empty, long and repeated rows."""
+    at = str(tmp_path)
+    odd.write.parquet(f"{at}/documents.parquet")
+    labels = [(4, 1, 1), (7, 0, 0), (None, None, 1), (6, None, None), (4, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    texts = {r.doc_id: r.text for r in odd.collect()}
+    rows = lambda name: QUERIES[name](spark, at).collect()
+    by_id = lambda name: {r.doc_id: r for r in rows(name)}
+
+    found = by_id("op2_simhash_anchors")
+    assert all(found[i].fingerprint == "0" * 16 and found[i].component_id == 1 for i in (1, 2, 3))
+    assert found[4].fingerprint == found[5].fingerprint and found[5].component_id == 4
+    found = by_id("op3_host_quality")
+    assert all((found[i].n_words, found[i].base_failed, found[i].kept) == (0, True, False) for i in (1, 2, 3))
+    assert found[6].n_words == 30_000 and found[6].base_failed and found[6].n_repeat_words == 30_000  # a cycle of words
+    found = by_id("op4_katz_backoff")
+    assert all(found[i].n_tokens == 1 and found[i].n_known == 1 for i in (1, 2, 3)) and found[1].score == found[2].score
+    assert not found[None].held_out and found[6].n_tokens == 30_001 and all(r.score < 0 for r in found.values())
+    found = rows("op5_stratified_shards")
+    assert {(r.doc_id, r.size, r.text_crc32) for r in found if r.doc_id in (1, 2)} == {(1, 8, 0), (2, 8, 0)}
+    found = rows("op6_hash_threshold_mix")
+    assert all(r.size == 0 == r.taken for r in found if r.doc_id in (1, 2, 3)) and len({r.taken for r in found if r.doc_id == 4}) == 1
+    found = rows("op7_vector_best_fit")
+    assert Counter(r.doc_id for r in found if r.length == 1) == Counter({1: 1, 2: 2, 3: 1, None: 1})
+    found = by_id("op8_transport_streams")
+    assert found[1].payload_sha256 == found[2].payload_sha256 == hashlib.sha256(b" " * 192).hexdigest() and found[6].n_bytes == len(texts[6])
+    found = {(r.doc_id, r.text) for r in rows("op9_line_windows")}
+    assert {(1, None), (2, ""), (3, " \n\t "), (4, texts[4]), (5, ""), (None, None)} <= found and (None, "") in found
+    found = by_id("op10_pattern_grammar")
+    assert found[1].score == found[2].score == found[3].score and all(0 <= r.score <= 1 for r in found.values())
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, name):
     import duckdb
@@ -492,6 +525,9 @@ def test_katz_in_many_chunks():
     n, first, at = katz.dense(columns)
     tuples = list(zip(*(x.tolist() for x in columns)))
     assert n == len(set(tuples)) and [tuples[k] for k in first] == sorted(set(tuples)) and all(tuples[first[k]] == t for k, t in zip(at, tuples))
+    for keys in (columns[0], columns[1] << 31, np.array([], np.int64), np.array([7])):
+        for a, b in zip(katz.ranked(keys), np.unique(keys, return_index=True, return_inverse=True)):
+            assert (a == b).all()
     for a in (np.array([], np.int64), np.array([5, 3, 1 << 50]), np.arange(9) * 1000, np.array([2**64 - 1, 3], np.uint64), np.array([0.5, -1.0])):
         assert (katz.unpack(katz.pack(a))[0] == a.view(np.int64 if a.dtype == np.uint64 else a.dtype)).all()
 
