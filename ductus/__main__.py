@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 import time
 
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 
 from ductus.functions import script
 from ductus.operators import augment, clean, evaluate, language_model, rules, tokenise, vocab
-from ductus.operators.lines import align
-from ductus.plans import network
+from ductus.operators.lines import align, contiguous_split
+from ductus.plans import network, training
 from ductus.plans.modes import NeuralGenerator, beam_search, check, normalise
+from ductus.plans.store import stored
 from ductus.sources import arpa, dictionaries, reports
 from ductus.sources.names import MODES
 from ductus.sources.text import first_lines, read_lines, write_lines
@@ -122,6 +124,26 @@ def _vocabulary(lines, a):
     return vocab.build(lines).filter("idx > 3").select(F.col("idx").alias("line_no"), F.col("ch").alias("text"))
 
 
+def _train(lines, a) -> None:
+    """Trains a network on aligned lines; the output folder gets best.npz, vocabulary.txt and two reports."""
+    spark, began = lines.sparkSession, time.time()
+    target = read_lines(spark, a.target).select("line_no", script.strip(F.col("text")).alias("target"))
+    rows = align(lines.select("line_no", script.strip(F.col("text")).alias("source")), target)
+    ids = vocab.as_map(vocab.build(rows.select(F.explode(F.array("source", "target")).alias("text"))))
+    coded = contiguous_split(rows, ["line_no"], a.validation, a.test)
+    coded = stored(coded.select("part", *[vocab.encode(F.col(c), ids).alias(c) for c in ("source", "target")]))
+    validation = coded.filter("part = 'val'")
+    settings = training.Settings(a.epochs, a.batch, a.heads, a.dropout, a.rate, a.decay, accumulate=a.accumulate, patience=a.patience, save_every=a.save)
+    weights = training.initial(len(ids), len(ids), a.width, a.layers, settings.seed)
+    part = coded.filter("part = 'train'")
+    _, history, _ = training.train_on_cluster(weights, part, part if validation.isEmpty() else validation, settings, a.tasks, a.output)
+    for name, text in zip(("report.json", "report.txt"), reports.training_report(history, {"width": a.width, "layers": a.layers, "epochs": a.epochs}, time.time() - began)):
+        with open(os.path.join(a.output, name), "w", encoding="utf-8") as f:
+            f.write(text)
+    with open(os.path.join(a.output, "vocabulary.txt"), "w", encoding="utf-8") as f:
+        f.writelines(f"{c}\n" for c, i in sorted(ids.items(), key=lambda x: x[1]) if i > vocab.UNK)
+
+
 def _interactive(spark: SparkSession, run) -> None:
     """Normalises what is typed, line by line, until an empty line or the end."""
     for line in sys.stdin:
@@ -157,6 +179,7 @@ def main(argv: list[str] | None = None) -> None:
     command("lm", _lm, order=5)
     command("score", _score, lm="")
     command("vocabulary", _vocabulary)
+    command("train", _train, target="", validation=0.15, test=0.15, epochs=50, batch=32, width=512, layers=4, heads=8, dropout=0.2, rate=0.001, decay=0.0001, accumulate=1, patience=0, save=5, tasks=8)
     a = top.parse_args(argv)
     spark = SparkSession.builder.appName("ductus").getOrCreate()
 
@@ -171,11 +194,13 @@ def main(argv: list[str] | None = None) -> None:
         if a.command == "normalise" and a.input == "-":
             _interactive(spark, one)
             return
-        out: DataFrame = a.run(read_lines(spark, a.input), a)
+        if not a.output:
+            raise ValueError("an output is needed")
+        out: DataFrame | None = a.run(read_lines(spark, a.input), a)
     except ValueError as e:
         top.error(str(e))
-    if not a.output:
-        top.error("an output is needed")
+    if out is None:
+        return
     order = [c for c in ("section", "ngram", "file", "copy", "line_no") if c in out.columns]
     write_lines(out, a.output, order or None)
 

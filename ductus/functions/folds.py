@@ -5,6 +5,8 @@ The plain functions take and give Python values; the UDFs take columns. Null in,
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -17,22 +19,21 @@ from ductus.functions.script import DELIMITERS, PUNCTUATION, SHAD, TSHEG, UTTERA
 DOUBLE = SHAD * 2
 
 
+_BETWEEN = re.compile(f"(?<=[{''.join(sorted(PUNCTUATION))}]) +(?=[{''.join(sorted(PUNCTUATION))}])")
+
+
 def space_punctuation(text: str) -> str:
     """Without the spaces between two punctuation marks, but the first one after a double shad stays."""
-    after: list[str] = [""] * (len(text) + 1)  # the next character that isn't a space
-    for i in range(len(text) - 1, -1, -1):
-        after[i] = after[i + 1] if text[i] == " " else text[i]
     out: list[str] = []
-    before = ""
-    for i, c in enumerate(text):
-        if c == " ":
-            follows = len(out) > 1 and out[-1] == out[-2] == SHAD
-            if not follows and before in PUNCTUATION and after[i + 1] in PUNCTUATION:
-                continue
-        else:
-            before = c
-        out.append(c)
-    return "".join(out)
+    start, tail = 0, ""
+    for m in _BETWEEN.finditer(text):
+        out.append(text[start : m.start()])
+        tail = (tail + out[-1])[-2:]
+        if tail == DOUBLE:
+            out.append(" ")
+            tail = f"{SHAD} "
+        start = m.end()
+    return "".join([*out, text[start:]]) if start else text
 
 
 def split_unsegmented(text: str, longest: int) -> list[str]:
@@ -220,8 +221,8 @@ def rule_noise(text: str, letters: float, syllable_share: float, seed: int, key:
     return change(text, syllable_share, seed, f"{key}:{len(steps)}")
 
 
-def _texts(f, kind=T.StringType()):
-    """An Arrow UDF of a text (and a key) from a plain function."""
+def _texts(f, kind=T.StringType(), once: bool = False):
+    """An Arrow UDF of a text (and a key) from a plain function; once: not to be copied into filters above it."""
 
     @F.pandas_udf(kind)
     def one(texts: pd.Series) -> pd.Series:
@@ -231,6 +232,8 @@ def _texts(f, kind=T.StringType()):
     def keyed(texts: pd.Series, keys: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else f(x, k) for x, k in zip(texts, keys)], dtype=object)
 
+    if once:
+        one = one.asNondeterministic()
     return lambda text, key=None: one(text) if key is None else keyed(text, key)
 
 
@@ -238,7 +241,7 @@ _LINES = T.ArrayType(T.StringType())
 
 
 def spaced_punctuation(text: Column) -> Column:
-    return _texts(space_punctuation)(text)
+    return _texts(space_punctuation, once=True)(text)
 
 
 def unsegmented_chunks(text: Column, longest: int) -> Column:

@@ -89,7 +89,8 @@ def line_statistics(df: DataFrame, reference: str = "target", hypothesis: str =
     Places are compared up to the longer text's length. Without a source there are no errors to correct.
     """
     r, h = F.col(reference).cast("string"), F.col(hypothesis).cast("string")
-    found = df.withColumn("__s", _statistics(r, h, r if source is None else F.col(source).cast("string")))
+    # Not to be copied into filters above it, which would run it twice.
+    found = df.withColumn("__s", _statistics.asNondeterministic()(r, h, r if source is None else F.col(source).cast("string")))
     empty = F.when(F.col("__s.n_hypothesis") == 0, 0.0).otherwise(1.0)
     rate = F.when(F.col("__s.n_reference") == 0, empty).otherwise(F.col("__s.distance") / F.col("__s.n_reference"))
     corrected = [F.lit(0).cast("long").alias(c) if source is None else F.col(f"__s.{c}") for c in ("e_total", "e_ident", "c_corr")]

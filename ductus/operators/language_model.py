@@ -156,11 +156,12 @@ class LocalModel:
     def __init__(self, rows: list, order: int):
         grams = [(r.ngram.split(" "), r.logprob, r.backoff) for r in rows]
         self.tokens = {t: i for i, t in enumerate(sorted({t for g, *_ in grams for t in g}), 1)}  # 0: any other
-        self.order, self.bits = order, max(1, len(self.tokens).bit_length())
+        self.order, self.bits = order, (len(self.tokens) + 1).bit_length()
         self.tables = []
         for n in range(1, order + 1):
             found = sorted((self.number(g), p, b) for g, p, b in grams if len(g) == n)
             self.tables.append(tuple(np.array([x[k] for x in found], t) for k, t in enumerate((np.int64, float, float))))
+        self.pad = len(self.tokens) + 1  # before the start of a text
         codes = {ord(t): i for t, i in self.tokens.items() if len(t) == 1 and t != " "}
         self.codes = np.zeros(max([*codes, ord("␠")]) + 1, np.int64)
         for c, i in codes.items():
@@ -192,24 +193,34 @@ class LocalModel:
         if eos:
             tokens[first + n - 1] = tail[0]
         place = np.arange(len(tokens)) - np.repeat(first, n)
-        number, hits, backs = np.zeros(len(tokens), np.int64), [], []
-        for k, (names, logprob, backoff) in enumerate(self.tables):
-            number[k:] += tokens[: len(tokens) - k] << (self.bits * k)
-            at = np.minimum(np.searchsorted(names, number), max(len(names) - 1, 0))
-            known = (names[at] == number) & (place >= k) if len(names) else np.zeros(len(tokens), bool)
-            hits.append(np.where(known, logprob[at] if len(names) else 0.0, np.nan))
-            backs.append(np.where(known, backoff[at] if len(names) else 0.0, 0.0))
-        value, done = np.zeros(len(tokens)), np.zeros(len(tokens), bool)
-        for k in range(self.order - 1, -1, -1):
-            hit = ~done & ~np.isnan(hits[k])
-            value[hit] += hits[k][hit]
-            done |= hit
-            if k:
-                back = np.zeros(len(tokens))
-                back[1:] = backs[k - 1][:-1]
-                value += np.where(~done & (place >= k), back, 0.0)
-        value[~done] += UNKNOWN
-        return np.bincount(np.repeat(np.arange(len(texts)), n), value, len(texts))
+        window = tokens.copy()  # of each place: the token and those before it
+        for k in range(1, self.order):
+            before = np.full(len(tokens), self.pad)
+            before[k:] = np.where(place[k:] >= k, tokens[:-k], self.pad)
+            window += before << (self.bits * k)
+        windows, which = np.unique(window, return_inverse=True)
+        return np.bincount(np.repeat(np.arange(len(texts)), n), self._values(windows)[which], len(texts))
+
+    def _found(self, n: int, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the table of order n, and whether they are there."""
+        names = self.tables[n - 1][0]
+        at = np.minimum(np.searchsorted(names, numbers), max(len(names) - 1, 0))
+        return at, names[at] == numbers if len(names) else np.zeros(len(numbers), bool)
+
+    def _values(self, windows: np.ndarray) -> np.ndarray:
+        """Of windows: the longest known n-gram at the end, with the back-offs of the longer ones' contexts."""
+        value, open_ = np.zeros(len(windows)), np.arange(len(windows))
+        for n in range(self.order, 0, -1):
+            at, known = self._found(n, windows[open_] & ((1 << self.bits * n) - 1))
+            if known.any():
+                value[open_[known]] += self.tables[n - 1][1][at[known]]
+            open_ = open_[~known]
+            if n > 1:  # a context that begins before the text isn't in the table
+                at, known = self._found(n - 1, windows[open_] >> self.bits & ((1 << self.bits * (n - 1)) - 1))
+                if known.any():
+                    value[open_[known]] += self.tables[n - 2][2][at[known]]
+        value[open_] += UNKNOWN
+        return value
 
 
 def score(df: DataFrame, model: DataFrame, order: int, key: list[str], text: str = "text", bos: bool = True, eos: bool = True, most: int = MAX_LOCAL) -> DataFrame:
@@ -228,7 +239,8 @@ def score(df: DataFrame, model: DataFrame, order: int, key: list[str], text: str
         found = local.scores([x or "" for x in texts], bos, eos)
         return pd.Series(np.where(texts.isna(), 0.0, found))
 
-    return df.select(*key, scored(F.col(text)).alias("score"))
+    # Not to be copied into filters above it, which would run it twice.
+    return df.select(*key, scored.asNondeterministic()(F.col(text)).alias("score"))
 
 
 def score_by_joins(df: DataFrame, model: DataFrame, order: int, key: list[str], text: str = "text", bos: bool = True, eos: bool = True) -> DataFrame:

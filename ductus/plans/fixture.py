@@ -17,7 +17,13 @@ RULES = [("ཐྱེ་འནད་", "ཐམས་ཅད་"), ("ཐྱེ་",
 
 
 def latin_lines(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    return explode_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", *more), more=more)
+    return explode_lines(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", *more)), more=more)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a few files dealt to all cores, which would wait for one task otherwise; many files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if len(df.inputFiles()) < cores else df
 
 
 def script_lines(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:

@@ -1,7 +1,7 @@
-"""A trained encoder-decoder network in numpy: what a checkpoint holds, its logits, greedy decoding, loss and progress.
+"""An encoder-decoder network in numpy: what a checkpoint holds, its logits, greedy decoding, loss and progress.
 
-Weights are arrays under the names that PyTorch's Transformer gives them, e.g. from numpy.load of an .npz file.
-Running a network needs nothing else; training one needs a deep-learning library and isn't done here.
+Weights are arrays under the names that PyTorch's Transformer gives them, e.g. from numpy.load of an .npz file. The
+layers are written over ductus.plans.gradients, so the same code runs and trains (ductus.plans.training) a network.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from ductus.operators.vocab import EOS, PAD, SOS, UNK
+from ductus.plans import gradients as g
 
 Weights = dict[str, np.ndarray]
 
@@ -44,11 +45,6 @@ def load(path: str) -> Weights:
         return {k: found[k] for k in found.files}
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
-
-
 def positions(length: int, width: int) -> np.ndarray:
     """Sines at even and cosines at odd places, of wavelengths that grow geometrically."""
     angle = np.arange(length)[:, None] * np.exp(np.arange(0, width, 2) * (-math.log(10000.0) / width))
@@ -58,56 +54,77 @@ def positions(length: int, width: int) -> np.ndarray:
 
 
 class Network:
-    """Post-norm encoder-decoder layers with multi-head attention, for one sequence at a time."""
+    """Post-norm encoder-decoder layers with multi-head attention, over sequences of ids (sequences x places).
+
+    Padding is masked where sequences attend to themselves; decoders don't look ahead. dropout: the chance that a
+    value is left out, while training only.
+    """
+
+    def __init__(self, weights: Weights, heads: int = 8, dropout: float = 0.0, seed: int = 42):
+        self.weights = {k: g.Node(v) for k, v in weights.items()}
+        self.of, self.dropout, self.random = architecture(weights, heads=heads), dropout, np.random.default_rng(seed)
 
-    def __init__(self, weights: Weights, heads: int = 8):
-        self.weights, self.of = weights, architecture(weights, heads=heads)
+    def _dropped(self, x: g.Node) -> g.Node:
+        return g.times(x, (self.random.random(x.value.shape) >= self.dropout) / (1 - self.dropout)) if self.dropout else x
 
-    def _linear(self, x: np.ndarray, name: str) -> np.ndarray:
-        return x @ self.weights[f"{name}.weight"].T + self.weights[f"{name}.bias"]
+    def _linear(self, x: g.Node, name: str) -> g.Node:
+        return g.add(g.matmul(x, g.turned(self.weights[f"{name}.weight"], (1, 0))), self.weights[f"{name}.bias"])
 
-    def _norm(self, x: np.ndarray, name: str) -> np.ndarray:
-        x = (x - x.mean(axis=-1, keepdims=True)) / np.sqrt(x.var(axis=-1, keepdims=True) + 1e-5)
-        return x * self.weights[f"{name}.weight"] + self.weights[f"{name}.bias"]
+    def _norm(self, x: g.Node, name: str) -> g.Node:
+        return g.layer_norm(x, self.weights[f"{name}.weight"], self.weights[f"{name}.bias"])
 
-    def _attend(self, x: np.ndarray, memory: np.ndarray, name: str, causal: bool = False) -> np.ndarray:
+    def _attend(self, x: g.Node, memory: g.Node, name: str, allowed: np.ndarray | None = None) -> g.Node:
         heads, width = self.of.heads, self.of.width
         w, b = self.weights[f"{name}.in_proj_weight"], self.weights[f"{name}.in_proj_bias"]
-        q, k, v = ((y @ w[i * width : (i + 1) * width].T + b[i * width : (i + 1) * width]).reshape(len(y), heads, -1).transpose(1, 0, 2) for i, y in enumerate((x, memory, memory)))
-        scores = q @ k.transpose(0, 2, 1) / math.sqrt(width // heads)
-        if causal:
-            scores = np.where(np.tri(len(x), dtype=bool), scores, -np.inf)
-        mixed = (np.exp(log_softmax(scores)) @ v).transpose(1, 0, 2).reshape(len(x), width)
-        return self._linear(mixed, f"{name}.out_proj")
-
-    def _layer(self, x: np.ndarray, name: str, memory: np.ndarray | None = None) -> np.ndarray:
-        norms = iter(range(1, 4))
-        x = self._norm(x + self._attend(x, x, f"{name}.self_attn", causal=memory is not None), f"{name}.norm{next(norms)}")
+
+        def part(y: g.Node, i: int) -> g.Node:
+            one = slice(i * width, (i + 1) * width)
+            out = g.add(g.matmul(y, g.turned(g.cut(w, one), (1, 0))), g.cut(b, one))
+            return g.turned(g.shaped(out, (*out.value.shape[:2], heads, width // heads)), (0, 2, 1, 3))
+
+        q, k, v = part(x, 0), part(memory, 1), part(memory, 2)
+        scores = g.times(g.matmul(q, g.turned(k, (0, 1, 3, 2))), 1 / math.sqrt(width // heads))
+        if allowed is not None:
+            scores = g.add(scores, g.Node(np.where(allowed, 0.0, -np.inf)))
+        mixed = g.turned(g.matmul(self._dropped(g.softmax(scores)), v), (0, 2, 1, 3))
+        return self._linear(g.shaped(mixed, x.value.shape), f"{name}.out_proj")
+
+    def _layer(self, x: g.Node, name: str, allowed: np.ndarray, memory: g.Node | None = None) -> g.Node:
+        x = self._norm(g.add(x, self._dropped(self._attend(x, x, f"{name}.self_attn", allowed))), f"{name}.norm1")
         if memory is not None:
-            x = self._norm(x + self._attend(x, memory, f"{name}.multihead_attn"), f"{name}.norm{next(norms)}")
-        hidden = np.maximum(self._linear(x, f"{name}.linear1"), 0)
-        return self._norm(x + self._linear(hidden, f"{name}.linear2"), f"{name}.norm{next(norms)}")
+            x = self._norm(g.add(x, self._dropped(self._attend(x, memory, f"{name}.multihead_attn"))), f"{name}.norm2")
+        hidden = self._dropped(g.positive(self._linear(x, f"{name}.linear1")))
+        return self._norm(g.add(x, self._dropped(self._linear(hidden, f"{name}.linear2"))), f"{name}.norm{2 if memory is None else 3}")
 
-    def _embedded(self, ids: list[int], side: str) -> np.ndarray:
-        return self.weights[f"{side}_embedding.weight"][ids] * math.sqrt(self.of.width) + positions(len(ids), self.of.width)
+    def _embedded(self, ids: np.ndarray, side: str) -> g.Node:
+        x = g.times(g.rows(self.weights[f"{side}_embedding.weight"], ids), math.sqrt(self.of.width))
+        return self._dropped(g.add(x, g.Node(positions(ids.shape[1], self.of.width))))
 
-    def encode(self, ids: list[int]) -> np.ndarray:
-        x = self._embedded(ids, "src")
+    def encoded(self, ids: np.ndarray) -> g.Node:
+        x, allowed = self._embedded(ids, "src"), (ids != PAD)[:, None, None, :]
         for i in range(self.of.layers):
-            x = self._layer(x, f"transformer.encoder.layers.{i}")
+            x = self._layer(x, f"transformer.encoder.layers.{i}", allowed)
         return self._norm(x, "transformer.encoder.norm")
 
-    def logits(self, memory: np.ndarray, ids: list[int]) -> np.ndarray:
-        """A row of logits after every prefix of ids."""
+    def decoded(self, memory: g.Node, ids: np.ndarray) -> g.Node:
         x = self._embedded(ids, "tgt")
+        allowed = np.tri(ids.shape[1], dtype=bool)[None, None] & (ids != PAD)[:, None, None, :]
         for i in range(self.of.layers):
-            x = self._layer(x, f"transformer.decoder.layers.{i}", memory)
+            x = self._layer(x, f"transformer.decoder.layers.{i}", allowed, memory)
         return self._linear(self._norm(x, "transformer.decoder.norm"), "fc_out")
 
+    def encode(self, ids: list[int]) -> g.Node:
+        """Of one sequence."""
+        return self.encoded(np.array([ids]))
+
+    def logits(self, memory: g.Node, ids: list[int]) -> np.ndarray:
+        """A row of logits after every prefix of ids."""
+        return self.decoded(memory, np.array([ids])).value[0]
+
     def step(self, source: list[int]) -> Callable[[list[int]], list[float]]:
         """Log probabilities of the next token after a prefix, for a source."""
         memory = self.encode(source)
-        return lambda prefix: log_softmax(self.logits(memory, prefix)[-1]).tolist()
+        return lambda prefix: g.log_softmax(self.logits(memory, prefix)[-1]).tolist()
 
 
 def greedy(step: Callable[[list[int]], list[float]], longest: int = 100, start: int = SOS, end: int = EOS) -> list[int]:
@@ -126,19 +143,18 @@ def shown(tokens: list[int], chars: dict[int, str]) -> str:
     return "".join(chars.get(t, "") for t in tokens if t not in (PAD, SOS, EOS, UNK))
 
 
-def smoothed_loss(logits: np.ndarray, target: np.ndarray, padding: int = PAD, smoothing: float = 0.1) -> float:
-    """Divergence of smoothed targets from the predictions, by sequence; padding counts nothing.
-
-    logits: sequences x places x vocabulary; target: sequences x places.
-    """
-    size = logits.shape[-1]
-    true = np.full(logits.shape, smoothing / (size - 2))
+def smoothed(target: np.ndarray, size: int, padding: int = PAD, smoothing: float = 0.1) -> np.ndarray:
+    """Target distributions (sequences x places x vocabulary): smoothed, nothing for padding."""
+    true = np.full((*target.shape, size), smoothing / (size - 2))
     np.put_along_axis(true, target[..., None], 1 - smoothing, axis=-1)
     true[..., padding] = 0
     true[target == padding] = 0
-    with np.errstate(divide="ignore"):
-        entropy = np.where(true > 0, true * np.log(np.where(true > 0, true, 1.0)), 0.0)
-    return float((entropy - true * log_softmax(logits)).sum() / len(logits))
+    return true
+
+
+def smoothed_loss(logits: np.ndarray, target: np.ndarray, padding: int = PAD, smoothing: float = 0.1) -> float:
+    """Divergence of smoothed targets from the predictions, by sequence; padding counts nothing."""
+    return float(g.divergence(g.Node(logits), smoothed(target, logits.shape[-1], padding, smoothing)).value)
 
 
 @dataclass
@@ -156,4 +172,5 @@ class Progress:
 
     @property
     def stop(self) -> bool:
-        return self.since >= self.patience
+        """Never with a patience of 0."""
+        return 0 < self.patience <= self.since

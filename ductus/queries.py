@@ -220,9 +220,7 @@ def join_lines(spark, d):
 
 # Evaluation: the target is the cleaned line, the source a copy with letters changed, the hypothesis rules mode on it.
 def _pairs(spark, d, *more):
-    # Edit distances take most of the time: lines are dealt evenly, as one file may hold the longest texts.
-    lines = script_lines(spark, d, *more).repartition(2 * spark.sparkContext.defaultParallelism)
-    rows = lines.select(*KEY, *more, script.keep_script(T()).alias("target"))
+    rows = script_lines(spark, d, *more).select(*KEY, *more, script.keep_script(T()).alias("target"))
     rows = rows.withColumn("source", F.when(F.col("line_no") % 2 == 0, F.translate("target", "ནས", "མཔ")).otherwise(F.replace("target", F.lit("ེ་"), F.lit("ི་"))))
     return rows.withColumn("hypothesis", rule_ops.normalise(F.col("source"), RULES))
 

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from ductus.plans import modes, network
+from ductus.plans import gradients, modes, network, training
 
 
 def weights(width=8, layers=2, sizes=(9, 7), seed=1):
@@ -48,7 +48,7 @@ def test_later_tokens_change_nothing_before_them():
     memory = net.encode([1, 4, 5, 2])
     a, b = net.logits(memory, [1, 3, 4, 5]), net.logits(memory, [1, 3, 6])
     assert np.allclose(a[:2], b[:2]) and not np.allclose(a[2], b[2])
-    assert not np.allclose(net.encode([1, 4, 5, 2])[0], net.encode([1, 4, 6, 2])[0])
+    assert not np.allclose(net.encode([1, 4, 5, 2]).value[0, 0], net.encode([1, 4, 6, 2]).value[0, 0])
     assert np.allclose(network.positions(3, 4)[2], [math.sin(2), math.cos(2), math.sin(0.02), math.cos(0.02)])
 
 
@@ -64,7 +64,8 @@ def test_one_head_by_hand():
         e = [math.exp(sum(q[i][d] * k[j][d] for d in range(4)) / 2) for j in range(2)]
         rows.append(sum(e[j] / sum(e) * v[j] for j in range(2)))
     want = np.array(rows) @ w[f"{name}.out_proj.weight"].T + w[f"{name}.out_proj.bias"]
-    assert np.allclose(net._attend(x, x, name), want)
+    node = gradients.Node(x[None])
+    assert np.allclose(net._attend(node, node, name).value[0], want)
 
 
 def test_decoding():
@@ -105,3 +106,69 @@ def test_a_network_as_generator(spark):
     got = modes.normalise(rows, 2, ["k"], generator=modes.NeuralGenerator(load)).collect()
     want = {t: found[0][0] for t, found in zip(("ab", "b"), load()(["ab", "b"]))}
     assert sorted(((r.k, r.text, r.normalised) for r in got), key=str) == sorted([(1, "ab", want["ab"]), (2, "b", want["b"]), (2, None, None), (None, " ", "")], key=str)
+
+
+def test_padding_changes_nothing():
+    net = network.Network(weights(), heads=2)
+    a = net.encoded(np.array([[1, 4, 5, 2]])).value[0]
+    b = net.encoded(np.array([[1, 4, 5, 2, 0, 0], [1, 3, 3, 3, 3, 2]])).value[0, :4]
+    assert np.allclose(a, b)
+
+
+def test_gradients_against_differences():
+    w = training.initial(7, 6, width=4, layers=1, seed=3)
+    source, target = np.array([[1, 4, 5, 2], [1, 6, 2, 0]]), np.array([[1, 4, 3, 2], [1, 5, 2, 0]])
+    value = lambda w: float(training.loss(network.Network(w, 2), source, target, 0.1).value)
+    net = network.Network(w, 2)
+    gradients.backward(training.loss(net, source, target, 0.1))
+    rng = np.random.default_rng(1)
+    for name, node in net.weights.items():
+        at = tuple(rng.integers(0, n) for n in node.value.shape)
+        more, less = ({**w, name: w[name].copy()} for _ in range(2))
+        more[name][at] += 1e-5
+        less[name][at] -= 1e-5
+        found = 0.0 if node.grad is None else node.grad[at]
+        assert found == pytest.approx((value(more) - value(less)) / 2e-5, abs=1e-6), name
+
+
+def copying(n, seed=1):
+    rng = np.random.default_rng(seed)
+    rows = [[1, *rng.integers(4, 7, rng.integers(1, 4)).tolist(), 2] for _ in range(n)]
+    return [(r, r) for r in rows]
+
+
+def test_training_learns_to_copy(tmp_path):
+    settings = training.Settings(epochs=25, batch=16, heads=2, dropout=0.0, rate=0.01, save_every=10)
+    w = training.initial(7, 7, width=16, layers=1)
+    best, history, progress = training.train_locally(w, copying(200), copying(40, 2), settings, str(tmp_path))
+    assert history[-1][0] < 0.5 * history[0][0] and progress.best == min(v for _, v in history)
+    assert {p.name for p in tmp_path.iterdir()} == {"best.npz", "epoch_10.npz", "epoch_20.npz"}
+    net = network.Network(network.load(str(tmp_path / "best.npz")), 2)
+    assert sum(network.greedy(net.step(a), longest=6)[1:] == a[1:-1] for a, _ in copying(30, 3)) >= 27
+
+
+def test_steps_of_adam_and_stopping():
+    settings = training.Settings(rate=0.1, decay=0.0, longest_gradient=1.0)
+    node = gradients.Node(np.array([1.0, 2.0]))
+    adam = training.Adam(settings, 0.1)
+    node.grad = np.array([3.0, -4.0])
+    adam.step({"x": node})
+    assert node.value == pytest.approx([0.9, 2.1]) and adam.means["x"] == pytest.approx([0.06, -0.08], rel=1e-5) and node.grad is None
+    rates = []
+
+    def epoch(w, rate, k):
+        rates.append(rate)
+        return w, [1.0]
+
+    *_, progress = training.train({}, epoch, lambda w: [1.0], training.Settings(epochs=20, rate=1.0, patience=9))
+    assert progress.stop and rates == [1.0] * 7 + [0.5] * 3
+
+
+def test_training_on_a_cluster(spark):
+    settings = training.Settings(epochs=6, batch=8, heads=2, dropout=0.1, rate=0.01)
+    rows = spark.createDataFrame(copying(160), "source array<int>, target array<int>")
+    w = training.initial(7, 7, width=8, layers=1)
+    best, history, progress = training.train_on_cluster(w, rows, spark.createDataFrame(copying(30, 2), rows.schema), settings, tasks=2)
+    assert len(history) == 6 and progress.best < history[0][1] and set(best) == set(w)
+    with pytest.raises(ValueError):
+        training.train_on_cluster(w, rows, rows, settings, tasks=1000)

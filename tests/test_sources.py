@@ -96,6 +96,17 @@ def test_more_commands(spark, tmp_path, capsys, monkeypatch):
     assert "".join(read("r")).replace(" ", "") == "ཀ་ཁ་གང་ཅཀ་ཁ"
 
 
+def test_train_and_use_a_network(spark, tmp_path):
+    from ductus.__main__ import main
+
+    at = lambda name: str(tmp_path / name)
+    (tmp_path / "s.txt").write_text("ཀ་ཁ\nཁ་ཀ\nཀ་ཀ\nཁ་ཁ\nཀ\nཁ\n" * 4)
+    main(["train", at("s.txt"), at("net"), "--target", at("s.txt"), "--epochs", "2", "--width", "8", "--layers", "1", "--heads", "2", "--tasks", "2"])
+    assert {"best.npz", "vocabulary.txt", "report.json", "report.txt"} <= {p.name for p in (tmp_path / "net").iterdir()}
+    main(["normalise", at("s.txt"), at("n"), "--mode", "neural", "--model", at("net/best.npz"), "--vocabulary", at("net/vocabulary.txt"), "--heads", "2", "--beams", "1"])
+    assert spark.read.text(at("n")).count() == 24
+
+
 def test_line_numbers_over_many_blocks(spark, tmp_path):
     lines = [f"line {i} " + "x" * (i % 90) for i in range(5000)]
     (tmp_path / "big.txt").write_bytes("\r\n".join(lines).encode())
