@@ -24,15 +24,20 @@ GAP = r"[\x20\x09-\x0D]+"
 _scopes: list[list[DataFrame]] = []
 
 
-def stored(df: DataFrame, *sort: str) -> DataFrame:
+#: Of tables whose number of rows is known, what a task writes; and the least number of tasks.
+ROWS_A_TASK, LEAST_TASKS = 100_000, 12
+
+
+def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again.
 
     It cuts the lineage: a lost executor costs the tasks that run, not the steps before. The table
-    goes when it is discarded, at the latest when the driver's JVM ends.
+    goes when it is discarded, at the latest when the driver's JVM ends. rows: about how many it has at
+    most, so that small tables aren't a file for every partition of a shuffle.
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/ductus-{uuid.uuid4().hex}"
-    (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
+    (df if rows is None else df.coalesce(max(LEAST_TASKS, -(-rows // ROWS_A_TASK)))).write.parquet(path)
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)

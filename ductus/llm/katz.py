@@ -24,9 +24,10 @@ below, so nothing but LIMIT has to be chosen: bucket entries / 4, or a MAX_HOT-t
 that is more.
 
 Sizes. There is a row for each chunk and bucket that have n-grams in common. Chunks and buckets grow with the square
-root of the corpus, so a row keeps some 1,800 n-grams up to 3e9 tokens (11 GB of the check's tables); from there on
-rows get smaller, 650 n-grams at 30 GB, and a task with more memory should be given larger ones (`chunk_tokens`,
-`bucket_tokens`): with 60e6 tokens each, rows have as many at 1e12 tokens.
+root of the corpus, so a row keeps some 1,800 n-grams up to 3e9 tokens (11 GB of the check's tables). From there on
+rows get smaller (650 n-grams at 30 GB), and tasks should be given larger chunks and buckets (`chunk_tokens`,
+`bucket_tokens`, some 100 bytes of memory a token): with 20e6 tokens each, 2 GB a task, rows have 360 n-grams at 1e12
+tokens and 14 at 100 TB.
 
 Defined cases: a null text is an empty one, whose only token is the end; a row with a null id is training data;
 repeated rows are counted and scored one by one; without training rows every probability is one (score 0); an

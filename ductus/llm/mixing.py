@@ -43,8 +43,10 @@ def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, most
 def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """The largest hash to take once more, by source (-1: none), and the whole copies of every document.
 
-    rows: __s, size, h. Ends with the set of hashes whose sum is nearest to the budget among nested sets.
+    rows: __s, size, h; both tables are stored. Ends with the set of hashes whose sum is nearest to the budget
+    among nested sets.
     """
+    n_sources, n_rows = targets.count(), rows.count() // 1000  # after a level about a 4096th of the rows
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = targets.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     state = plan.select("__s", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"), "rest").filter("rest > 0")
@@ -53,12 +55,12 @@ def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
         narrowed = inside.withColumn("prefix", F.shiftright("h", HASH_BITS - done))
         inside = narrowed.join(state, ["__s", "prefix"]).drop("prefix")
         if done:  # the first level spans all rows of a source; later ones a 4096th
-            inside = stored(inside)
+            inside = stored(inside, n_rows)
         sums = inside.groupBy("__s", F.shiftright("h", HASH_BITS - done - LEVEL_BITS).alias("prefix"), "below", "rest").agg(F.sum("size").alias("sum"))
         running = F.sum("sum").over(Window.partitionBy("__s").orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0))
         sums = sums.withColumn("upto", F.col("below") + running)
         first = F.min(F.struct("prefix", (F.col("upto") - F.col("sum")).alias("below"), "upto", "rest"))
-        state = stored(sums.filter("upto >= rest").groupBy("__s").agg(first.alias("x")).select("__s", "x.*"))
+        state = stored(sums.filter("upto >= rest").groupBy("__s").agg(first.alias("x")).select("__s", "x.*"), n_sources)
         inside = inside.drop("below", "rest")
         state, last = state.drop("upto"), state
     nearer = F.col("upto") - F.col("rest") < F.col("rest") - F.col("below")
@@ -70,7 +72,7 @@ def _plan(sized: DataFrame, weights, share: float, most: int):
     """Targets and thresholds by source of a stored table __s, source, size, h; broadcast if they are few."""
     sizes = sized.groupBy("__s").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     targets = stored(source_targets(sizes, weights, share, most))
-    found = stored(thresholds(sized.select("__s", "size", "h"), targets))
+    found = stored(thresholds(sized.select("__s", "size", "h"), targets), targets.count())
     few = found.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES
     return F.broadcast(found) if few else found
 

@@ -86,7 +86,7 @@ def failures(counts: DataFrame, min_words: int = 50) -> DataFrame:
 
 
 def host_verdicts(judged: DataFrame, max_rate: float = 0.5) -> DataFrame:
-    """One row a host: n, failed, prior a and b, shrunk rate, bad.
+    """A stored table, one row a host: n, failed, prior a and b, shrunk rate, bad.
 
     The prior is fitted by moments to the hosts' rates, weighted by their documents: with mean m and
     variance v of the rates, a + b = m(1-m)/v - 1 (kept within 1 to 10,000; without variance 10,000).
@@ -95,14 +95,15 @@ def host_verdicts(judged: DataFrame, max_rate: float = 0.5) -> DataFrame:
     hosts = judged.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("rule_failed").cast("long")).alias("failed"))
     rate = F.col("failed") / F.col("n")
     moments = hosts.agg(
+        F.count(F.lit(1)).alias("hosts"),
         (F.sum("failed") / F.sum("n")).alias("m"),
         F.round(F.sum(F.col("n") * rate * rate) / F.sum("n") - F.pow(F.sum("failed") / F.sum("n"), 2), 12).alias("v"),
     )
-    m, v = moments.first()  # two numbers; null for an empty table
+    n_hosts, m, v = moments.first()  # the last two null for an empty table
     strength = max(1.0, min(10000.0, m * (1 - m) / v - 1)) if m is not None and v > 0 else 10000.0
     a, b = (m or 0.0) * strength, (1 - (m or 0.0)) * strength
     shrunk = (F.col("failed") + a) / (F.col("n") + a + b)
-    return hosts.withColumn("rate", shrunk).withColumn("bad", shrunk > max_rate)
+    return stored(hosts.withColumn("rate", shrunk).withColumn("bad", shrunk > max_rate), n_hosts)
 
 
 def _with_verdicts(judged: DataFrame, hosts: DataFrame) -> DataFrame:
@@ -116,7 +117,7 @@ def _with_verdicts(judged: DataFrame, hosts: DataFrame) -> DataFrame:
 def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.5) -> DataFrame:
     """Counts, base_failed, rule_failed, the host's shrunk rate and verdict, and kept, a row per document."""
     judged = stored(failures(base_counts(df, id_col, text_col, host_col)))
-    return _with_verdicts(judged, stored(host_verdicts(judged, max_rate)))
+    return _with_verdicts(judged, host_verdicts(judged, max_rate))
 
 
 def op3_host_quality(spark, sf_dir: str) -> DataFrame:
@@ -131,7 +132,7 @@ def filter_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("__row"), F.col(text_col).alias("__t"), F.col(host_col).alias("__h"))
     judged = stored(failures(base_counts(rows, "__row", "__t", "__h")).select("doc_id", "host", "base_failed", "rule_failed"))
-    return _with_verdicts(judged, stored(host_verdicts(judged, max_rate))).filter("kept").select("doc_id.*")
+    return _with_verdicts(judged, host_verdicts(judged, max_rate)).filter("kept").select("doc_id.*")
 
 
 ORACLE = """

@@ -60,7 +60,7 @@ def shards(df: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col:
     ranked = _ranked(rows, ["s"], by_hash, ["h", "doc_id", "size", "text_crc32"], "r")
     sizes = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
     ranked = ranked.join(sizes, "s").withColumn("f", (2 * F.col("r") + 1) / (2 * F.col("n")))
-    ordered = _ranked(stored(ranked).withColumn("g", F.lit(0)), ["g"], F.floor(F.col("f") * buckets).cast("long"), ["f", "s", "r"], "position")
+    ordered = _ranked(stored(ranked, total).withColumn("g", F.lit(0)), ["g"], F.floor(F.col("f") * buckets).cast("long"), ["f", "s", "r"], "position")
     q, more = divmod(total, n_shards)
     at = F.col("position")
     head = at < more * (q + 1)

@@ -218,11 +218,12 @@ def links(points: DataFrame, threshold: int = 2, code: str = "golay") -> DataFra
 
     points: a stored table of distinct fingerprints fp.
     """
+    n = 5 * points.count()
 
     def meet(points: DataFrame, code: str) -> DataFrame:
         copies = points.mapInArrow(_replicate(CODES[code], threshold), "anchor long, fp long")
         dealt = copies.repartition("anchor").sortWithinPartitions("anchor", "fp")
-        return stored(dealt.mapInArrow(_compare(threshold), "a long, b long"))
+        return stored(dealt.mapInArrow(_compare(threshold), "a long, b long"), n)
 
     coarse = meet(points, code)
     crowded = coarse.filter("b IS NULL").select(F.col("a").alias("fp")).distinct()
@@ -230,21 +231,22 @@ def links(points: DataFrame, threshold: int = 2, code: str = "golay") -> DataFra
     return coarse.filter("b IS NOT NULL").union(fine.filter("b IS NOT NULL")).distinct()
 
 
-def components(edges: DataFrame, steps: int = 60) -> DataFrame:
+def components(edges: DataFrame, steps: int = 60, rows: int | None = None) -> DataFrame:
     """node, root: the smallest node of each connected component, for all nodes of the edges (a, b).
 
+    rows: about how many edges there are at most.
     Large-star links a node's larger neighbours to its least neighbour, small-star its smaller ones; the
     number of edges never grows, and both together end in stars after a logarithmic number of rounds.
     """
-    edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
-    state = None
+    edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), rows)
+    rows, state = edges.count(), None
     for _ in range(steps):
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(small, "u")
-        edges = stored(joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", "m")).distinct())
+        edges = stored(joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", "m")).distinct(), rows)
         new = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == state:
             break
@@ -263,9 +265,10 @@ def _code(n: int) -> str:
 def _classes(df: DataFrame, id_col: str, text_col: str, threshold: int, code: str | None) -> tuple[DataFrame, DataFrame]:
     """The stored fingerprints of all rows, and fp with the root of its component."""
     docs = stored(fingerprints(df, id_col, text_col))
-    points = stored(docs.select("fp").distinct())
-    roots = components(links(points, threshold, code or _code(points.count())))
-    return docs, stored(points.join(roots, points.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    points = stored(docs.select("fp").distinct(), docs.count())
+    n = points.count()
+    roots = components(links(points, threshold, code or _code(n)), rows=n)
+    return docs, stored(points.join(roots, points.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root")), n)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, code: str | None = None) -> DataFrame:
@@ -364,23 +367,25 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     sketches = rows.mapInArrow(_sketches(shingle), "i long, t long, fps array<long>")
     texts = stored(sketches.groupBy("t").agg(F.min(order).alias("first"), F.first("fps").alias("fps")))
     members = texts.select("t", "first", F.explode("fps").alias("fp"))
-    groups = stored(members.groupBy("fp").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n")))
-    linked = links(groups.select("fp"), 2, code or _code(groups.count()))
+    groups = stored(members.groupBy("fp").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n")), TABLES * texts.count())
+    n = groups.count()
+    linked = links(groups.select("fp"), 2, code or _code(n))
     name = lambda c: groups.select(F.col("fp").alias(c), F.col("first.t").alias(f"{c}_t"), F.col("first").alias(f"{c}_first"))
     inside = members.join(groups.filter("n > 1").select("fp", F.col("first.t").alias("v")), "fp").filter("t != v").select(F.col("t").alias("u"), "v")
     across = linked.join(name("a"), "a").join(name("b"), "b").filter("a_t != b_t")
     later = F.col("a_first") > F.col("b_first")
     across = across.select(F.when(later, F.col("a_t")).otherwise(F.col("b_t")).alias("u"), F.when(later, F.col("b_t")).otherwise(F.col("a_t")).alias("v"))
-    pairs = stored(inside.union(across).distinct())
+    pairs = stored(inside.union(across).distinct(), n)
+    n = pairs.count()
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("t")).distinct()
     one = rows.select("t", "text").join(nodes, "t", "left_semi").dropDuplicates(["t"]).select("t", "text")
-    sets = stored(one.mapInArrow(_sets(shingle), "t long, set binary"))
+    sets = stored(one.mapInArrow(_sets(shingle), "t long, set binary"), n)
     sizes = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
     dealt = pairs.join(sizes, "v").withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int"))
     members = dealt.join(sets, dealt.u == sets.t).select("v", "part", "u", "set")
     firsts = sizes.join(sets, sizes.v == sets.t).select("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("u"), "set")
     met = members.union(firsts).repartition("v", "part").sortWithinPartitions("v", "part", F.col("u").asc_nulls_first())
-    return texts, components(stored(met.mapInArrow(_jaccard(similarity), "a long, b long")))
+    return texts, components(stored(met.mapInArrow(_jaccard(similarity), "a long, b long"), n), rows=n)
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
