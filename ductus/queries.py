@@ -596,14 +596,14 @@ def rule_augment(spark, d):
 _LINE_U, _ENTRY_U = duck_uniform(42, "'line'", DUCK_PLACE), duck_uniform(42, "'entry'", "ord")
 
 
-@query(f"""WITH {SQL}, e AS (SELECT item_id AS ord, substr(text, 1, 5) AS abbrev, substr(text, 1, 12) AS expansion FROM benchmark),
+@query(f"""WITH {SQL}, e AS (SELECT item_id AS ord, replace(text, 'e', '') AS abbrev, text AS expansion FROM benchmark),
 k AS (SELECT least((SELECT count(*) FROM e), 10000, (SELECT count(*) FROM lines)) AS k),
 dl AS (SELECT doc_id, line_no, row_number() OVER (ORDER BY {_LINE_U}, doc_id, line_no) AS r FROM lines), dk AS (SELECT doc_id, line_no, row_number() OVER (ORDER BY doc_id, line_no) AS rank FROM dl, k WHERE r <= k),
 de AS (SELECT abbrev, expansion, row_number() OVER (ORDER BY {_ENTRY_U}, ord) AS rank FROM e)
 SELECT l.doc_id, l.line_no, l.text, l.text || coalesce(' ' || abbrev, '') AS source, l.text || coalesce(' ' || expansion, '') AS target FROM lines l LEFT JOIN (dk JOIN de USING (rank)) x ON l.doc_id = x.doc_id AND l.line_no = x.line_no""")
 def dict_inject(spark, d):
     bench = spark.read.parquet(f"{d}/benchmark.parquet")
-    entries = bench.select(F.col("item_id").alias("ord"), F.substring("text", 1, 5).alias("abbrev"), F.substring("text", 1, 12).alias("expansion"))
+    entries = bench.select(F.col("item_id").alias("ord"), F.replace("text", F.lit("e"), F.lit("")).alias("abbrev"), F.col("text").alias("expansion"))
     return augment.inject_entries(script_lines(spark, d), entries)
 
 
