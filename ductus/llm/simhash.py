@@ -18,6 +18,13 @@ shingles that come first in that table's order of hashes: two texts of Jaccard s
 in common. Fingerprints meet at anchors as above; of each group the others are compared with its first document by
 their whole shingle sets, and only pairs that are as similar as asked for are links. Groups are dealt in parts.
 
+That finds most links by chance; what it leaves is found with certainty. Two sets of Jaccard similarity s have a shingle
+in common among the first n - ceil(s n) + 1 of each in any order of all shingles, so documents that no links connect so
+far meet at those, first in the order of the hashes. Shingles at which over MAX_MEMBERS documents meet go to the end of
+the order, and the documents that have them meet again; where they still are too many, all of them are compared in parts.
+Lengths, places and the parities of the shingles' numbers in as many classes as there are shingles rule out pairs that can't be similar; the
+others are compared by their whole sets. So no two documents with the similarity stay apart.
+
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; null ids are kept,
 and a component of null ids only has a null component_id; repeated rows give repeated rows (but `one_of_each` keeps
 one); an empty table gives an empty table; other columns of the input are not looked at.
@@ -25,6 +32,7 @@ one); an empty table gives an empty table; other columns of the input are not lo
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -51,6 +59,8 @@ CODES = {
 GOLAY = 0b110001110101
 #: Of `similar`: fingerprints of a document, shingles of each, members that meet a group's first document in a task.
 TABLES, LEAST, PART = 5, 3, 512
+#: Times that frequent shingles go to the end of the order, and how many at once; beyond them documents are compared in parts.
+ROUNDS, FREQUENT = 3, 1_000_000
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -315,11 +325,67 @@ def least_fingerprints(h: np.ndarray, tables: int = TABLES, least: int = LEAST)
     return out
 
 
-def _sketches(size: int):
+def parities(h: np.ndarray) -> bytes:
+    """Bits that are 1 if an odd number of the hashes fall on them, at least as many bits as hashes, a power of 2.
+
+    Sets differ in at least as many hashes as these do in bits. The two halves' XOR is the same for half as many bits.
+    """
+    n = 1 << max(9, (len(h) - 1).bit_length())
+    return np.packbits(np.bincount((h & np.uint64(n - 1)).view(np.int64), minlength=n) & 1 == 1).tobytes()
+
+
+def frequent_last(h: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Sorted hashes with those in frequent (rows of hash and count, sorted by hash) at the end, by falling rarity."""
+    if not len(frequent):
+        return h
+    at = np.searchsorted(frequent[:, 0], h).clip(max=len(frequent) - 1)
+    found = frequent[at, 0] == h
+    return np.concatenate([h[~found], h[found][np.argsort(frequent[at[found], 1], kind="stable")]])
+
+
+def first_shingles(h: np.ndarray, similarity: float, rounds: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray | None:
+    """The hashes at which a document meets those similar to it (0 without shingles); None if no round's new ones are among them.
+
+    rounds: the frequent hashes, and those of them that were new, sorted.
+    """
+    n = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1
+    out = h[:n] if len(h) else np.zeros(1, np.uint64)
+    for frequent, new in rounds:
+        if not np.isin(out, new).any():
+            return None
+        out = frequent_last(h, frequent)[:n] if len(h) else out
+    return out
+
+
+def _sketches(size: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, m in by_bytes(batch.column(1), 8_000_000, 1000):
+                part = batch.slice(low, m)
+                fps, n, bits, firsts = [], [], [], []
+                for x in part.column(1).cast(pa.large_binary()):
+                    h = shingles(x.as_py(), size)
+                    fps.append(least_fingerprints(h))
+                    n.append(len(h))
+                    bits.append(parities(h))
+                    firsts.append(first_shingles(h, similarity, []).tobytes())
+                columns = [pa.array(fps, pa.list_(pa.int64())), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(firsts, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *columns], ["i", "t", "fps", "n", "bits", "firsts"])
+
+    return run
+
+
+def _again(size: int, similarity: float, rounds: list[tuple[np.ndarray, np.ndarray]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [least_fingerprints(shingles(x.as_py(), size)) for x in batch.column(1).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int64()))], ["i", "t", "fps"])
+            for low, m in by_bytes(batch.column(0), 8_000_000, 1000):
+                t, firsts = [], []
+                for x, k in zip(batch.column(0).slice(low, m).cast(pa.large_binary()), batch.column(1).slice(low, m).to_pylist()):
+                    found = first_shingles(shingles(x.as_py(), size), similarity, rounds)
+                    if found is not None:
+                        t.append(k)
+                        firsts.append(found.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(firsts, pa.binary())], ["t", "firsts"])
 
     return run
 
@@ -355,17 +421,229 @@ def _jaccard(similarity: float):
     return run
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (label, t, n, firsts) a row for each of the first shingles, with its place."""
+    for batch in batches:
+        for low, m in by_bytes(batch.column(3), 2_000_000, 10_000):
+            part = batch.slice(low, m)
+            data = part.column(3).to_pylist()
+            sizes = np.fromiter(map(len, data), np.int64, m) // 8
+            of = np.repeat(np.arange(m), sizes)
+            place = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            columns = [part.column(c).to_numpy()[of] for c in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.frombuffer(b"".join(data), np.int64), *columns, place)], ["h", "label", "t", "n", "place"])
+
+
+def _may_be_similar(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Of rows (..., label, t, n, place) that meet at a shingle: not connected, and similar if all from there on is common."""
+    n, m = x[..., -2], y[..., -2]
+    left = np.minimum(n - x[..., -1], m - y[..., -1])
+    sizes = np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6
+    return (x[..., -4] != y[..., -4]) & sizes & (left >= similarity / (1 + similarity) * (n + m) - 1e-6)
+
+
+def _meet(similarity: float):
+    """Of rows (h, label, t, n, place) sorted by h and label: pairs (a, b) that may be similar; (h, null, n) of crowded h with more than one label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crowd = None  # of the h that has too many rows: h, their number, first and last label
+
+        def closed(h: int | None) -> list[list[int]]:
+            """The crowd that ends before h, if any."""
+            nonlocal crowd
+            if crowd is None or crowd[0] == h:
+                return []
+            out, crowd = [crowd], None
+            return out
+
+        def joined(rows: np.ndarray) -> list[int]:
+            first = crowd or [int(rows[0, 0]), 0, int(rows[0, 1]), 0]
+            return [first[0], first[1] + len(rows), first[2], int(rows[-1, 1])]
+
+        def met(rows: np.ndarray, after: int | None) -> Iterator[pa.RecordBatch]:
+            """Of whole groups; after: the h of the rows held back."""
+            nonlocal crowd
+            crowds = closed(int(rows[0, 0]) if len(rows) else after)
+            starts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]]) if len(rows) else np.zeros(0, np.int64)
+            sizes = np.diff(np.r_[starts, len(rows)])
+            big = sizes > MAX_MEMBERS
+            if crowd and len(rows):
+                big[0] = True
+            for s, k in zip(starts[big].tolist(), sizes[big].tolist()):
+                crowds.append(joined(rows[s : s + k]))
+                crowd = None
+            crowds = [c for c in crowds if c[2] != c[3]]
+            several = (sizes > 1) & ~big
+            several[several] = rows[starts[several], 1] != rows[(starts + sizes - 1)[several], 1]
+            rows = rows[np.repeat(several, sizes)]
+            i, a, b = np.arange(len(rows)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for gap in range(1, MAX_MEMBERS):
+                i = i[i + gap < len(rows)]
+                i = i[rows[i, 0] == rows[i + gap, 0]]
+                if not len(i):
+                    break
+                k = i[_may_be_similar(rows[i], rows[i + gap], similarity)]
+                a.append(np.maximum(rows[k, 2], rows[k + gap, 2]))
+                b.append(np.minimum(rows[k, 2], rows[k + gap, 2]))
+            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+            none, m = [None] * len(crowds), len(pairs)
+            if m or crowds:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([*pairs[:, 0].tolist(), *(c[0] for c in crowds)], pa.int64()), pa.array([*pairs[:, 1].tolist(), *none], pa.int64()), pa.array([None] * m + [c[1] for c in crowds], pa.int64())], ["a", "b", "n"]
+                )
+
+        held = np.zeros((0, 5), np.int64)
+        for batch in batches:
+            rows = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
+            if not len(rows):
+                continue
+            tail = int((rows[:, 0] == rows[-1, 0]).sum())
+            done, held = rows[: len(rows) - tail], rows[len(rows) - tail :]
+            yield from met(done, int(held[0, 0]))
+            if len(held) > MAX_MEMBERS or crowd:
+                crowd = joined(held)
+                held = held[:0]
+        yield from met(held, None)
+
+    return run
+
+
+def _differ_little(x: list[bytes], y: list[bytes], n: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether parities differ in no more bits than sets of n shingles together may that are similar."""
+    out, sizes = np.zeros(len(n), bool), np.array([[len(a), len(b)] for a, b in zip(x, y)], np.int64).reshape(-1, 2)
+    for wide in np.unique(sizes, axis=0).tolist():
+        for at in np.array_split(k := np.flatnonzero((sizes == wide).all(axis=1)), 1 + len(k) * max(wide) // 8_000_000):
+            folded = []
+            for z, w in zip((x, y), wide):
+                bits = np.frombuffer(b"".join([z[i] for i in at.tolist()]), np.uint64).reshape(-1, w // 8)
+                while bits.shape[1] > min(wide) // 8:
+                    bits = bits[:, : bits.shape[1] // 2] ^ bits[:, bits.shape[1] // 2 :]
+                folded.append(bits)
+            out[at] = np.bitwise_count(folded[0] ^ folded[1]).sum(axis=1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * n[at] + 1e-6
+    return out
+
+
+def _in_parts(similarity: float):
+    """Of rows (h, low, high, part, label, t, n, place, bits) sorted by h, low, high: pairs of parts low and high that may be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def met(rows: np.ndarray, bits: list[bytes]) -> Iterator[pa.RecordBatch]:
+            low, high = rows[0, 1], rows[0, 2]
+            x, y = np.flatnonzero(rows[:, 3] == low), np.flatnonzero(rows[:, 3] == high)
+            for i in x.tolist():
+                j = y[y > i] if low == high else y
+                j = j[_may_be_similar(rows[i], rows[j], similarity)]
+                j = j[_differ_little([bits[i]] * len(j), [bits[k] for k in j.tolist()], rows[i, 6] + rows[j, 6], similarity)]
+                if len(j):
+                    t = rows[j, 5]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(t, rows[i, 5])), pa.array(np.minimum(t, rows[i, 5]))], ["a", "b"])
+
+        held, held_bits = np.zeros((0, 8), np.int64), []
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns[:8]], axis=1)])
+            bits = held_bits + batch.column(8).to_pylist()
+            cuts = [0, *(np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1).tolist()]
+            for s, e in zip(cuts, cuts[1:]):
+                yield from met(rows[s:e], bits[s:e])
+            held, held_bits = rows[cuts[-1] :], bits[cuts[-1] :]
+        if len(held):
+            yield from met(held, held_bits)
+
+    return run
+
+
+def _sifted(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                near = _differ_little(batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(2).to_numpy(), similarity)
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in range(2)], ["u", "v"])
+
+    return run
+
+
+def _verified(rows: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Stored: the stored pairs (u, v) of texts whose whole shingle sets are similar, as (a, b)."""
+    n = pairs.count()
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("t")).distinct()
+    one = rows.select("t", "text").join(nodes, "t", "left_semi").dropDuplicates(["t"]).select("t", "text")
+    sets = stored(one.mapInArrow(_sets(shingle), "t long, set binary"), n)
+    sizes = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    dealt = pairs.join(sizes, "v").withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int"))
+    members = dealt.join(sets, dealt.u == sets.t).select("v", "part", "u", "set")
+    firsts = sizes.join(sets, sizes.v == sets.t).select("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("u"), "set")
+    met = members.union(firsts).repartition("v", "part").sortWithinPartitions("v", "part", F.col("u").asc_nulls_first())
+    return stored(met.mapInArrow(_jaccard(similarity), "a long, b long"), n)
+
+
+def _left_apart(rows: DataFrame, texts: DataFrame, roots: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Stored: all pairs (u, v) of texts with different roots that may be similar.
+
+    texts: stored, t with n (number of shingles), bits (parities) and firsts (the shingles to meet at).
+    """
+    labels = texts.select("t", "n", "bits").join(roots, texts.t == roots.node, "left").select("t", F.coalesce("root", "t").alias("label"), "n", "bits")
+    labels, firsts = stored(labels, texts.count()), texts.select("t", "firsts")
+    rounds, found = [], []
+    for round_ in range(ROUNDS + 1):
+        n = firsts.agg(F.coalesce(F.sum(F.length("firsts")) / 8, F.lit(0))).first()[0]
+        places = labels.join(firsts, "t").select("label", "t", "n", "firsts").mapInArrow(_places, "h long, label long, t long, n long, place long")
+        dealt = places.repartition("h").sortWithinPartitions("h", "label", "t")
+        met = stored(dealt.mapInArrow(_meet(similarity), "a long, b long, n long"), int(n))
+        found.append(met.filter("b IS NOT NULL").select(F.col("a").alias("u"), F.col("b").alias("v")))
+        crowded = met.filter("b IS NULL").select(F.col("a").alias("h"), "n")
+        listed = crowded.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+        known = rounds[-1][0] if rounds else np.zeros((0, 2), np.uint64)
+        hashes = np.array([r.h for r in listed], np.int64).view(np.uint64)
+        new = ~np.isin(hashes, known[:, 0]) if round_ < ROUNDS and len(known) < FREQUENT else np.zeros(len(hashes), bool)
+        added = np.stack([hashes, np.array([r.n for r in listed], np.uint64)], axis=1)[new] if len(listed) else known[:0]
+        if crowded.count() > len(added):
+            spark = rows.sparkSession
+            rest = crowded.join(spark.createDataFrame([(h,) for h in added[:, 0].view(np.int64).tolist()], "h long"), "h", "left_anti") if len(added) else crowded
+            rest = rest.select("h", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+            members = places.join(rest, "h").join(labels.select("t", "bits"), "t").withColumn("part", F.pmod(F.xxhash64("t"), F.col("parts")))
+            members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
+            members = members.select("h", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "label", "t", "n", "place", "bits")
+            dealt = members.repartition("h", "low", "high").sortWithinPartitions("h", "low", "high")
+            found.append(stored(dealt.mapInArrow(_in_parts(similarity), "u long, v long").distinct()))
+        if not len(added):
+            break
+        frequent = np.concatenate([known, added])
+        rounds.append((frequent[np.argsort(frequent[:, 0])], np.sort(added[:, 0])))
+        again = rows.select("text", "t").mapInArrow(_again(shingle, similarity, rounds), "t long, firsts binary")
+        firsts = stored(again.groupBy("t").agg(F.first("firsts").alias("firsts")), texts.count())
+    pairs = found[0]
+    for x in found[1:]:
+        pairs = pairs.union(x)
+    side = lambda c: labels.select(F.col("t").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
+    both = pairs.distinct().join(side("u"), "u").join(side("v"), "v").select("u", "v", (F.col("nu") + F.col("nv")).alias("n"), "bitsu", "bitsv")
+    return stored(both.mapInArrow(_sifted(similarity), "u long, v long"))
+
+
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, code: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Stored tables: texts (t: hash of a text, first: the first row that has it), and node, root of linked ones.
 
-    Equal texts are one. Every pair of texts with the similarity is found with a chance of about
-    1 - (1 - similarity^LEAST)^TABLES, 0.97 at 0.8 and more above; links are exact.
+    Equal texts are one. Every two texts with the similarity, and no others, are linked.
     """
     text = text_or_empty(text_col)
     rows = df.select(F.col(id_col).cast("long").alias("i"), text.alias("text"), F.xxhash64(text).alias("t"))
     order = F.struct(F.col("i").isNull().alias("n"), F.col("i").alias("i"), F.col("t").alias("t"))
-    sketches = rows.mapInArrow(_sketches(shingle), "i long, t long, fps array<long>")
-    texts = stored(sketches.groupBy("t").agg(F.min(order).alias("first"), F.first("fps").alias("fps")))
+    sketches = rows.mapInArrow(_sketches(shingle, similarity), "i long, t long, fps array<long>, n long, bits binary, firsts binary")
+    texts = stored(sketches.groupBy("t").agg(F.min(order).alias("first"), *(F.first(c).alias(c) for c in ("fps", "n", "bits", "firsts"))))
+    linked = _by_anchors(rows, texts, shingle, similarity, code)
+    n = texts.count()
+    roots = stored(components(linked, rows=n), n)
+    more = _verified(rows, _left_apart(rows, texts, roots, shingle, similarity), shingle, similarity)
+    return texts, components(linked.union(more), rows=n) if more.count() else roots
+
+
+def _by_anchors(rows: DataFrame, texts: DataFrame, shingle: int, similarity: float, code: str | None) -> DataFrame:
+    """Stored links (a, b) of texts with the first text of a group that their fingerprints meet in.
+
+    Every pair of texts with the similarity is found with a chance of about 1 - (1 - similarity^LEAST)^TABLES,
+    0.97 at 0.8 and more above; links are exact.
+    """
     members = texts.select("t", "first", F.explode("fps").alias("fp"))
     groups = stored(members.groupBy("fp").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n")), TABLES * texts.count())
     n = groups.count()
@@ -375,17 +653,7 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     across = linked.join(name("a"), "a").join(name("b"), "b").filter("a_t != b_t")
     later = F.col("a_first") > F.col("b_first")
     across = across.select(F.when(later, F.col("a_t")).otherwise(F.col("b_t")).alias("u"), F.when(later, F.col("b_t")).otherwise(F.col("a_t")).alias("v"))
-    pairs = stored(inside.union(across).distinct(), n)
-    n = pairs.count()
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("t")).distinct()
-    one = rows.select("t", "text").join(nodes, "t", "left_semi").dropDuplicates(["t"]).select("t", "text")
-    sets = stored(one.mapInArrow(_sets(shingle), "t long, set binary"), n)
-    sizes = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    dealt = pairs.join(sizes, "v").withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int"))
-    members = dealt.join(sets, dealt.u == sets.t).select("v", "part", "u", "set")
-    firsts = sizes.join(sets, sizes.v == sets.t).select("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("u"), "set")
-    met = members.union(firsts).repartition("v", "part").sortWithinPartitions("v", "part", F.col("u").asc_nulls_first())
-    return texts, components(stored(met.mapInArrow(_jaccard(similarity), "a long, b long"), n), rows=n)
+    return _verified(rows, stored(inside.union(across).distinct(), n), shingle, similarity)
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

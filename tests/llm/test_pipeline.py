@@ -117,6 +117,79 @@ def test_similar_documents_are_linked(spark):
     assert kept == {min(d for d in group if group[d] == g) for g in set(group.values())}
 
 
+def grouped(spark, texts):
+    """Sets of the places of texts that are linked, and those of a brute-force comparison."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    names, roots = simhash.similar(df)
+    root = {r.node: r.root for r in roots.collect()}
+    at = {r.t: root.get(r.t, r.t) for r in names.collect()}
+    found = {}
+    for d, t in enumerate(text_hashes(texts)):
+        found.setdefault(at[t], set()).add(d)
+    want = brute_groups(range(len(texts)), brute_similar(texts))
+    return {frozenset(g) for g in found.values()}, {frozenset(g) for g in want}
+
+
+def test_no_link_at_the_threshold_is_lost(spark):
+    rnd = random.Random(7)
+    texts = []
+    for k in range(600):
+        words = [f"w{rnd.randrange(50_000)}" for _ in range(49)]
+        texts.append(" ".join(words))
+        words[24] = "x"  # 40 of 50 shingles
+        texts.append(" ".join(words))
+    found, want = grouped(spark, texts + ["", " ", "\n"])
+    assert found == want and sum(len(g) == 2 for g in want) == 600
+
+
+def test_no_link_is_lost_among_frequent_shingles(spark):
+    rnd = random.Random(8)
+    phrases = [" ".join(f"p{k}w{i}" for i in range(12)) for k in range(6)]
+    texts = [" ".join(rnd.choice(phrases) for _ in range(rnd.randrange(4, 14))) for _ in range(700)]  # nothing but frequent ones
+    passage = " ".join(f"passage{i}" for i in range(30))
+    for k in range(350):  # a passage that many have in common
+        words = [f"w{rnd.randrange(50_000)}" for _ in range(40)]
+        texts.append(" ".join([*words, passage]))
+        if k % 5 == 0:
+            texts.append(" ".join([*words[:20], "x", *words[21:], passage]))
+    found, want = grouped(spark, texts)
+    assert found == want and 300 < len(want) < len(set(texts))
+
+
+def test_crowded_groups_across_batches():
+    import pyarrow as pa
+
+    rnd = random.Random(9)
+    rows = []
+    for h, n in enumerate([1, 300, 2, 257, 256, 600, 1, 256, 300]):
+        rows += [(h, rnd.randrange(3) if h != 5 else 7, t, 50, 3) for t in range(1000 * h, 1000 * h + n)]
+    rows.sort()
+    columns = list(zip(*rows))
+    whole = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["h", "label", "t", "n", "place"])
+    label = {t: x for _, x, t, _, _ in rows}
+    for size in (1, 100, 256, 300, 301, 10_000):
+        out = [r for b in simhash._meet(0.8)(whole.slice(i, size) for i in range(0, len(whole), size)) for r in b.to_pylist()]
+        assert {(r["a"], r["n"]) for r in out if r["b"] is None} == {(1, 300), (3, 257), (8, 300)}
+        pairs = {(r["a"], r["b"]) for r in out if r["b"] is not None}
+        assert pairs == {(a, b) for h in (2, 4, 7) for a in range(1000 * h, 1000 * h + 256) for b in range(1000 * h, a) if a in label and b in label and label[a] != label[b]}
+
+
+def test_parities_rule_out_no_similar_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(10)
+    sets, other = [], []
+    for n in (1, 9, 500, 520, 4100, 20_000):
+        common, own = rng.integers(0, 1 << 63, (2, n), np.uint64)
+        k = n // 9  # of each, so 0.8 of the two together are common
+        sets.append((common, np.concatenate([common[k:], own[:k]])))
+        sets.append((common, np.concatenate([common, own[: n // 4]])))
+        other.append((common, own))
+    left, right = ([simhash.parities(np.sort(x)) for x in side] for side in zip(*sets, *other))
+    n = np.array([len(a) + len(b) for a, b in sets + other])
+    assert simhash._differ_little(left, right, n, 0.8).tolist() == [True] * len(sets) + [False] * len(other)
+
+
 def text_hashes(texts):
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
