@@ -18,7 +18,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections import ChainMap
 from collections.abc import Iterator
 from functools import cache
 
@@ -44,12 +43,16 @@ PIECE = re.compile("[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|'s|'t|'re|'ve|'m|'ll|'d
 OTHER = re.compile("[^\x00-\xff]|<\\|")
 
 
+#: The model's characters for bytes, by the bytes' numbers: themselves if they show, else those from 256 on in order.
+SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+SYMBOLS = {x: 256 + k for k, x in enumerate(sorted(set(range(256)) - SHOWN))}
+
+
 class WordIds:
     """Ids of texts as little-endian 32-bit numbers, from the ids of their ASCII-space-separated words.
 
     No token spans white space in this vocabulary, so a text's ids are those of its words one after another; and
-    a word's are those of its pre-tokens. New pre-tokens are encoded many at a time: each ends with the only one
-    of its tokens that is marked as a word's end.
+    a word's are those of its pre-tokens, which go to the tokenizer's model as they are.
     """
 
     def __init__(self, path: str):
@@ -57,54 +60,44 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.tokenize = self.tokenizer.model.tokenize
+        ids = np.arange(max(self.tokenizer.get_vocab().values()) + 1, dtype="<u4").tobytes()
+        self.bytes = [ids[i : i + 4] for i in range(0, len(ids), 4)]
         self.known: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """The ids of new words; they are remembered while there is room, so the frequent ones, met first, are."""
-        new = list(words)
-        texts = [w.decode() for w in new]
-        cut = [None if OTHER.search(t) else PIECE.findall(t.lower()) for t in texts]
-        pieces = self.encode_pieces([p for p in {p for c in cut if c for p in c} if p not in self.pieces])
-        if len(self.pieces) < REMEMBERED:
-            self.pieces.update(pieces)
-            pieces = self.pieces
-        else:
-            pieces = ChainMap(pieces, self.pieces)
-        out = {w: pieces[c[0]] if len(c) == 1 else b"".join([pieces[p] for p in c]) for w, c in zip(new, cut) if c is not None}
-        rest = [(w, t) for w, t, c in zip(new, texts, cut) if c is None]
+        out, rest, get, piece = {}, [], self.pieces.get, self.encode_piece
+        for w in words:
+            t = w.decode()
+            if "<|" in t if t.isascii() else OTHER.search(t):
+                rest.append((w, t))
+                continue
+            t = t.lower()
+            out[w] = (get(t) or piece(t)) if t.isalpha() else b"".join([get(p) or piece(p) for p in PIECE.findall(t)])
         for (w, _), e in zip(rest, self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False)):
             out[w] = np.array(e.ids, "<u4").tobytes()
         if len(self.known) < REMEMBERED:
             self.known.update(out)
         return out
 
-    def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
-        for i in range(0, len(pieces), 2_000):
-            part = pieces[i : i + 2_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            at = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(at) != len(part):
-                raise ValueError("the vocabulary doesn't mark the ends of words as expected")
-            data = ids.tobytes()
-            out.update(zip(part, map(lambda a, b: data[a:b], [0, *at[:-1]], at)))
+    def encode_piece(self, piece: str) -> bytes:
+        symbols = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(SYMBOLS)
+        out = b"".join([self.bytes[x.id] for x in self.tokenize(symbols)])
+        if len(self.pieces) < REMEMBERED:
+            self.pieces[piece] = out
         return out
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         """The ids of some texts; what is new in them is learned at once."""
-        get = self.known.get
         words = [t.split() for t in texts]
-        ids = [list(map(get, ws)) for ws in words]
-        open_ = [k for k, found in enumerate(ids) if None in found]
-        if open_:
-            extra = self.learn({w for k in open_ for w, i in zip(words[k], ids[k]) if i is None})
-            for k in open_:
-                ids[k] = [extra[w] if i is None else i for w, i in zip(words[k], ids[k])]
-        return list(map(b"".join, ids))
+        different = list(set().union(*words))
+        ids = dict(zip(different, map(self.known.get, different)))
+        new = [w for w, i in ids.items() if i is None]
+        if new:
+            ids.update(self.learn(new))
+        return [b"".join(map(ids.__getitem__, ws)) for ws in words]
 
     def encode(self, text: bytes) -> bytes:
         return self.encode_all([text])[0]

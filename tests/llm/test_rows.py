@@ -410,6 +410,23 @@ def test_packing(spark):
         assert len(blocks) <= 1.02 * len(places) + 1
 
 
+def test_words_in_latin_1_need_only_the_model():
+    from tokenizers import Tokenizer
+
+    tokenizer, ids = Tokenizer.from_file(packing.tokenizer_path()), packing.WordIds(packing.tokenizer_path())
+    words = [form.replace("_", chr(c)) for c in [*range(1, 9), *range(14, 32), *range(33, 256)] for form in ("_", "a_", "_a", "A_'s", "1_2", "__", "\xe9_x") if "<|" not in form]
+    texts = [w.encode() for w in words]
+
+    class Only:
+        def encode_batch_fast(self, rest, **_):
+            assert not rest
+            return []
+
+    ids.tokenizer = Only()
+    want = [np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    assert ids.encode_all(texts) == want and ids.encode(b" ".join(texts)) == b"".join(want)
+
+
 def test_ids_of_any_text():
     from tokenizers import Tokenizer
 
