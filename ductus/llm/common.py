@@ -6,7 +6,7 @@ import gc
 import time
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,16 +28,35 @@ _scopes: list[list[DataFrame]] = []
 ROWS_A_TASK, LEAST_TASKS = 100_000, 12
 
 
-def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
+#: Rows, and bytes, of a batch in which texts go to Python; by Spark's own settings it is 10,000 rows of any length.
+TEXTS_A_BATCH, BYTES_A_BATCH = 1000, 4_000_000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside sends small batches to Python, whose buffers both sides hold beside the JVM's heap."""
+    most = {"spark.sql.execution.arrow.maxRecordsPerBatch": TEXTS_A_BATCH, "spark.sql.execution.arrow.maxBytesPerBatch": BYTES_A_BATCH}
+    before = {k: spark.conf.get(k, None) for k in most}
+    try:
+        for k, x in most.items():
+            spark.conf.set(k, str(x))
+        yield
+    finally:
+        for k, x in before.items():
+            spark.conf.unset(k) if x is None else spark.conf.set(k, x)
+
+
+def stored(df: DataFrame, rows: int | None = None, texts: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again.
 
     It cuts the lineage: a lost executor costs the tasks that run, not the steps before. The table
     goes when it is discarded, at the latest when the driver's JVM ends. rows: about how many it has at
-    most, so that small tables aren't a file for every partition of a shuffle.
+    most, so that small tables aren't a file for every partition of a shuffle. texts: whole texts go to Python.
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/ductus-{uuid.uuid4().hex}"
-    (df if rows is None else df.coalesce(max(LEAST_TASKS, -(-rows // ROWS_A_TASK)))).write.parquet(path)
+    with small_batches(spark) if texts else nullcontext():
+        (df if rows is None else df.coalesce(max(LEAST_TASKS, -(-rows // ROWS_A_TASK)))).write.parquet(path)
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)

@@ -20,6 +20,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,11 @@ from ductus.llm.common import by_bytes, stored, text_or_empty
 BLOCK = 16_384
 #: A sequence with more than this share of its tokens free is packed again with those of other blocks.
 REST = 1 / 64
-#: Words, and pre-tokens, whose ids a worker process remembers from task to task.
-REMEMBERED = 500_000
+#: Words, and pre-tokens, whose ids a worker process remembers from task to task. An executor comes to have more workers
+#: than cores, each with its own.
+REMEMBERED = 100_000
+#: Marks for what was met once, by hash; a power of 2.
+MARKS = 1 << 21
 
 
 #: Of words in Latin-1, after lower-casing: what the vocabulary's pre-tokenizer makes of them. Such words are
@@ -65,9 +69,16 @@ class WordIds:
         self.bytes = [ids[i : i + 4] for i in range(0, len(ids), 4)]
         self.known: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.met = bytearray(MARKS)
+
+    def again(self, x: bytes | str) -> bool:
+        """Whether x was met before; now and then also of what shares its mark."""
+        k = hash(x) & MARKS - 1
+        before, self.met[k] = self.met[k], 1
+        return before == 1
 
     def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of new words; they are remembered while there is room, so the frequent ones, met first, are."""
+        """The ids of new words; what is met again is remembered while there is room. Most words are met once."""
         out, rest, get, piece = {}, [], self.pieces.get, self.encode_piece
         for w in words:
             t = w.decode()
@@ -79,13 +90,13 @@ class WordIds:
         for (w, _), e in zip(rest, self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False)):
             out[w] = np.array(e.ids, "<u4").tobytes()
         if len(self.known) < REMEMBERED:
-            self.known.update(out)
+            self.known.update(islice(((w, i) for w, i in out.items() if self.again(w)), REMEMBERED - len(self.known)))
         return out
 
     def encode_piece(self, piece: str) -> bytes:
         symbols = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(SYMBOLS)
         out = b"".join([self.bytes[x.id] for x in self.tokenize(symbols)])
-        if len(self.pieces) < REMEMBERED:
+        if len(self.pieces) < REMEMBERED and self.again(piece):
             self.pieces[piece] = out
         return out
 
@@ -244,7 +255,7 @@ def pack(cut: DataFrame, capacity: int = 4096, max_docs: int | None = None, max_
 
 
 def packed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, **options) -> DataFrame:
-    return pack(stored(pieces(df, id_col, text_col, capacity)), capacity, **options)
+    return pack(stored(pieces(df, id_col, text_col, capacity), texts=True), capacity, **options)
 
 
 def op7_vector_best_fit(spark, sf_dir: str) -> DataFrame:

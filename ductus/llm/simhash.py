@@ -569,7 +569,7 @@ def _verified(rows: DataFrame, pairs: DataFrame, shingle: int, similarity: float
     n = pairs.count()
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("t")).distinct()
     one = rows.select("t", "text").join(nodes, "t", "left_semi").dropDuplicates(["t"]).select("t", "text")
-    sets = stored(one.mapInArrow(_sets(shingle), "t long, set binary"), n)
+    sets = stored(one.mapInArrow(_sets(shingle), "t long, set binary"), n, texts=True)
     sizes = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
     dealt = pairs.join(sizes, "v").withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int"))
     members = dealt.join(sets, dealt.u == sets.t).select("v", "part", "u", "set")
@@ -612,7 +612,7 @@ def _left_apart(rows: DataFrame, texts: DataFrame, roots: DataFrame, shingle: in
         frequent = np.concatenate([known, added])
         rounds.append((frequent[np.argsort(frequent[:, 0])], np.sort(added[:, 0])))
         again = rows.select("text", "t").mapInArrow(_again(shingle, similarity, rounds), "t long, firsts binary")
-        firsts = stored(again.groupBy("t").agg(F.first("firsts").alias("firsts")), texts.count())
+        firsts = stored(again.groupBy("t").agg(F.first("firsts").alias("firsts")), texts.count(), texts=True)
     pairs = found[0]
     for x in found[1:]:
         pairs = pairs.union(x)
@@ -630,7 +630,7 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     rows = df.select(F.col(id_col).cast("long").alias("i"), text.alias("text"), F.xxhash64(text).alias("t"))
     order = F.struct(F.col("i").isNull().alias("n"), F.col("i").alias("i"), F.col("t").alias("t"))
     sketches = rows.mapInArrow(_sketches(shingle, similarity), "i long, t long, fps array<long>, n long, bits binary, firsts binary")
-    texts = stored(sketches.groupBy("t").agg(F.min(order).alias("first"), *(F.first(c).alias(c) for c in ("fps", "n", "bits", "firsts"))))
+    texts = stored(sketches.groupBy("t").agg(F.min(order).alias("first"), *(F.first(c).alias(c) for c in ("fps", "n", "bits", "firsts"))), texts=True)
     linked = _by_anchors(rows, texts, shingle, similarity, code)
     n = texts.count()
     roots = stored(components(linked, rows=n), n)

@@ -5,10 +5,13 @@ import html
 import math
 import random
 import re
+import sys
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -427,6 +430,31 @@ def test_words_in_latin_1_need_only_the_model():
     assert ids.encode_all(texts) == want and ids.encode(b" ".join(texts)) == b"".join(want)
 
 
+def test_a_worker_remembers_little():
+    """Executors have little memory beside the JVM's, and several workers."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=8)).encode() + b"," for _ in range(150_000)]
+    slices = [b" ".join(words[k : k + 5000]) for k in range(0, len(words), 5000)]
+    ids = packing.WordIds(packing.tokenizer_path())
+    tracemalloc.start()
+    first = [ids.encode(x) for x in slices]
+    once = tracemalloc.get_traced_memory()[0] - sum(map(sys.getsizeof, first))
+    assert first == [ids.encode(x) for x in slices]
+    twice = tracemalloc.get_traced_memory()[0] - sum(map(sys.getsizeof, first))
+    tracemalloc.stop()
+    assert once < 10e6 and twice < 40e6
+    assert len(ids.known) == len(ids.pieces) == packing.REMEMBERED < len(words)
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sizes = lambda batches: (pa.record_batch([pa.array([len(b)]), pa.array([b.nbytes])], ["n", "size"]) for b in batches)
+    texts = spark.range(0, 20_000, 1, 1).select(F.repeat(F.lit("x"), F.when(F.col("id") < 2000, 10_000).otherwise(10).cast("int")).alias("text"))
+    rows = stored(texts.mapInArrow(sizes, "n long, size long"), texts=True).collect()
+    assert sum(r.n for r in rows) == 20_000 and max(r.n for r in rows) == 1000 and max(r["size"] for r in rows) < 5_000_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_ids_of_any_text():
     from tokenizers import Tokenizer
 
