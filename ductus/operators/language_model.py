@@ -5,11 +5,12 @@ A model is a table n, ngram (tokens joined by a space), logprob, backoff, in log
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,56 +28,166 @@ UNKNOWN = -10.0
 MAX_LOCAL = 2_000_000
 
 
-def training_tokens(text: Column) -> Column:
-    """<s>, the characters that aren't white space, </s>."""
-    letters = F.filter(script.chars(script.strip(text)), lambda c: ~c.rlike(r"(?U)^\s$"))
-    return F.concat(F.array(F.lit(BOS)), letters, F.array(F.lit(EOS)))
+#: White space that isn't trained on, as Java's (?U)\\s has it.
+_SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: Characters, and n-grams, that are held at once while counting and scoring.
+_PIECE, _HELD = 1 << 20, 4_000_000
+
+
+def _pieces(texts: list[str], most: int) -> Iterator[list[str]]:
+    """The texts in order, in lists of about `most` characters."""
+    now, size = [], 0
+    for t in texts:
+        now.append(t)
+        size += len(t)
+        if size >= most:
+            yield now
+            now, size = [], 0
+    if now:
+        yield now
+
+
+def _codes(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their counts, of several tables of both."""
+    keys, counts = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+class _Counter:
+    """Counts of the `order` tokens that start at each place of lines (fewer at a line's end), as numbers.
+
+    A token is <s>, </s> or a character that isn't white space; lines without any have no places.
+    """
+
+    def __init__(self, order: int):
+        self.order, self.bits = order, 62 // order
+        self.clear()
+
+    def clear(self) -> None:
+        self.names, self.parts, self.total = [None, BOS, EOS], [], (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.table = np.zeros(0x110000, np.int32)
+        self.table[_SPACES] = -1
+
+    def add(self, texts: list[str]) -> bool:
+        """False if the lines have more characters than fit into a number; then nothing is counted."""
+        codes = _codes(texts)
+        found = self.table[codes]
+        if len(new := np.unique(codes[found == 0])):
+            if len(self.names) + len(new) > 1 << self.bits:
+                return False
+            self.table[new] = np.arange(len(self.names), len(self.names) + len(new))
+            self.names += [chr(c) for c in new.tolist()]
+            found = self.table[codes]
+        letters = found > 0
+        ends = np.cumsum(np.array([len(t) for t in texts], np.int64))
+        n = np.diff(np.concatenate([[0], np.cumsum(letters)])[np.concatenate([[0], ends])])
+        n = n[n > 0] + 2
+        last = np.cumsum(n + self.order - 1) - self.order  # and zeros after each </s>
+        first = last - n + 1
+        tokens = np.zeros(int((n + self.order - 1).sum()), np.int64)
+        inner = np.ones(len(tokens), bool)
+        for k in range(self.order):
+            inner[last + k] = False
+        inner[first] = False
+        tokens[inner] = found[letters]
+        tokens[first], tokens[last] = 1, 2
+        keys = tokens.copy()
+        for k in range(1, self.order):
+            keys <<= self.bits
+            keys[:-k] |= tokens[k:]
+        keys = np.sort(keys[tokens > 0])
+        if len(keys):
+            at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            self.parts.append((keys[at], np.diff(np.append(at, len(keys)))))
+        if sum(len(k) for k, _ in self.parts) > max(1_000_000, 2 * len(self.total[0])):
+            self.merge()
+        return True
+
+    def merge(self) -> None:
+        self.total, self.parts = _merged([self.total, *self.parts]), []
+
+    def taken(self) -> Iterator[pa.RecordBatch]:
+        """What has been counted, as text; then nothing is."""
+        self.merge()
+        keys, counts = self.total
+        names = pa.array(self.names, pa.string())
+        for i in range(0, len(keys), 50_000):
+            part = keys[i : i + 50_000]
+            tokens = [names.take(pa.array(part >> self.bits * k & (1 << self.bits) - 1)) for k in range(self.order - 1, -1, -1)]
+            grams = pc.binary_join_element_wise(*tokens, " ", null_handling="skip")
+            yield pa.RecordBatch.from_arrays([grams, pa.array(counts[i : i + 50_000])], ["ngram", "c"])
+        self.clear()
+
+
+def _counted_plainly(text: str, order: int) -> Iterator[pa.RecordBatch]:
+    """The same of one line with more characters than fit into a number."""
+    tokens = [BOS, *(c for c in text if ord(c) not in _SPACES), EOS]
+    found = Counter(" ".join(tokens[i : i + order]) for i in range(len(tokens)))
+    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["ngram", "c"])
 
 
 def _counted(order: int):
-    """Counts of the n-grams of a batch of token arrays: a row for each different one."""
+    """Counts of a task's `order` tokens from each place on: a row for each different one, and again every _HELD."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _Counter(order)
         for batch in batches:
-            column = batch.column(0)
-            flat = column.flatten().dictionary_encode()
-            names = flat.dictionary.to_pylist()
-            tokens, sizes = flat.indices.to_numpy(), np.diff(column.offsets.to_numpy())
-            place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            left = np.repeat(sizes, sizes) - place
-            gram = np.zeros(len(tokens), np.int64)  # the n-gram that starts at each token, as a number
-            grams = [()]
-            for n in range(1, order + 1):
-                at = np.flatnonzero(left >= n)
-                keys, which, counts = np.unique(gram[at] * len(names) + tokens[at + n - 1], return_inverse=True, return_counts=True)
-                grams = [(*grams[k // len(names)], names[k % len(names)]) for k in keys.tolist()]
-                gram[at] = which
-                for i in range(0, len(grams), 50_000):
-                    part = [" ".join(g) for g in grams[i : i + 50_000]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), n, np.int32)), pa.array(part, pa.string()), pa.array(counts[i : i + 50_000])], ["n", "ngram", "c"])
+            todo = list(_pieces(batch.column(0).drop_null().to_pylist(), _PIECE))[::-1]
+            while todo:
+                texts = todo.pop()
+                if not counter.add(texts):
+                    if len(counter.names) > 3:
+                        yield from counter.taken()
+                        todo.append(texts)
+                    elif len(texts) > 1:
+                        todo += [texts[len(texts) // 2 :], texts[: len(texts) // 2]]
+                    else:
+                        yield from _counted_plainly(texts[0], order)
+                elif len(counter.total[0]) > _HELD:
+                    yield from counter.taken()
+        yield from counter.taken()
 
     return run
 
 
 def ngram_counts(df: DataFrame, order: int = 5, text: str = "text") -> DataFrame:
-    """n, ngram, c of the lines that aren't blank; counted by batch, and by task, before the shuffle."""
-    lines = df.filter(script.strip(F.col(text)) != "").select(training_tokens(F.col(text)).alias("t"))
-    return lines.mapInArrow(_counted(order), "n int, ngram string, c long").groupBy("n", "ngram").agg(F.sum("c").alias("c"))
+    """n, ngram, c of the lines that aren't blank.
+
+    The longest n-grams from each place on are counted by task before the shuffle, and the shorter ones from their
+    sums: so many rows as there are different ones, however long the lines.
+    """
+    found = df.select(F.col(text)).mapInArrow(_counted(order), "ngram string, c long").groupBy("ngram").agg(F.sum("c").alias("c"))
+    heads = F.transform(F.sequence(F.lit(1), F.size(F.split("ngram", " "))), lambda n: F.struct(n.alias("n"), F.call_function("substring_index", "ngram", F.lit(" "), n).alias("ngram")))
+    return found.select(F.explode(heads).alias("g"), "c").groupBy("g.n", "g.ngram").agg(F.sum("c").alias("c"))
 
 
 def _suffix(ngram: Column) -> Column:
-    return F.regexp_replace(ngram, r"^[^ ]+ ?", "")
+    return F.when(ngram.contains(" "), F.substr(ngram, F.instr(ngram, " ") + 1)).otherwise("")
 
 
 def _context(ngram: Column) -> Column:
-    return F.regexp_replace(ngram, r" ?[^ ]+$", "")
+    return F.call_function("substring_index", ngram, F.lit(" "), F.length(ngram) - F.length(F.replace(ngram, F.lit(" "), F.lit(""))))
 
 
 def adjusted_counts(counts: DataFrame, order: int = 5) -> DataFrame:
-    """counts with a: c for the highest order and after <s>, else the number of different left neighbours."""
-    left = counts.filter("n > 1").groupBy((F.col("n") - 1).alias("n"), _suffix(F.col("ngram")).alias("ngram")).agg(F.count(F.lit(1)).alias("left"))
-    own = (F.col("n") == order) | F.col("ngram").startswith(BOS)
-    return counts.join(left, ["n", "ngram"], "left").withColumn("a", F.when(own, F.col("c")).otherwise(F.coalesce("left", "c"))).drop("left")
+    """counts with a: c for the highest order and after <s>, else the number of different left neighbours.
+
+    Every n-gram adds to its own row and to its suffix's, so counts are worked out once and shuffled once.
+    """
+    row = lambda n, ngram, c, left: F.struct(n.alias("n"), ngram.alias("ngram"), c.alias("c"), left.alias("left"))
+    n, ngram, c = F.col("n"), F.col("ngram"), F.col("c").cast("long")
+    own, of_suffix = row(n, ngram, c, F.lit(0).cast("long")), row(n - 1, _suffix(ngram), F.lit(None).cast("long"), F.lit(1).cast("long"))
+    both = counts.select(F.explode(F.when(n > 1, F.array(own, of_suffix)).otherwise(F.array(own))).alias("g")).select("g.*")
+    out = both.groupBy("n", "ngram").agg(F.sum("c").alias("c"), F.sum("left").alias("left")).filter("c IS NOT NULL")
+    kept = (n == order) | ngram.startswith(BOS) | (F.col("left") == 0)
+    return out.select("n", "ngram", "c", F.when(kept, F.col("c")).otherwise(F.col("left")).alias("a"))
 
 
 def discounts(adjusted: DataFrame) -> DataFrame:
@@ -150,23 +261,59 @@ def score_windows(found: DataFrame, model: DataFrame, order: int) -> DataFrame:
     return best.select("window", (F.coalesce("hit.logprob", F.lit(UNKNOWN)) + sum_back).alias("logprob"))
 
 
+class _Table:
+    """Numbers of one order's n-grams by hash, with their logprob and backoff at the same places."""
+
+    def __init__(self, numbers: np.ndarray, logprob: np.ndarray, backoff: np.ndarray):
+        bits = max(4, (2 * len(numbers)).bit_length())  # at most half full
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, -1, np.int64)
+        at, todo = self._start(numbers), np.arange(len(numbers))
+        places = at.copy()
+        while len(todo):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = numbers[todo[free]]
+            placed = self.keys[at] == numbers[todo]
+            places[todo[placed]] = at[placed]
+            todo, at = todo[~placed], at[~placed] + 1 & self.last
+        self.logprob, self.backoff = np.zeros(1 << bits), np.zeros(1 << bits)
+        self.logprob[places], self.backoff[places] = logprob, backoff
+
+    def _start(self, numbers: np.ndarray) -> np.ndarray:
+        return (numbers.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of numbers, and whether they are there."""
+        at = self._start(numbers)
+        found = self.keys[at]
+        known = found == numbers
+        going = np.flatnonzero(~known & (found >= 0))
+        while len(going):
+            at[going] = at[going] + 1 & self.last
+            found = self.keys[at[going]]
+            hit = found == numbers[going]
+            known[going[hit]] = True
+            going = going[~hit & (found >= 0)]
+        return at, known
+
+
 class LocalModel:
-    """A model in arrays: the n-grams of each order as sorted numbers, with their logprob and backoff."""
+    """A model in arrays: the n-grams of each order as numbers, found by hash, with their logprob and backoff."""
 
-    def __init__(self, rows: list, order: int):
-        grams = [(r.ngram.split(" "), r.logprob, r.backoff) for r in rows]
-        self.tokens = {t: i for i, t in enumerate(sorted({t for g, *_ in grams for t in g}), 1)}  # 0: any other
+    def __init__(self, grams: list[str], logprob: np.ndarray, backoff: np.ndarray, order: int):
+        split = [g.split(" ") for g in grams]
+        self.tokens = {t: i for i, t in enumerate(sorted({t for g in split for t in g}), 1)}  # 0: any other
         self.order, self.bits = order, (len(self.tokens) + 1).bit_length()
-        self.tables = []
-        for n in range(1, order + 1):
-            found = sorted((self.number(g), p, b) for g, p, b in grams if len(g) == n)
-            self.tables.append(tuple(np.array([x[k] for x in found], t) for k, t in enumerate((np.int64, float, float))))
         self.pad = len(self.tokens) + 1  # before the start of a text
         codes = {ord(t): i for t, i in self.tokens.items() if len(t) == 1 and t != " "}
         self.codes = np.zeros(max([*codes, ord("␠")]) + 1, np.int64)
         for c, i in codes.items():
             self.codes[c] = i
         self.codes[ord(" ")] = self.tokens.get("␠", 0)
+        if self.exact:
+            sizes = np.array([len(g) for g in split], np.int64)
+            numbers = np.array([self.number(g) for g in split], np.int64)
+            self.tables = [_Table(numbers[sizes == n], logprob[sizes == n], backoff[sizes == n]) for n in range(1, order + 1)]
 
     @property
     def exact(self) -> bool:
@@ -180,67 +327,96 @@ class LocalModel:
 
     def scores(self, texts: list[str], bos: bool, eos: bool) -> np.ndarray:
         """The longest known n-gram of every place, with the back-offs of the longer ones, summed by text."""
+        return np.concatenate([np.zeros(0), *(self._scores(p, bos, eos) for p in _pieces(texts, 1 << 16))])
+
+    def _scores(self, texts: list[str], bos: bool, eos: bool) -> np.ndarray:
         head, tail = ([self.tokens.get(t, 0)] * on for t, on in ((BOS, bos), (EOS, eos)))
-        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        codes = _codes(texts)
         letters = np.where(codes < len(self.codes), self.codes[np.minimum(codes, len(self.codes) - 1)], 0)
-        sizes = np.array([len(t) for t in texts], np.int64)
-        n = sizes + bos + eos
-        first = np.cumsum(n) - n
-        tokens = np.zeros(int(n.sum()), np.int64)
-        tokens[np.repeat(first + bos - np.cumsum(sizes) + sizes, sizes) + np.arange(len(letters))] = letters
+        before = self.order - 1
+        n = np.array([len(t) for t in texts], np.int64) + bos + eos
+        first = np.cumsum(n + before) - n  # after the places before the text
+        tokens = np.full(int(n.sum()) + before * len(n), -1, np.int64)
+        for k in range(1, before + 1):
+            tokens[first - k] = self.pad
         if bos:
             tokens[first] = head[0]
         if eos:
             tokens[first + n - 1] = tail[0]
-        place = np.arange(len(tokens)) - np.repeat(first, n)
+        inner = tokens < 0
+        tokens[inner] = letters
+        places = np.ones(len(tokens), bool)
+        for k in range(1, before + 1):
+            places[first - k] = False
         window = tokens.copy()  # of each place: the token and those before it
         for k in range(1, self.order):
-            before = np.full(len(tokens), self.pad)
-            before[k:] = np.where(place[k:] >= k, tokens[:-k], self.pad)
-            window += before << (self.bits * k)
-        windows, which = np.unique(window, return_inverse=True)
-        return np.bincount(np.repeat(np.arange(len(texts)), n), self._values(windows)[which], len(texts))
-
-    def _found(self, n: int, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the table of order n, and whether they are there."""
-        names = self.tables[n - 1][0]
-        at = np.minimum(np.searchsorted(names, numbers), max(len(names) - 1, 0))
-        return at, names[at] == numbers if len(names) else np.zeros(len(numbers), bool)
+            window[k:] |= tokens[:-k] << self.bits * k
+        return np.bincount(np.repeat(np.arange(len(texts)), n), self._values(window[places]), len(texts))
 
     def _values(self, windows: np.ndarray) -> np.ndarray:
         """Of windows: the longest known n-gram at the end, with the back-offs of the longer ones' contexts."""
         value, open_ = np.zeros(len(windows)), np.arange(len(windows))
         for n in range(self.order, 0, -1):
-            at, known = self._found(n, windows[open_] & ((1 << self.bits * n) - 1))
-            if known.any():
-                value[open_[known]] += self.tables[n - 1][1][at[known]]
+            table = self.tables[n - 1]
+            at, known = table.find(windows[open_] & ((1 << self.bits * n) - 1))
+            value[open_[known]] += table.logprob[at[known]]
             open_ = open_[~known]
             if n > 1:  # a context that begins before the text isn't in the table
-                at, known = self._found(n - 1, windows[open_] >> self.bits & ((1 << self.bits * (n - 1)) - 1))
-                if known.any():
-                    value[open_[known]] += self.tables[n - 2][2][at[known]]
+                table = self.tables[n - 2]
+                at, known = table.find(windows[open_] >> self.bits & ((1 << self.bits * (n - 1)) - 1))
+                value[open_[known]] += table.backoff[at[known]]
         value[open_] += UNKNOWN
         return value
 
 
+def local_model(model: DataFrame, order: int, most: int = MAX_LOCAL) -> LocalModel | None:
+    """The model in arrays, to go to the tasks; none if it has more than `most` n-grams or too many characters."""
+    rows = model.filter(F.col("n") <= order).select("ngram", "logprob", F.coalesce("backoff", F.lit(0.0)).alias("backoff")).limit(most + 1).toArrow()
+    if len(rows) > most:
+        return None
+    local = LocalModel(rows["ngram"].to_pylist(), rows["logprob"].to_numpy(), rows["backoff"].to_numpy(), order)
+    return local if local.exact else None
+
+
+def with_column(df: DataFrame, name: str, kind: T.DataType, f) -> DataFrame:
+    """df with a column from a function of its Arrow batches; not to be copied into filters above it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, f(batch)], [*batch.schema.names, name])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, kind)]))
+
+
 def score(df: DataFrame, model: DataFrame, order: int, key: list[str], text: str = "text", bos: bool = True, eos: bool = True, most: int = MAX_LOCAL) -> DataFrame:
     """key, score: log10 probability of each text.
 
     A model of at most `most` n-grams goes to the tasks, and texts stay where they are; beyond that, every
     different window is scored once by joins. A null text scores 0, like a missing model.
     """
-    rows = model.filter(F.col("n") <= order).select("ngram", "logprob", F.coalesce("backoff", F.lit(0.0)).alias("backoff")).limit(most + 1).collect()
-    local = LocalModel(rows, order) if len(rows) <= most else None
-    if local is None or not local.exact:
+    local = local_model(model, order, most)
+    if local is None:
         return score_by_joins(df, model, order, key, text, bos, eos)
 
-    @F.pandas_udf(T.DoubleType())
-    def scored(texts: pd.Series) -> pd.Series:
-        found = local.scores([x or "" for x in texts], bos, eos)
-        return pd.Series(np.where(texts.isna(), 0.0, found))
+    def scored(batch: pa.RecordBatch) -> pa.Array:
+        texts = batch.column(0)
+        found = local.scores([x or "" for x in texts.to_pylist()], bos, eos)
+        return pa.array(np.where(texts.is_null().to_numpy(zero_copy_only=False), 0.0, found))
+
+    rows = df.select(F.col(text).alias("__text"), *key)
+    return with_column(rows, "score", T.DoubleType(), scored).select(*key, "score")
+
+
+def with_scores(df: DataFrame, local: LocalModel, candidates: str, name: str) -> DataFrame:
+    """df with the log10 probabilities of the texts in an array of candidates, in its order."""
+
+    def scored(batch: pa.RecordBatch) -> pa.Array:
+        lists = batch.column(batch.schema.get_field_index(candidates))
+        offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy())])
+        found = local.scores([x or "" for x in pc.struct_field(lists.flatten(), "text").to_pylist()], True, True)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found))
 
-    # Not to be copied into filters above it, which would run it twice.
-    return df.select(*key, scored.asNondeterministic()(F.col(text)).alias("score"))
+    return with_column(df, name, T.ArrayType(T.DoubleType()), scored)
 
 
 def score_by_joins(df: DataFrame, model: DataFrame, order: int, key: list[str], text: str = "text", bos: bool = True, eos: bool = True) -> DataFrame:
