@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ductus.functions import script
 from ductus.operators import language_model, rules as rule_ops
-from ductus.operators.rerank import rerank
+from ductus.operators.rerank import best_of, rerank
 from ductus.plans.store import stored
 from ductus.sources.names import MODES
 
@@ -18,12 +19,32 @@ from ductus.sources.names import MODES
 Generator = Callable[[DataFrame, list[str]], DataFrame]
 
 
-def unchanged(lines: DataFrame, key: list[str]) -> DataFrame:
+CANDIDATES = "array<struct<beam:int,text:string,score:double,n_tokens:int>>"
+
+
+class RowGenerator:
+    """A generator whose candidates come from the text alone: normalise() then keeps each line where it is."""
+
+    def candidates(self, text: Column) -> Column:
+        """An array of beam, text, score and n_tokens; of a null text null."""
+        raise NotImplementedError
+
+    def __call__(self, lines: DataFrame, key: list[str]) -> DataFrame:
+        found = lines.select(*key, F.explode(self.candidates(F.col("text")).cast(CANDIDATES)).alias("c"))
+        return found.select(*key, "c.beam", "c.text", "c.score", "c.n_tokens")
+
+
+class _Unchanged(RowGenerator):
     """The generator to use without a model: each line is its only candidate."""
-    return lines.select(*key, F.lit(1).alias("beam"), "text", F.lit(0.0).alias("score"), F.length("text").alias("n_tokens"))
 
+    def candidates(self, text: Column) -> Column:
+        return F.array(F.struct(F.lit(1).alias("beam"), text.alias("text"), F.lit(0.0).alias("score"), F.length(text).alias("n_tokens")))
 
-class NeuralGenerator:
+
+unchanged = _Unchanged()
+
+
+class NeuralGenerator(RowGenerator):
     """Candidates from a trained sequence model, one batch of lines at a time.
 
     load() is called once in each task and gives a function from texts to lists of (text, score, n_tokens) in
@@ -34,20 +55,18 @@ class NeuralGenerator:
     def __init__(self, load: Callable[[], Callable[[list[str]], list[list[tuple[str, float, int]]]]]):
         self.load = load
 
-    def __call__(self, lines: DataFrame, key: list[str]) -> DataFrame:
+    def candidates(self, text: Column) -> Column:
         load = self.load
-        kept = lines.select(*key, "text")
-
-        def run(parts):
-            import pandas as pd
 
+        @F.pandas_udf(CANDIDATES)
+        def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             decode = load()
-            for pdf in parts:
-                rows = [(*k, i, *c) for k, found in zip(pdf[key].itertuples(index=False), decode(pdf["text"].tolist())) for i, c in enumerate(found, 1)]
-                yield pd.DataFrame(rows, columns=[*key, "beam", "text", "score", "n_tokens"])
+            for texts in parts:
+                some = texts[texts.notna()]
+                found = dict(zip(some.index, decode(some.tolist())))
+                yield pd.Series([[dict(beam=i, text=t, score=s, n_tokens=n) for i, (t, s, n) in enumerate(found[k], 1)] if k in found else None for k in texts.index], dtype=object)
 
-        keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema if f.name in key)
-        return kept.mapInPandas(run, f"{keys}, beam int, text string, score double, n_tokens int")
+        return run.asNondeterministic()(text)
 
 
 def beam_search(step: Callable[[list[int]], list[float]], width: int = 5, longest: int = 200, start: int = 1, end: int = 2, banned: tuple[int, ...] = (3,)) -> list[tuple[list[int], float]]:
@@ -108,23 +127,34 @@ def normalise(
     ruled = lambda c: rule_ops.normalise(F.col(c), list(rules or []))
     now = lines.select(*key, F.col("text"), (ruled("text") if steps[0] == "rules" else F.col("text")).alias("__now"))
     if "neural" in steps:
-        now = stored(now.withColumn("__row", F.monotonically_increasing_id()))
-        row = ["__row"]
-        nbest = generator(now.filter("__now IS NOT NULL").select(*row, F.col("__now").alias("text")), row)
-        if "lm" in steps and lm_backend == "none":
+        ranked = "lm" in steps and lm_backend != "none"
+        if "lm" in steps and not ranked:
             warnings.warn(f"mode {name} without its language model", stacklevel=2)
-        if "lm" in steps and lm_backend != "none":
-            best = rerank(_with_lm(nbest, model, order), row)
+        local = language_model.local_model(model, order) if ranked else None
+        if isinstance(generator, RowGenerator) and (local or not ranked):
+            now = _best_in_rows(now, generator, local)
         else:
-            best = rerank(nbest, row, lm=None)
-        best = best.select("__row", F.col("text").alias("__best"))
-        now = now.join(best, "__row", "left").withColumn("__now", F.coalesce("__best", "__now"))
+            now = stored(now.withColumn("__row", F.monotonically_increasing_id()))
+            row = ["__row"]
+            nbest = generator(now.filter("__now IS NOT NULL").select(*row, F.col("__now").alias("text")), row)
+            best = rerank(_with_lm(nbest, model, order), row) if ranked else rerank(nbest, row, lm=None)
+            best = best.select("__row", F.col("text").alias("__best"))
+            now = now.join(best, "__row", "left").withColumn("__now", F.coalesce("__best", "__now"))
         if steps[-1] == "rules":
             now = now.withColumn("__now", ruled("__now"))
     blank = script.strip(F.col("text")) == ""
     return now.select(*key, "text", F.when(blank, "").otherwise(F.col("__now")).alias("normalised"))
 
 
+def _best_in_rows(now: DataFrame, generator: RowGenerator, local: language_model.LocalModel | None) -> DataFrame:
+    """now with the best candidate as __now; a line without any keeps it. No row leaves its task."""
+    found = generator.candidates(F.col("__now")).cast(CANDIDATES)
+    now = now.withColumn("__c", F.when(F.col("__now").isNotNull(), found))
+    if local is not None:
+        now = language_model.with_scores(now, local, "__c", "__lm")
+    return now.withColumn("__now", F.coalesce(best_of(F.col("__c"), None if local is None else F.col("__lm")), "__now")).drop("__c", "__lm")
+
+
 def _with_lm(nbest: DataFrame, model: DataFrame, order: int) -> DataFrame:
     """Candidates with their log10 probability as `lm`."""
     kept = nbest.withColumnRenamed("score", "__score")

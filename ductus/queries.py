@@ -10,7 +10,7 @@ from ductus.functions.draws import duck_draws, duck_uniform
 from ductus.operators import augment, clean, evaluate, language_model, lines as line_ops, rerank, rules as rule_ops, tokenise, vocab
 from ductus.plans import fixture
 from ductus.plans.fixture import RULES, SQL, latin_lines, script_lines
-from ductus.plans.modes import normalise
+from ductus.plans.modes import RowGenerator, normalise
 from ductus.sources import arpa, dictionaries, reports
 from ductus.sources.names import MODES
 from ductus.sources.text import first_lines
@@ -404,11 +404,12 @@ def rerank_best(spark, d):
 _RULED = lambda x: _sql_punctuation(_sql_expand(x), script.MODE_SHADS)
 
 
-def _three(lines, key):
+class _Three(RowGenerator):
     """A fixed generator: the line, the line without its tshegs, the line with a shad; the first has the best score."""
-    rows = lines.withColumn("beam", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
-    text = F.when(F.col("beam") == 1, T()).when(F.col("beam") == 2, F.replace(T(), F.lit("་"), F.lit(""))).otherwise(F.concat(T(), F.lit("།")))
-    return rows.select(*key, "beam", text.alias("text"), (-0.5 * F.col("beam")).alias("score"), F.length(text).alias("n_tokens"))
+
+    def candidates(self, text):
+        texts = (text, F.replace(text, F.lit("་"), F.lit("")), F.concat(text, F.lit("།")))
+        return F.array(*[F.struct(F.lit(k).alias("beam"), t.alias("text"), F.lit(-0.5 * k).alias("score"), F.length(t).alias("n_tokens")) for k, t in enumerate(texts, 1)])
 
 
 def _mode_sql(name: str) -> str:
@@ -431,7 +432,7 @@ SELECT doc_id, line_no, CASE WHEN {_sql_strip('source')} = '' THEN '' ELSE {last
 def _mode(n: int, name: str):
     def run(spark, d):
         model = _model(spark, d) if "lm" in name.split("+") else None
-        return normalise(script_lines(spark, d), n, KEY, RULES, _three, model, _ORDER).select(*KEY, "normalised")
+        return normalise(script_lines(spark, d), n, KEY, RULES, _Three(), model, _ORDER).select(*KEY, "normalised")
 
     run.__name__ = f"mode_{n}"
     query(_mode_sql(name))(run)

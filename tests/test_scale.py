@@ -4,8 +4,10 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from ductus.operators import language_model
+from ductus.plans import modes
 
 
 def plan(df) -> str:
@@ -55,3 +57,22 @@ def test_adjusted_counts_read_the_lines_once(spark):
     left = Counter((n - 1, g.partition(" ")[2]) for n, g in counts if n > 1)
     want = {(n, g): c if n == 3 or g.startswith("<s>") else left.get((n, g), c) for (n, g), c in counts.items()}
     assert {(r.n, r.ngram): r.a for r in out.collect()} == want
+
+
+@pytest.mark.parametrize("mode", [2, 3, 4, 5, 6])
+def test_candidates_of_a_row_stay_in_its_task(spark, mode):
+    class Three(modes.RowGenerator):
+        def candidates(self, text):
+            texts = (text, F.replace(text, F.lit("་"), F.lit("")), F.concat(text, F.lit("།")))
+            some = F.array(*[F.struct(F.lit(k).alias("beam"), t.alias("text"), F.lit(-0.5 * k).alias("score"), F.length(t).alias("n_tokens")) for k, t in enumerate(texts, 1)])
+            return F.filter(some, lambda c: ~text.contains("ཨ"))  # a line with that letter has no candidate
+
+    rng = random.Random(mode)
+    texts = [None, "", "  ", "ཨཀ་", *("".join(rng.choice("ཀཁག་༎ ") for _ in range(rng.randrange(12))) for _ in range(60))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    model = language_model.estimate(rows, 3, (0, 0, 0)) if mode in (3, 4, 5) else None
+    rules = [("ཀཁ", "ག")]
+    inside = modes.normalise(rows, mode, ["k"], rules, Three(), model, 3)
+    apart = modes.normalise(rows, mode, ["k"], rules, lambda lines, key: Three()(lines, key), model, 3)
+    assert "Aggregate" not in plan(inside) and "Join" not in plan(inside)
+    assert {tuple(r) for r in inside.collect()} == {tuple(r) for r in apart.collect()}
