@@ -128,7 +128,7 @@ def change_log_counts(spark, d):
 # Dictionaries: a row for every line, its first word and the rest of it.
 def _dictionary_lines(spark, d):
     t = F.col("text")
-    first, rest = F.regexp_extract(t, "^([^ ]*)", 1), F.regexp_extract(t, "^[^ ]* *(.*)$", 1)
+    first, rest = F.regexp_extract(t, "^([^ ]*)", 1), F.regexp_extract(t, r"(?s)^[^ ]* *(.*)\z", 1)
     row = F.concat(F.lit("["), first, F.lit("]\tx ["), rest, F.lit("]"))
     number = F.col("doc_id") * 1_000_000 + F.col("line_no")
     return latin_lines(spark, d).select(number.alias("line_no"), F.when(number % 7 == 6, F.translate(row, "\t", " ")).otherwise(row).alias("text"))
@@ -150,7 +150,7 @@ def load_rules_dict(spark, d):
 @query(f"""WITH {_DICTIONARY}, b AS (SELECT line_no, trim(regexp_replace(text, '[\\[\\]]', '', 'g')) AS t FROM dl)
 SELECT line_no AS ord, trim(regexp_extract(t, '^(.*?)(\\t+|\\s{{2,}})', 1)) AS abbrev, trim(regexp_replace(t, '^(.*?)(\\t+|\\s{{2,}})', '')) AS expansion FROM b WHERE regexp_matches(t, '\\t|\\s\\s')""")
 def dict_pairs(spark, d):
-    return dictionaries.pairs(_dictionary_lines(spark, d))
+    return dictionaries.pairs(_dictionary_lines(spark, d), empty=True)
 
 
 # Vocabularies.

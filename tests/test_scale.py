@@ -76,3 +76,19 @@ def test_candidates_of_a_row_stay_in_its_task(spark, mode):
     apart = modes.normalise(rows, mode, ["k"], rules, lambda lines, key: Three()(lines, key), model, 3)
     assert "Aggregate" not in plan(inside) and "Join" not in plan(inside)
     assert {tuple(r) for r in inside.collect()} == {tuple(r) for r in apart.collect()}
+
+
+def test_dictionary_rows_of_odd_lines(spark, tmp_path):
+    """Lines of every kind of white space, and without a first word, as the SQL has them."""
+    import duckdb
+
+    from ductus import queries
+
+    odd = ["", " ", "  ", " a", "a ", "a  b", "a   b  c", "]", "[", "[] x", "[a] b", "\t", "\ta", "a\t", "a\tb c", "a \t b", "a\t\tb", "\r", "a b\r", "a\rb c", "a b\x0b", "a b\u00a0", "\u00a0 a", "a\u3000\u3000b c", "a b\u2028c", "a\u0085b c", "a b \x1f"]
+    rows = [(k, "\n".join(odd[k:] + odd[:k])) for k in range(len(odd))] + [(100, ""), (101, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in ("dict_pairs", "load_rules_dict"):
+        want = sorted(tuple(map(str, r)) for r in duck.sql(queries.ORACLES[name]).fetchall())
+        assert sorted(tuple(map(str, r)) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()) == want
