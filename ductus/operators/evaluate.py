@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ductus.functions.draws import draws
+from ductus.functions.draws import many_draws
 
 METRICS = ("character_error_rate", "precision", "recall", "f1_score", "correcting_recall", "correcting_precision")
 
@@ -41,9 +40,118 @@ def edit_distance_of(a: str, b: str) -> int:
     return distance
 
 
-@F.pandas_udf(T.LongType())
-def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else edit_distance_of(x, y) for x, y in zip(a, b)], dtype="Int64")
+#: Pairs that are worked on at once: at least so many; bytes of their tables of letters, and numbers in a step.
+_LEAST, _TABLES, _ELEMENTS = 24, 32 << 20, 1 << 15
+
+
+def edit_distances(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """edit_distance_of() of many pairs: a column of all their tables at a time, as 64-bit numbers."""
+    out = np.zeros(len(pairs), np.int64)
+    todo = []
+    for i, (a, b) in enumerate(pairs):
+        if a == b or not a or not b:
+            out[i] = 0 if a == b else len(a) + len(b)
+        else:
+            todo.append((len(a), i))
+    todo.sort()
+    sizes = np.array([n for n, _ in todo], np.int64)
+    low = 0
+    while low < len(todo):
+        # Up to a quarter more blocks than the first has; junk below a shorter text's last row doesn't reach up.
+        words = -(-int(sizes[low]) // 64)
+        high = int(np.searchsorted(sizes, 64 * (words + words // 4), "right"))
+        which = [i for _, i in todo[low:high]]
+        _distances([pairs[i] for i in which], np.array(which), out)
+        low = high
+    return out
+
+
+def _matrix(texts: list[str], table: np.ndarray, width: int) -> np.ndarray:
+    """Numbers of the letters, a text a row, zeros behind it."""
+    n = np.array([len(t) for t in texts])
+    out = np.zeros((len(texts), width), np.int32)
+    out[np.arange(width) < n[:, None]] = table[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")]
+    return out
+
+
+def _distances(pairs: list[tuple[str, str]], which: np.ndarray, out: np.ndarray) -> None:
+    """Puts the distances of pairs of nonempty texts, the first ones of about one length, to their places in out."""
+    codes = np.unique(np.frombuffer("".join(a for a, _ in pairs).encode("utf-32-le", "surrogatepass"), "<u4"))
+    letters = len(codes) + 1  # 0: any other
+    words = -(-max(len(a) for a, _ in pairs) // 64)
+    most = min(_TABLES // (8 * letters * words), max(_LEAST, _ELEMENTS // words))
+    if min(most, len(pairs)) < _LEAST:
+        for i, p in zip(which, pairs):
+            out[i] = edit_distance_of(*p)
+        return
+    table = np.zeros(0x110000, np.int32)
+    table[codes] = np.arange(1, letters)
+    order = sorted(range(len(pairs)), key=lambda i: -len(pairs[i][1]))
+    for low in range(0, len(order), most):
+        part = order[low : low + most]
+        out[which[part]] = _columns([pairs[i][0] for i in part], [pairs[i][1] for i in part], table, letters, words)
+
+
+def _columns(down: list[str], along: list[str], table: np.ndarray, letters: int, words: int) -> np.ndarray:
+    """Distances of two lists of texts, the second by falling length: rows of a table are the bits of `words` numbers."""
+    size, one, top = len(down), np.uint64(1), np.uint64(63)
+    base = np.arange(size) * letters
+    rows = _matrix(down, table, 64 * words).T
+    where = np.zeros((words, size * letters), np.uint64)  # rows in which a letter stands
+    for i in range(64 * words):
+        where[i // 64][base + rows[i]] |= np.uint64(1 << i % 64)
+    where[:, base] = 0
+    n = np.array([len(t) for t in along])
+    last = int(n[0])
+    # All texts end in the last column. Before a text's first letter nothing comes in, and its numbers stay.
+    steps = np.ascontiguousarray(_matrix(along, table, last)[:, ::-1].T)
+    for i, k in enumerate(n.tolist()):
+        steps[last - k :, i] = steps[last - k :, i][::-1]
+    steps = steps + base
+    started = size - np.searchsorted(n[::-1], last - np.arange(last), "left")
+    where, block = where.ravel(), np.arange(words)[:, None] * (size * letters)
+    up, down_ = np.full((words, size), ~np.uint64(0)), np.zeros((words, size), np.uint64)  # where the next row is one more, one less
+    more, less = np.zeros((2, words + 1, size), np.uint64)  # what comes into a block from the one above
+    buffers, places = np.empty((4, words, size), np.uint64), np.empty((words, size), np.int64)
+    for step in range(last + words - 1):  # a block is a column behind the one above
+        k = int(started[min(step, last - 1)])
+        a, b = max(0, step - last + 1), min(words, step + 1)
+        more[0, :k] = 1
+        here, flat, x, y = (c[a:b, :k] for c in buffers)
+        p, m, at, more_in, less_in = (c[a:b, :k] for c in (up, down_, places, more, less))
+        np.add(steps[step - b + 1 : step - a + 1, :k][::-1], block[a:b], out=at)
+        where.take(at, out=here, mode="clip")
+        np.bitwise_or(here, m, out=flat)
+        np.bitwise_or(here, less_in, out=here)
+        np.bitwise_and(here, p, out=x)
+        np.add(x, p, out=x)
+        np.bitwise_xor(x, p, out=x)
+        np.bitwise_or(x, here, out=x)
+        np.bitwise_or(x, p, out=y)
+        np.invert(y, out=y)
+        np.bitwise_or(y, m, out=y)  # one more to the right
+        np.bitwise_and(x, p, out=x)  # one less
+        np.left_shift(y, one, out=here)
+        np.bitwise_or(here, more_in, out=here)
+        np.right_shift(y, top, out=more[a + 1 : b + 1, :k])
+        np.left_shift(x, one, out=y)
+        np.bitwise_or(y, less_in, out=y)
+        np.right_shift(x, top, out=less[a + 1 : b + 1, :k])
+        np.bitwise_or(flat, here, out=x)
+        np.invert(x, out=x)
+        np.bitwise_or(x, y, out=p)
+        np.bitwise_and(here, flat, out=m)
+    m = np.array([len(t) for t in down])
+    rows = np.clip(m - 64 * np.arange(words)[:, None], 0, 64).astype(np.uint64)
+    mask = np.where(rows == 64, ~np.uint64(0), (one << np.minimum(rows, top)) - one)
+    return n + (np.bitwise_count(up & mask).astype(np.int64) - np.bitwise_count(down_ & mask)).sum(axis=0)
+
+
+@F.arrow_udf(T.LongType())
+def edit_distance(a: pa.Array, b: pa.Array) -> pa.Array:
+    null = np.array([x is None or y is None for x, y in zip(a.to_pylist(), b.to_pylist())], bool)
+    pairs = [(x or "", y or "") for x, y in zip(a.to_pylist(), b.to_pylist())]
+    return pa.array(edit_distances(pairs), pa.int64(), mask=null)
 
 
 def character_error_rate(reference: Column, hypothesis: Column) -> Column:
@@ -52,35 +160,38 @@ def character_error_rate(reference: Column, hypothesis: Column) -> Column:
     return F.when(F.length(reference) == 0, empty).otherwise(edit_distance(reference, hypothesis) / F.length(reference))
 
 
-def _codes(texts: pd.Series, like: list[np.ndarray]) -> list[np.ndarray]:
-    """Code points of the texts, with zeros up to the given lengths."""
-    out = []
-    for x, n in zip(texts, like):
-        codes = np.zeros(n, np.uint32)
-        found = np.frombuffer((x or "").encode("utf-32-le", "surrogatepass"), "<u4")
-        codes[: len(found)] = found + 1
-        out.append(codes)
+def _codes(texts: list[str], sizes: np.ndarray) -> np.ndarray:
+    """Code points of the texts and one more, each text with zeros up to its given length."""
+    n = np.array([len(t) for t in texts], np.int64)
+    kept = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(n, sizes)
+    out = np.zeros(len(kept), np.uint32)
+    out[kept] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4") + 1
     return out
 
 
 _STATISTICS = T.StructType([T.StructField(c, T.LongType()) for c in ("distance", "matches", "n_reference", "n_hypothesis", "e_total", "e_ident", "c_corr")])
 
 
-@F.pandas_udf(_STATISTICS)
-def _statistics(reference: pd.Series, hypothesis: pd.Series, source: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(_STATISTICS)
+def _statistics(reference: pa.Array, hypothesis: pa.Array, source: pa.Array) -> pa.Array:
     """What a line adds to every metric; a null text makes null statistics of what it is part of."""
-    texts = (reference, hypothesis, source)
-    sizes = [max(len(x or "") for x in row) for row in zip(*texts)]
-    none = [x.isna().to_numpy() for x in texts]
-    out = np.zeros((len(reference), 7), np.int64)
-    for k, (r, h, s, rt, ht) in enumerate(zip(*(_codes(x, sizes) for x in texts), reference, hypothesis)):
-        differs, kept = s != r, h == r
-        out[k] = (edit_distance_of(rt or "", ht or ""), (kept & (r > 0)).sum(), (r > 0).sum(), (h > 0).sum(), differs.sum(), (s != h).sum(), (differs & kept).sum())
-    found = pd.DataFrame(out, columns=_STATISTICS.names).astype("Int64")
-    r, h, s = none
-    for c, missing in (("distance", r | h), ("matches", r | h), ("n_reference", r), ("n_hypothesis", h), ("e_total", r | s), ("e_ident", h | s), ("c_corr", r | h | s)):
-        found.loc[missing, c] = pd.NA
-    return found
+    r_null, h_null, s_null = (x.is_null().to_numpy(zero_copy_only=False) for x in (reference, hypothesis, source))
+    texts = [[t or "" for t in x.to_pylist()] for x in (reference, hypothesis, source)]
+    sizes = np.array([max(map(len, row)) for row in zip(*texts)], np.int64)
+    r, h, s = (_codes(x, sizes) for x in texts)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    by_line = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[ends])
+    differs, kept = s != r, h == r
+    found = {
+        "distance": (edit_distances(list(zip(texts[0], texts[1]))), r_null | h_null),
+        "matches": (by_line(kept & (r > 0)), r_null | h_null),
+        "n_reference": (by_line(r > 0), r_null),
+        "n_hypothesis": (by_line(h > 0), h_null),
+        "e_total": (by_line(differs), r_null | s_null),
+        "e_ident": (by_line(s != h), h_null | s_null),
+        "c_corr": (by_line(differs & kept), r_null | h_null | s_null),
+    }
+    return pa.StructArray.from_arrays([pa.array(found[c][0], pa.int64(), mask=found[c][1]) for c in _STATISTICS.names], _STATISTICS.names)
 
 
 def line_statistics(df: DataFrame, reference: str = "target", hypothesis: str = "hypothesis", source: str | None = "source") -> DataFrame:
@@ -134,6 +245,16 @@ def replayed_draws(n: int, iterations: int = 1000, seed: int = 42) -> np.ndarray
 POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1)) for k in range(12)])
 
 
+def _weights(seed: int, keys: list[str], iterations: int) -> np.ndarray:
+    """Poisson(1) weights of keys, a column an iteration: how many of POISSON are at most the draw."""
+    u = many_draws(seed, keys, np.full(len(keys), iterations)).reshape(len(keys), iterations)
+    out = np.zeros(u.shape, np.uint8)
+    for bound in np.ceil(POISSON * 4294967296.0).astype(np.int64).tolist():
+        if bound < 1 << 32:
+            out += u >= np.uint32(bound)
+    return out
+
+
 def _resampled(iterations: int, seed: int):
     """Sums of the statistics of a task's lines, weighted anew in every iteration."""
 
@@ -143,8 +264,7 @@ def _resampled(iterations: int, seed: int):
             keys = batch.column(0).to_pylist()
             x = np.column_stack([np.ones(len(keys)), *(c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[1:])])
             for low in range(0, len(keys), 1000):
-                u = np.stack([draws(seed, k, iterations) for k in keys[low : low + 1000]])
-                total += np.searchsorted(POISSON, u, "right").T.astype(float) @ x[low : low + 1000]
+                total += _weights(seed, keys[low : low + 1000], iterations).T.astype(float) @ x[low : low + 1000]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(iterations)), *(pa.array(c) for c in total.T)], ["iteration", "n", *STATISTICS])
 
     return run

@@ -3,10 +3,12 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ductus.operators import language_model
+from ductus.functions import draws
+from ductus.operators import evaluate, language_model
 from ductus.plans import modes
 
 
@@ -92,3 +94,49 @@ def test_dictionary_rows_of_odd_lines(spark, tmp_path):
     for name in ("dict_pairs", "load_rules_dict"):
         want = sorted(tuple(map(str, r)) for r in duck.sql(queries.ORACLES[name]).fetchall())
         assert sorted(tuple(map(str, r)) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()) == want
+
+
+def test_edit_distances_of_many_pairs():
+    rng = random.Random(7)
+    letters = "abc𝔘" * 3 + "defgh"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(rng.randrange(n)))
+    pairs = []
+    for n in (3, 64, 66, 130, 300, 700):
+        for _ in range(60):
+            a = word(n)
+            pairs.append((a, word(n)))
+            b = list(a)
+            for _ in range(rng.randrange(9)):
+                b[(i := rng.randrange(len(b) + 1)) : i + rng.randrange(2)] = word(3)
+            pairs.append((a, "".join(b)) if rng.random() < 0.5 else ("".join(b), a))
+    pairs += [("a" * n, "b" * m) for n in (1, 63, 64, 65, 128, 129) for m in (1, 64, 65, 200)] + [("", ""), ("", "a"), ("a", "")]
+    assert evaluate.edit_distances(pairs).tolist() == [evaluate.edit_distance_of(*p) for p in pairs]
+
+
+def test_line_statistics_work_on_batches(spark, monkeypatch):
+    """The pure-Python distance is for a few long texts only; before, it took every line."""
+    rng = random.Random(8)
+    rows = [("".join(rng.choice("abc") for _ in range(rng.randrange(90))), "".join(rng.choice("abc") for _ in range(rng.randrange(90)))) for _ in range(500)]
+    calls = []
+    one = evaluate.edit_distance_of
+    monkeypatch.setattr(evaluate, "edit_distance_of", lambda a, b: calls.append(1) or one(a, b))
+    evaluate.edit_distances(rows)
+    assert len(calls) < 25
+
+
+def test_draws_of_many_keys():
+    rng = random.Random(9)
+    keys = [f"{rng.randrange(10**rng.randrange(1, 12))}:{k}" for k in range(300)] + ["", "é" * 20, "x" * 54, "x" * 70]
+    n = [rng.randrange(12) for _ in keys[:-1]] + [9]
+    n[3] = 5000
+    want = np.concatenate([draws.draws(42, k, m) for k, m in zip(keys, n)])
+    assert (draws.many_draws(42, keys, np.array(n)) / 4294967296.0 == want).all()
+    assert len(draws.many_draws(42, [], np.array([], int))) == 0
+
+
+def test_bootstrap_weights_come_from_batches_of_draws(monkeypatch):
+    """A digest call for every key and place is what took the time."""
+    keys = [f"{k}:{k % 7}" for k in range(200)]
+    want = np.searchsorted(evaluate.POISSON, np.stack([draws.draws(42, k, 301) for k in keys]), "right")
+    monkeypatch.setattr(draws.hashlib, "md5", None)
+    assert (evaluate._weights(42, keys, 301) == want).all()
