@@ -5,7 +5,7 @@ from __future__ import annotations
 import string
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,14 +56,18 @@ def encode(text: Column, ids: dict[str, int], frame: bool = True, longest: int =
     table = np.full(max(codes, default=0) + 2, UNK, np.int32)  # by code point; the last one is for all beyond
     table[list(codes)] = list(codes.values())
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encoded(texts: pd.Series) -> pd.Series:
-        kept = [(x or "")[: longest - 2] if frame else x or "" for x in texts]
-        found = np.frombuffer("".join(kept).encode("utf-32-le", "surrogatepass"), "<u4")
-        rows = np.split(table[np.minimum(found, len(table) - 1)], np.cumsum([len(x) for x in kept])[:-1])
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encoded(texts: pa.Array) -> pa.Array:
+        kept = [(x or "")[: longest - 2] if frame else x or "" for x in texts.to_pylist()]
+        n = np.array([len(x) for x in kept], np.int64) + 2 * frame
+        ends = np.cumsum(n)
+        values = np.full(int(n.sum()), -1, np.int32)
         if frame:
-            rows = [np.concatenate([[SOS], r, [EOS]]).astype(np.int32) for r in rows]
-        return pd.Series([r if x is not None else None for r, x in zip(rows, texts)], dtype=object)
+            values[ends - n], values[ends - 1] = SOS, EOS
+        found = np.frombuffer("".join(kept).encode("utf-32-le", "surrogatepass"), "<u4")
+        values[values < 0] = table[np.minimum(found, len(table) - 1)]
+        none = texts.is_null()
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values), mask=none if texts.null_count else None)
 
     return encoded(text)
 
