@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +17,7 @@ class LongestMatch:
 
     def __init__(self, words: list[str], longest: int = 6):
         self.words, self.longest = {w.rstrip(TSHEG) for w in words}, longest
+        self.starts = {w.partition(TSHEG)[0] for w in self.words}
 
     def __call__(self, text: str) -> list[str]:
         out: list[str] = []
@@ -26,8 +27,10 @@ class LongestMatch:
             syllables = [s for s in syllables if s]
             i = 0
             while i < len(syllables):
-                n = next((n for n in range(min(self.longest, len(syllables) - i), 1, -1) if "".join(syllables[i : i + n]).rstrip(TSHEG) in self.words), 1)
-                out.append("".join(syllables[i : i + n]))
+                n = 1
+                if syllables[i].rstrip(TSHEG) in self.starts:
+                    n = next((n for n in range(min(self.longest, len(syllables) - i), 1, -1) if "".join(syllables[i : i + n]).rstrip(TSHEG) in self.words), 1)
+                out.append(syllables[i] if n == 1 else "".join(syllables[i : i + n]))
                 i += n
         return out
 
@@ -38,16 +41,18 @@ def tokenise(df: DataFrame, tokenizer: Callable[[str], list[str]], text: str = "
     A line that the tokenizer can't read stays as it is; blank lines aren't given to it.
     """
 
-    @F.pandas_udf("tokenised string, error string")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("tokenised string, error string")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
-            rows = []
-            for t in texts:
+            done, errors = [], []
+            for t in texts.to_pylist():
                 try:
-                    rows.append((t if t is None or not t.strip() else " ".join(tokenizer(t)), None))
+                    done.append(t if t is None or not t.strip() else " ".join(tokenizer(t)))
+                    errors.append(None)
                 except Exception as e:  # noqa: BLE001  the line is kept and the error told
-                    rows.append((t, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["tokenised", "error"])
+                    done.append(t)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pa.StructArray.from_arrays([pa.array(done, pa.string()), pa.array(errors, pa.string())], ["tokenised", "error"])
 
     out = df.withColumn("__x", run.asNondeterministic()(F.col(text)))
     return out.select(*df.columns, F.when(F.col("__x.error").isNull(), script.join_marks(F.col("__x.tokenised"))).otherwise(F.col(text)).alias("tokenised"), F.col("__x.error").alias("error"))
