@@ -108,7 +108,7 @@ def many_draws(seed: int, keys: list[str], n: np.ndarray) -> np.ndarray:
                 digests = b"".join([hashlib.md5(heads[r] + str(k).encode()).digest() for k in range(blocks[r])])
                 out[first[r] : first[r] + blocks[r]] = np.frombuffer(digests, ">u4").reshape(-1, 4)
             continue
-        starts, ends = np.frombuffer(b"".join([heads[r].ljust(64, b"\0") for r in rows.tolist()]), "<u4").reshape(-1, 16), _ends(size, -(-most // 256) * 256)
+        starts, ends = np.frombuffer(b"".join([heads[r].ljust(64, b"\0") for r in rows.tolist()]), "<u4").reshape(-1, 16), _ends(size, -(-most // 256) * 256) if most < 4096 else _ends.__wrapped__(size, most)
         heads_in, ends_in = (list(map(np.ascontiguousarray, x.T)) for x in (starts, ends[:most]))
         used = [(w, heads_in[w].any(), ends_in[w].any()) for w in range(16)]
         stops = np.cumsum(blocks[rows])

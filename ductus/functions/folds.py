@@ -6,15 +6,17 @@ The plain functions take and give Python values; the UDFs take columns. Null in,
 from __future__ import annotations
 
 import re
+import struct
+from hashlib import md5
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ductus.functions.draws import draw, draws
-from ductus.functions.script import DELIMITERS, PUNCTUATION, SHAD, TSHEG, UTTERANCE
+from ductus.functions.draws import draw, draws, many_draws
+from ductus.functions.script import DELIMITERS, PUNCTUATION, SHAD, TSHEG, UTTERANCE, WHITE_SPACE
 
 DOUBLE = SHAD * 2
 
@@ -140,7 +142,13 @@ def swap_line(text: str, chance: float, segmented: bool, seed: int, key: str) ->
 
 def chosen(n: int, k: int, seed: int, key: str) -> set[int]:
     """k of n places, drawn without replacement."""
-    return set(np.argsort(draws(seed, key, n), kind="stable")[:k].tolist()) if k else set()
+    if not k:
+        return set()
+    if n > 200:
+        return set(np.argsort(draws(seed, key, n), kind="stable")[:k].tolist())
+    head, m = f"{seed}:{key}:", -(-n // 4)
+    u = struct.unpack(f">{4 * m}I", b"".join([md5(f"{head}{i}".encode()).digest() for i in range(m)]))
+    return {u.index(min(u[:n]))} if k == 1 else set(sorted(range(n), key=u.__getitem__)[:k])
 
 
 def how_many(n: int, ratio: float, seed: int, key: str) -> int:
@@ -152,6 +160,8 @@ def how_many(n: int, ratio: float, seed: int, key: str) -> int:
 def replace_some(text: str, part: str, other: str, ratio: float, seed: int, key: str) -> str:
     """A share of the occurrences of a character or digraph replaced (left to right, not overlapping)."""
     n = text.count(part)
+    if not n:
+        return text
     k = how_many(n, ratio, seed, key)
     if not k:
         return text
@@ -171,19 +181,17 @@ def insert_noise(text: str, chance: float, alphabet: str, seed: int, key: str) -
     return "".join([*out, text[start:]])
 
 
+_SPAN, _DELIMITER = re.compile(f"[^{DELIMITERS}]+[{DELIMITERS}]"), re.compile(f"[{DELIMITERS}]")
+
+
 def _spans(text: str) -> tuple[list[str], str]:
     """Syllables with their delimiter, and what follows the last delimiter."""
-    out, start = [], 0
-    for i, c in enumerate(text):
-        if c in DELIMITERS:
-            if i > start:
-                out.append(text[start : i + 1])
-            start = i + 1
-    return out, text[start:]
+    last = max(map(text.rfind, DELIMITERS))
+    return _SPAN.findall(text), text[last + 1 :]
 
 
 def _n_boundaries(text: str) -> int:
-    return sum(c in DELIMITERS for c in text)
+    return len(_DELIMITER.findall(text))
 
 
 def delete_syllables(text: str, ratio: float, seed: int, key: str) -> str:
@@ -223,14 +231,15 @@ def rule_noise(text: str, letters: float, syllable_share: float, seed: int, key:
 
 def _texts(f, kind=T.StringType(), once: bool = False):
     """An Arrow UDF of a text (and a key) from a plain function; once: not to be copied into filters above it."""
+    arrow = pa.list_(pa.string()) if isinstance(kind, T.ArrayType) else pa.string()
 
-    @F.pandas_udf(kind)
-    def one(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: None if x is None else f(x))
+    @F.arrow_udf(kind)
+    def one(texts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else f(x) for x in texts.to_pylist()], arrow)
 
-    @F.pandas_udf(kind)
-    def keyed(texts: pd.Series, keys: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else f(x, k) for x, k in zip(texts, keys)], dtype=object)
+    @F.arrow_udf(kind)
+    def keyed(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else f(x, k) for x, k in zip(texts.to_pylist(), keys.to_pylist())], arrow)
 
     if once:
         one = one.asNondeterministic()
@@ -268,8 +277,30 @@ def some_replaced(text: Column, key: Column, part: str, other: str, ratio: float
     return _texts(lambda x, k: replace_some(x, part, other, ratio, seed, k))(text, key)
 
 
+def insert_noises(texts: list[str], chance: float, alphabet: str, seed: int, keys: list[str]) -> list[str]:
+    """insert_noise() of many texts."""
+    n = np.array([len(t) for t in texts], np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    u = many_draws(seed, keys, n) / 4294967296.0
+    at = np.flatnonzero(u < chance)
+    letters = np.frombuffer(alphabet.encode("utf-32-le"), "<u4")
+    out = np.insert(codes, at + 1, letters[(u[at] / chance * len(alphabet)).astype(np.int64)]) if len(at) else codes
+    ends = np.cumsum(n)
+    stops = (ends + np.searchsorted(at, ends)).tolist()
+    whole = out.tobytes().decode("utf-32-le", "surrogatepass")
+    return [whole[a:b] for a, b in zip([0, *stops], stops)]
+
+
 def noisy(text: Column, key: Column, chance: float, alphabet: str, seed: int) -> Column:
-    return _texts(lambda x, k: insert_noise(x, chance, alphabet, seed, k))(text, key)
+    @F.arrow_udf(T.StringType())
+    def run(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        given, names = texts.to_pylist(), keys.to_pylist()
+        out = []
+        for i in range(0, len(given), 1000):
+            out += insert_noises([x or "" for x in given[i : i + 1000]], chance, alphabet, seed, names[i : i + 1000])
+        return pa.array([None if x is None else y for x, y in zip(given, out)], pa.string())
+
+    return run(text, key)
 
 
 def rule_noised(text: Column, key: Column, letters: float, syllable_share: float, seed: int) -> Column:
@@ -278,3 +309,63 @@ def rule_noised(text: Column, key: Column, letters: float, syllable_share: float
 
 def expanded(text: Column, rules: list[tuple[str, str]]) -> Column:
     return _texts(lambda x: expand(x, rules))(text)
+
+
+_SHAD_ALONE = re.compile(f"{SHAD}(?![{SHAD}{WHITE_SPACE}])")
+_TSHEGS = re.compile(f"{TSHEG}{{2,}}")
+
+
+def postprocess(text: str, rules: list[tuple[str, str]], shads: tuple[str, ...]) -> tuple[str, list[int]]:
+    """The text with its rules and punctuation, and how often each rule, each shad, the spaces and the tshegs changed it."""
+    counts = []
+    for abbreviation, expansion in rules:
+        counts.append(text.count(abbreviation) if abbreviation else 0)
+        if counts[-1]:
+            text = text.replace(abbreviation, expansion)
+    for s in shads:
+        counts.append(text.count(s))
+    for s in shads:
+        text = text.replace(s, SHAD)
+    spaced = _SHAD_ALONE.sub(f"{SHAD} ", text)
+    out = _TSHEGS.sub(TSHEG, spaced)
+    return out, [*counts, spaced.count(f"{SHAD} ") - text.count(f"{SHAD} "), len(spaced) - len(out)]
+
+
+_CHANGE = T.StructType([T.StructField(c, T.StringType(), False) for c in ("type", "from", "to")] + [T.StructField("count", T.LongType())])
+
+
+def postprocessed(text: Column, rules: list[tuple[str, str]], shads: tuple[str, ...]) -> Column:
+    """normalised, and changes: type, from, to and count of what changed it; none of a null text."""
+    kinds = [("abbreviation", a, e) for a, e in rules] + [("punctuation", s, SHAD) for s in shads]
+    kinds += [("spacing", SHAD, f"{SHAD} "), ("punctuation", TSHEG * 2, TSHEG)]
+
+    @F.arrow_udf(T.StructType([T.StructField("normalised", T.StringType()), T.StructField("changes", T.ArrayType(_CHANGE, False))]))
+    def run(texts: pa.Array) -> pa.Array:
+        out, which, counts, ends = [], [], [], [0]
+        for t in texts.to_pylist():
+            done, found = (None, []) if t is None else postprocess(t, rules, shads)
+            out.append(done)
+            for i, n in enumerate(found):
+                if n > 0:
+                    which.append(i)
+                    counts.append(n)
+            ends.append(len(which))
+        at = pa.array(which, pa.int32())
+        parts = [pa.array([k[i] for k in kinds], pa.string()).take(at) for i in range(3)]
+        changes = pa.StructArray.from_arrays([*parts, pa.array(counts, pa.int64())], ["type", "from", "to", "count"])
+        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), changes)], ["normalised", "changes"])
+
+    return run.asNondeterministic()(text)
+
+
+_OTHER, _DOUBLE_SHAD = re.compile("[^\u0f00-\u0fff ]+"), re.compile(f"{DOUBLE}(?=[^ {SHAD}])")
+
+
+def clean(text: str) -> str:
+    """Script characters only, spaces after double shads, none between punctuation marks."""
+    return space_punctuation(_DOUBLE_SHAD.sub(f"{DOUBLE} ", _OTHER.sub("", text.strip(WHITE_SPACE))))
+
+
+def cleaned(text: Column, strip: bool = False) -> Column:
+    """clean(); with `strip`, without white space at the ends."""
+    return _texts((lambda x: clean(x).strip(WHITE_SPACE)) if strip else clean, once=True)(text)

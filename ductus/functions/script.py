@@ -15,6 +15,8 @@ PUNCTUATION_RANGES = ((0x0F04, 0x0F0A), (0x0F0D, 0x0F1F), (0x0F34, 0x0F34), (0x0
 DELIMITERS = "་།༎༏༐༑༔ \n\t"
 MARKS = ("༷", "༹")
 UTTERANCE = "<utt>"
+#: What (?U)\s matches.
+WHITE_SPACE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 PUNCTUATION = frozenset(chr(c) for a, b in PUNCTUATION_RANGES for c in range(a, b + 1))
 _PUNCTUATION_CLASS = "".join(rf"\x{{{a:04X}}}-\x{{{b:04X}}}" for a, b in PUNCTUATION_RANGES)

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ductus.functions import folds, script
+from ductus.functions import folds
 from ductus.operators.lines import join_lines
 
 
 def cleaned(text: Column) -> Column:
     """Script characters only, spaces after double shads, none between punctuation marks."""
-    return folds.spaced_punctuation(script.space_after_double_shad(script.keep_script(script.strip(text))))
+    return folds.cleaned(text)
 
 
 def clean_lines(df: DataFrame, text: str = "text") -> DataFrame:
     """df with cleaned lines, without those of which nothing is left."""
-    out = df.withColumn(text, script.strip(cleaned(F.col(text))))
+    out = df.withColumn(text, folds.cleaned(F.col(text), strip=True))
     return out.filter(F.length(text) > 0)
 
 

@@ -28,8 +28,8 @@ UNKNOWN = -10.0
 MAX_LOCAL = 2_000_000
 
 
-#: White space that isn't trained on, as Java's (?U)\\s has it.
-_SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: White space isn't trained on.
+_SPACES = [ord(c) for c in script.WHITE_SPACE]
 #: Characters, and n-grams, that are held at once while counting and scoring.
 _PIECE, _HELD = 1 << 20, 4_000_000
 

@@ -35,11 +35,5 @@ def normalise(text: Column, rules: list[tuple[str, str]], shads: tuple[str, ...]
 
 def postprocess(df: DataFrame, rules: list[tuple[str, str]], text: str = "text") -> DataFrame:
     """Adds `normalised` and `changes` (type, from, to, count), as for files of finished predictions."""
-    entries, now = [], F.col(text)
-    for abbreviation, expansion in rules:
-        entries.append(F.struct(F.lit("abbreviation").alias("type"), F.lit(abbreviation).alias("from"), F.lit(expansion).alias("to"), script.count_of(now, abbreviation).alias("count")))
-        now = F.replace(now, F.lit(abbreviation), F.lit(expansion))
-    log = script.punctuation_changes(now)
-    if entries:
-        log = F.concat(F.filter(F.array(*entries), lambda x: x["count"] > 0), log)
-    return df.withColumn("normalised", script.fix_punctuation(now, script.FILE_SHADS)).withColumn("changes", log)
+    out = df.withColumn("__x", folds.postprocessed(F.col(text), rules, script.FILE_SHADS))
+    return out.withColumn("normalised", F.col("__x.normalised")).withColumn("changes", F.col("__x.changes")).drop("__x")

@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ductus.functions import draws
-from ductus.operators import evaluate, language_model
+from ductus.functions import draws, folds, script
+from ductus.operators import clean, evaluate, language_model, rules, tokenise, vocab
 from ductus.plans import modes
 
 
@@ -140,3 +140,67 @@ def test_bootstrap_weights_come_from_batches_of_draws(monkeypatch):
     want = np.searchsorted(evaluate.POISSON, np.stack([draws.draws(42, k, 301) for k in keys]), "right")
     monkeypatch.setattr(draws.hashlib, "md5", None)
     assert (evaluate._weights(42, keys, 301) == want).all()
+
+
+def test_changes_of_many_rules(spark):
+    """Each rule is applied and counted once a line: as columns, it was worked out anew for every rule after it."""
+    rng = random.Random(10)
+    pairs = [(a + b, b + c) for a, b, c in (rng.sample("ཀཁགངཅཆ་", 3) for _ in range(9))]
+    texts = ["".join(rng.choice("ཀཁགངཅཆ་་།།༑༏ \u00a0\x1f") for _ in range(rng.randrange(40))) for _ in range(300)] + ["", "།", None]
+    out = rules.postprocess(spark.createDataFrame([(t,) for t in texts], "text string"), pairs)
+    assert plan(out).count("replace(") == 0
+    now, want = F.col("text"), []
+    for a, b in pairs:
+        want.append(script.count_of(now, a))
+        now = F.replace(now, F.lit(a), F.lit(b))
+    want = out.select("text", "normalised", "changes", script.fix_punctuation(now, script.FILE_SHADS).alias("n"), F.array(*want).alias("c"), script.punctuation_changes(now).alias("p"))
+    for r in want.collect():
+        assert r.normalised == r.n
+        before = [("abbreviation", a, b, k) for (a, b), k in zip(pairs, r.c) if k]
+        assert [tuple(x) for x in r.changes] == before + [tuple(x) for x in r.p]
+
+
+def test_noise_of_many_texts():
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("ཀཁ𝔘") for _ in range(rng.randrange(60))) for _ in range(50)] + ["", "ཀ" * 5000]
+    keys = [f"{k}:1/2" for k in range(len(texts))]
+    for chance in (0.0, 0.05, 0.5, 1.0):
+        assert folds.insert_noises(texts, chance, "ངཅཆ𝔘", 3, keys) == [folds.insert_noise(t, chance, "ངཅཆ𝔘", 3, k) for t, k in zip(texts, keys)]
+    assert folds.insert_noises([], 0.5, "ང", 3, []) == []
+
+
+def test_chosen_places():
+    for n in (1, 2, 5, 40, 199, 200, 201, 900):
+        for k in {0, 1, n // 3, n}:
+            assert folds.chosen(n, k, 5, f"{n}") == set(np.argsort(draws.draws(5, f"{n}", n), kind="stable")[:k].tolist())
+
+
+def test_spans_and_cleaning_as_columns(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("ཀཁ་།། ༑\n\t༄\u00a0xé") for _ in range(rng.randrange(40))) for _ in range(400)] + ["", None, " \u3000"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    c = F.col("text")
+    old = folds.spaced_punctuation(script.space_after_double_shad(script.keep_script(script.strip(c))))
+    for r in rows.select(clean.cleaned(c).alias("a"), old.alias("b"), c, script.syllable_spans(c).alias("s"), script.boundaries(c).alias("n"), vocab.encode(c, {"ཀ": 4, "་": 5}, longest=9).alias("e"), vocab.encode(c, {"ཀ": 4, "་": 5}, frame=False).alias("p")).collect():
+        assert r.a == r.b
+        if r.text is not None:
+            assert folds._spans(r.text)[0] == r.s and folds._n_boundaries(r.text) == len(r.n)
+            ids = [{"ཀ": 4, "་": 5}.get(x, 3) for x in r.text]
+            assert r.p == ids and r.e == [1, *ids[:7], 2]
+        else:
+            assert r.p is None and r.e is None
+
+
+def test_longest_match_looks_only_where_a_word_starts():
+    rng = random.Random(13)
+    words = ["ཀ་ཁ", "ཀ་ཁ་ག", "ག་ཀ", "་ཀ", "ང"]
+    found = tokenise.LongestMatch(words)
+    every = tokenise.LongestMatch(words)
+    every.starts = {x for x in ["", *"ཀཁགང"]}
+    asked = []
+    found.words = type("W", (set,), {"__contains__": lambda self, x: asked.append(x) or set.__contains__(self, x)})(found.words)
+    texts = ["".join(rng.choice("ཀཁགང་་་། ") for _ in range(40)) for _ in range(200)]
+    assert [found(t) for t in texts] == [every(t) for t in texts]
+    asked.clear()
+    found("ཁ་ཁ་ཁ་ཁ་")
+    assert asked == []
