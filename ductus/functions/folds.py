@@ -291,20 +291,64 @@ def insert_noises(texts: list[str], chance: float, alphabet: str, seed: int, key
     return [whole[a:b] for a, b in zip([0, *stops], stops)]
 
 
-def noisy(text: Column, key: Column, chance: float, alphabet: str, seed: int) -> Column:
+#: Characters that are worked on at once.
+_PIECE = 2_000_000
+
+
+def _batches(f):
+    """An Arrow UDF of a text and a key from a function of lists of texts and keys."""
+
     @F.arrow_udf(T.StringType())
     def run(texts: pa.Array, keys: pa.Array) -> pa.Array:
-        given, names = texts.to_pylist(), keys.to_pylist()
-        out = []
-        for i in range(0, len(given), 1000):
-            out += insert_noises([x or "" for x in given[i : i + 1000]], chance, alphabet, seed, names[i : i + 1000])
+        given, names, out = texts.to_pylist(), keys.to_pylist(), []
+        pieces = np.cumsum([len(x or "") for x in given]) // _PIECE
+        for i in np.unique(pieces, return_index=True)[1].tolist():
+            end = int(np.searchsorted(pieces, pieces[i], "right"))
+            out += f([x or "" for x in given[i:end]], names[i:end])
         return pa.array([None if x is None else y for x, y in zip(given, out)], pa.string())
 
-    return run(text, key)
+    return run
+
+
+def noisy(text: Column, key: Column, chance: float, alphabet: str, seed: int) -> Column:
+    return _batches(lambda x, k: insert_noises(x, chance, alphabet, seed, k))(text, key)
+
+
+def rule_noises(texts: list[str], letters: float, syllable_share: float, seed: int, keys: list[str]) -> list[str]:
+    """rule_noise() of many texts: each rule, which keeps lengths, over the letters of all of them."""
+    n = np.array([len(t) for t in texts], np.int64)
+    ends, codes = np.cumsum(n), np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").copy()
+    steps = [*(tuple(r) for r in LETTER_RULES + GIGU_RULES), *DIGRAPH_RULES]
+    for i, (a, b) in enumerate(steps):
+        at = np.flatnonzero(codes == ord(a[0]))
+        line = np.searchsorted(ends, at, "right")
+        for j in range(1, len(a)):
+            inside = at + j < ends[line]
+            at, line = at[inside], line[inside]
+            same = codes[at + j] == ord(a[j])
+            at, line = at[same], line[same]
+        found = np.bincount(line, minlength=len(texts))
+        k = (found * letters).astype(np.int64)
+        for r in np.flatnonzero((k == 0) & (found > 0)).tolist():
+            k[r] = how_many(int(found[r]), letters, seed, f"{keys[r]}:{i}")
+        some = np.flatnonzero(k)
+        kept = k[line] > 0
+        at, line = at[kept], line[kept]
+        order = np.lexsort((many_draws(seed, [f"{keys[r]}:{i}" for r in some.tolist()], found[some]), line))
+        first = np.searchsorted(line, line)
+        taken = at[order[np.arange(len(line)) - first < k[line]]]
+        for j, c in enumerate(b):
+            codes[taken + j] = ord(c)
+    whole, stops = codes.tobytes().decode("utf-32-le", "surrogatepass"), ends.tolist()
+    out = []
+    for start, stop, key in zip([0, *stops], stops, keys):
+        change = delete_syllables if draw(seed, key, "coin") < 0.5 else double_syllables
+        out.append(change(whole[start:stop], syllable_share, seed, f"{key}:{len(steps)}"))
+    return out
 
 
 def rule_noised(text: Column, key: Column, letters: float, syllable_share: float, seed: int) -> Column:
-    return _texts(lambda x, k: rule_noise(x, letters, syllable_share, seed, k))(text, key)
+    return _batches(lambda x, k: rule_noises(x, letters, syllable_share, seed, k))(text, key)
 
 
 def expanded(text: Column, rules: list[tuple[str, str]]) -> Column:

@@ -204,3 +204,13 @@ def test_longest_match_looks_only_where_a_word_starts():
     asked.clear()
     found("ཁ་ཁ་ཁ་ཁ་")
     assert asked == []
+
+
+def test_rule_noise_of_many_texts():
+    rng = random.Random(14)
+    letters = "".join(folds.LETTER_RULES) + "ྱྲདྱགྱདྱགྱ་་་། ཀ𝔘"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(90))) for _ in range(300)] + ["", "ད", "ྱ", "ད", "འ" * 900]
+    keys = [f"{k}:7" for k in range(len(texts))]
+    for share in (0.0, 0.03, 0.2, 1.0):
+        assert folds.rule_noises(texts, share, 0.03, 42, keys) == [folds.rule_noise(t, share, 0.03, 42, k) for t, k in zip(texts, keys)]
+    assert folds.rule_noises([], 0.2, 0.03, 42, []) == []
