@@ -185,8 +185,8 @@ def _statistics(reference: pa.Array, hypothesis: pa.Array, source: pa.Array) ->
     found = {
         "distance": (edit_distances(list(zip(texts[0], texts[1]))), r_null | h_null),
         "matches": (by_line(kept & (r > 0)), r_null | h_null),
-        "n_reference": (by_line(r > 0), r_null),
-        "n_hypothesis": (by_line(h > 0), h_null),
+        "n_reference": (np.array([len(t) for t in texts[0]], np.int64), r_null),
+        "n_hypothesis": (np.array([len(t) for t in texts[1]], np.int64), h_null),
         "e_total": (by_line(differs), r_null | s_null),
         "e_ident": (by_line(s != h), h_null | s_null),
         "c_corr": (by_line(differs & kept), r_null | h_null | s_null),
